@@ -9,7 +9,7 @@ class throughout. The join runs in four steps, all of them shuffled by Spark:
    until no partner can avoid it: rare shingles are indexed alone, frequent ones in combinations of K within classes.
 3. In each index entry one set, the centre, is verified against the others. Links join components; entries whose sets
    all lie in one component are settled. Small open entries then verify what lies in different components, large ones
-   take another centre, until none is open. So a large group of near copies costs about as many pairs as it has sets.
+   take more centres, until none is open. So a large group of near copies costs about as many pairs as it has sets.
 4. Components are found by alternating large-star and small-star steps and go back to the documents.
 """
 
@@ -27,8 +27,8 @@ from pagelore.llm.shared import kept, slices
 
 #: Shingles of so many documents or more are frequent, and indexed in combinations of K.
 FREQUENT, K = 200, 2
-#: An open index entry of at most so many sets verifies its pairs at once; larger ones go on centre by centre.
-SMALL_ENTRY = 24
+#: An open index entry of at most so many sets verifies its pairs at once; larger ones take so many centres at a time.
+SMALL_ENTRY, CENTRES = 8192, 1024
 
 #: \x20 and \x09-\x0D part words; A-Z become lower case.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -162,6 +162,7 @@ def signatures(n: int, common: list[tuple[int, int]], num: int, den: int, freque
 
 
 def _entries(sets: DataFrame, num: int, den: int, frequent: int) -> DataFrame:
+    """entry, node, n, and r, the number of shingles that another set has too."""
     shingles = sets.select("node", F.explode("shingles").alias("t"))
     shared = shingles.groupBy("t").agg(F.count("*").alias("f")).where(F.col("f") > 1)
     common = shingles.join(shared, "t").groupBy("node").agg(F.collect_list(F.struct("f", "t")).alias("common"))
@@ -169,15 +170,16 @@ def _entries(sets: DataFrame, num: int, den: int, frequent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                entries, nodes, counts = [], [], []
+                entries, nodes, counts, shared = [], [], [], []
                 for row in part.to_pylist():
                     found = signatures(row["n"], [(c["f"], c["t"]) for c in row["common"]], num, den, frequent)
                     entries += found
                     nodes += [row["node"]] * len(found)
                     counts += [row["n"]] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(entries, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], ["entry", "node", "n"])
+                    shared += [len(row["common"])] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (entries, nodes, counts, shared)], ["entry", "node", "n", "r"])
 
-    return sets.select("node", "n").join(common, "node").mapInArrow(run, "entry bigint, node bigint, n bigint")
+    return sets.select("node", "n").join(common, "node").mapInArrow(run, "entry bigint, node bigint, n bigint, r bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,32 +207,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """node and component of all linked sets."""
-    fits = f"least(n, nc) * {den} >= greatest(n, nc) * {num}"
-    links, labels, open_ = None, None, entries
+    """node and component of all linked sets; None if nothing shares an entry.
+
+    A pair's intersection is at most the smaller number of shingles that either set has in common with any set, which
+    rules out most pairs before they are verified. Centres are sets of small components with few shingles of their
+    own: in a group of near copies that is the text they all come from.
+    """
+    fits = f"least(r, rc) * {num + den} >= {num} * (n + nc)"
+    labels, open_ = None, entries
     while True:
-        now = open_.withColumn("component", F.col("node")) if labels is None else open_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        heads = (
-            now.groupBy("entry")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min(F.struct("n", "node", "component")).alias("centre"))
-            .where("low < high")
-            .select("entry", "size", F.col("centre.node").alias("c"), F.col("centre.n").alias("nc"), F.col("centre.component").alias("cc"))
-        )
-        rows = kept(now.join(heads, "entry"), "open")
+        if labels is None:
+            now = open_.withColumns({"component": F.col("node"), "weight": F.lit(1).cast("long")})
+        else:
+            weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
+            now = open_.join(labels.join(weights, "component"), "node", "left").withColumns({"component": F.coalesce("component", "node"), "weight": F.coalesce("weight", F.lit(1))})
+        live = now.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("entry", "size")
+        rows = kept(now.join(live, "entry"), "open")
         if rows.isEmpty():
             return labels
         first = labels is None
-        star = rows.where((F.lit(first) | (F.col("size") > SMALL_ENTRY)) & (F.col("component") != F.col("cc"))).where(fits).select(F.col("c").alias("a"), F.col("node").alias("b"))
-        pairs = star
+        large = rows if first else rows.where(F.col("size") > SMALL_ENTRY)
+        group = F.lit(0) if first else F.pmod("node", F.lit(CENTRES))
+        centre = F.min(F.struct("weight", ((F.col("n") - F.col("r")) / F.col("n")).alias("own"), "node", "n", "r", "component")).alias("c")
+        centres = large.groupBy("entry", group.alias("_group")).agg(centre).select("entry", F.col("c.node").alias("a"), F.col("c.n").alias("nc"), F.col("c.r").alias("rc"), F.col("c.component").alias("cc"))
+        if not first:
+            centres = kept(centres, "centres")
+        pairs = large.join(centres, "entry").where("node <> a and component <> cc").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         if not first:
             small = rows.where(F.col("size") <= SMALL_ENTRY)
-            right = small.select("entry", F.col("node").alias("b"), F.col("n").alias("nc"), F.col("component").alias("cb"))
-            pairs = pairs.union(small.select("entry", F.col("node").alias("a"), "n", "component").join(right, "entry").where("a < b and component <> cb").where(fits).select("a", "b"))
-        found = kept(_verified(pairs.distinct(), sets, num, den), "links")
-        links = found if links is None else links.union(found)
-        labels = kept(components(links), "labels")
-        left = F.col("node") != F.col("c")
-        open_ = rows.where(left if first else left & (F.col("size") > SMALL_ENTRY)).select("entry", "node", "n")
+            other = small.select("entry", F.col("node").alias("a"), F.col("n").alias("nc"), F.col("r").alias("rc"), F.col("component").alias("cc"))
+            pairs = pairs.union(small.join(other, "entry").where("a < node and component <> cc").where(fits).select("a", F.col("node").alias("b")))
+        pairs = kept(pairs.distinct(), "pairs")
+        found = _verified(pairs, sets, num, den)
+        links = found if first else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = kept(components(kept(links, "links")), "labels")
+        settled = centres.select("entry", F.col("a").alias("node"))
+        open_ = large.join(settled, ["entry", "node"], "left_anti").select("entry", "node", "n", "r")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, text: str = "text", doc_id: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
