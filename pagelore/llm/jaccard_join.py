@@ -3,8 +3,8 @@
 Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold. Equal sets are one
 class throughout. The join runs in four steps, all of them shuffled by Spark:
 
-1. A window of every set, its 2e+1 smallest shingle hashes (e: how many shingles a partner may lack), is matched on
-   single shingles. Of a set with a partner, more than e of them must occur in another window, so others leave here.
+1. A window of every set, its e + e/4 + 1 smallest shingle hashes (e: how many shingles a partner may lack), is matched
+   on single shingles. Of a set with a partner, more than a fourth of e must occur in other windows; others leave here.
 2. For the rest, shingles get exact document frequencies. A set's order is rare shingles first. Its prefix is extended
    until no partner can avoid it: rare shingles are indexed alone, frequent ones in combinations of K within classes.
 3. In each index entry one set, the centre, is verified against the others. Links join components; entries whose sets
@@ -30,6 +30,9 @@ FREQUENT, K = 200, 2
 #: An open index entry of at most so many sets verifies its pairs at once; larger ones take so many centres at a time.
 SMALL_ENTRY, CENTRES = 8192, 1024
 
+#: A window has a SPARE-th more shingles than a partner may lack, and one.
+SPARE = 4
+
 #: \x20 and \x09-\x0D part words; A-Z become lower case.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -86,7 +89,8 @@ def _windows(docs: DataFrame, shingle: int, num: int, den: int, id_type: str) ->
                     found = own(text)
                     n = len(found)
                     node = xxhash.xxh3_64_intdigest(found.tobytes(), seed=n) - 2**63 if n else None
-                    windows.append(found[: 2 * missing(n, num, den) + 1] if n and node not in seen else found[:0])
+                    e = missing(n, num, den)
+                    windows.append(found[: e + e // SPARE + 1] if n and node not in seen else found[:0])
                     seen.add(node)
                     nodes.append(node)
                     counts.append(n)
@@ -255,16 +259,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    members = kept(_windows(own, shingle, num, den, id_type), "windows")
-    return _joined(own, members, shingle, num, den, frequent).select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
+    windows = _windows(own, shingle, num, den, id_type)
+    members = kept(windows.select("_id", "node", "n"), "members")
+    return _joined(own, windows, members, shingle, num, den, frequent).select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _joined(own: DataFrame, members: DataFrame, shingle: int, num: int, den: int, frequent: int) -> DataFrame:
-    windows = members.select("node", "n", F.explode("window").alias("t"))
+def _joined(own: DataFrame, windows: DataFrame, members: DataFrame, shingle: int, num: int, den: int, frequent: int) -> DataFrame:
+    windows = windows.select("node", F.explode("window").alias("t"))  # made anew for each use: less disk than a copy
     shared = windows.groupBy("t").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("t")
     smaller = f"(({num} * n + {den - 1}) div {den})"
     lacking = f"({smaller} - ({num} * {smaller} + {den - 1}) div {den})"
-    partnered = windows.join(shared, "t").groupBy("node", "n").agg(F.count_distinct("t").alias("k")).where(f"k > {lacking}").select("node")
+    found = windows.join(shared, "t").groupBy("node").agg(F.count_distinct("t").alias("k"))
+    sizes = members.groupBy("node").agg(F.first("n").alias("n"))
+    partnered = found.join(sizes, "node").where(f"k > ({lacking}) div {SPARE}").select("node")
     one = members.join(partnered, "node").groupBy("node").agg(F.min("_id").alias("_id"))
     chosen = one.select(F.col("_id").alias("_chosen")).distinct()
     texts = own.join(chosen, F.col("_id").eqNullSafe(F.col("_chosen")))
