@@ -1,0 +1,16 @@
+"""What is sent of a snapshot's text after the one before."""
+
+from __future__ import annotations
+
+import difflib
+
+
+def sent(old: str | None, new: str | None) -> tuple[str, str]:
+    """(kind, payload): word operations if they are worth it, else the text."""
+    new = new or ""
+    if old is None:
+        return "snapshot", new
+    a, b = old.split(), new.split()
+    ops = [f"+{j}:{' '.join(b[j:j2])}|-{i}:{i2 - i}" for kind, i, i2, j, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind != "equal"]
+    payload = "\n".join(ops)
+    return ("delta", payload) if len(payload) <= 0.9 * len(new) else ("snapshot", new)
