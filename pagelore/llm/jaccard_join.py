@@ -3,8 +3,8 @@
 Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold. Equal sets are one
 class throughout. The join runs in four steps, all of them shuffled by Spark:
 
-1. A window of every set, its e + e/4 + 1 smallest shingle hashes (e: how many shingles a partner may lack), is matched
-   on single shingles. Of a set with a partner, more than a fourth of e must occur in other windows; others leave here.
+1. A window of every set, its e + e/3 + 1 smallest shingle hashes (e: how many shingles a partner may lack), is matched
+   on single shingles. Of a set with a partner, more than a third of e must occur in other windows; others leave here.
 2. For the rest, shingles get exact document frequencies. A set's order is rare shingles first. Its prefix is extended
    until no partner can avoid it: rare shingles are indexed alone, frequent ones in combinations of K within classes.
 3. In each index entry one set, the centre, is verified against the others. Links join components; entries whose sets
@@ -30,8 +30,8 @@ FREQUENT, K = 200, 2
 #: An open index entry of at most so many sets verifies its pairs at once; larger ones take so many centres at a time.
 SMALL_ENTRY, CENTRES = 8192, 1024
 
-#: A window has a SPARE-th more shingles than a partner may lack, and one.
-SPARE = 4
+#: A window has a SPARE-th part more shingles than a partner may lack, and one.
+SPARE = 3
 
 #: \x20 and \x09-\x0D part words; A-Z become lower case.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -100,17 +100,23 @@ def _windows(docs: DataFrame, shingle: int, num: int, den: int, id_type: str) ->
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, n and all shingles of each text."""
+    """node, n and all shingles of the texts whose set bears the name in column node.
+
+    A text that was given twice may come out twice, which costs time but changes no link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(shingle)
+        own, seen = Shingler(shingle), set()
         for batch in batches:
-            for _, texts in slices(batch, "_text"):
-                found = [x for x in map(own, texts) if len(x)]
-                nodes = [xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x)) - 2**63 for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(x) for x in found], pa.int64()), _lists(found)], ["node", "n", "shingles"])
+            for rows, texts in slices(batch, "_text"):
+                found = []
+                for text, node in zip(texts, rows.column("node").to_pylist(), strict=True):
+                    if node not in seen and len(x := own(text)) and xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x)) - 2**63 == node:
+                        seen.add(node)
+                        found.append((node, x))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), _lists([x for _, x in found])], ["node", "n", "shingles"])
 
-    return docs.select("_text").mapInArrow(run, "node bigint, n bigint, shingles array<bigint>")
+    return docs.select("_text", "node").mapInArrow(run, "node bigint, n bigint, shingles array<bigint>")
 
 
 def _hash(*parts) -> int:
@@ -271,11 +277,10 @@ def _joined(own: DataFrame, windows: DataFrame, members: DataFrame, shingle: int
     lacking = f"({smaller} - ({num} * {smaller} + {den - 1}) div {den})"
     found = windows.join(shared, "t").groupBy("node").agg(F.count_distinct("t").alias("k"))
     sizes = members.groupBy("node").agg(F.first("n").alias("n"))
-    partnered = found.join(sizes, "node").where(f"k > ({lacking}) div {SPARE}").select("node")
+    partnered = kept(found.join(sizes, "node").where(f"k > ({lacking}) div {SPARE}").select("node"), "partnered")
     one = members.join(partnered, "node").groupBy("node").agg(F.min("_id").alias("_id"))
-    chosen = one.select(F.col("_id").alias("_chosen")).distinct()
-    texts = own.join(chosen, F.col("_id").eqNullSafe(F.col("_chosen")))
-    sets = kept(_sets(texts, shingle).join(one.select("node"), "node").dropDuplicates(["node"]), "sets")
+    chosen = one.select(F.col("_id").alias("_chosen"), "node")
+    sets = kept(_sets(own.join(chosen, F.col("_id").eqNullSafe(F.col("_chosen"))), shingle), "sets")
     labels = _links(kept(_entries(sets, num, den, frequent), "entries"), sets, num, den)
     least = members.where("node is not null").groupBy("node").agg(F.min("_id").alias("least"))
     if labels is None:

@@ -32,10 +32,15 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    The shuffle files behind it are then of no more use. Spark removes them when the driver's collector finds their
+    handles unreachable, by default every half hour; asking for a collection here frees the disk between steps.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
