@@ -132,7 +132,7 @@ def check_urls(urls: DataFrame, url: str = "url", allow_private: bool = False, a
 
     Hosts repeat, so each distinct host is classified once and joined back.
     """
-    parsed = urls.withColumns({"_scheme": F.lower(F.coalesce(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.lit(""))), "_host": F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))})
+    parsed = urls.withColumns({"_scheme": F.lower(F.coalesce(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.lit(""))), "_host": F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))})
     hosts = parsed.select("_host").where(F.col("_host").isNotNull()).distinct().withColumn("_facts", _host_facts("_host"))
     joined = parsed.join(hosts, "_host", "left")
     local = (F.col("_host") == "localhost") | F.col("_host").endswith(".localhost")

@@ -54,4 +54,4 @@ def write_trace(trace: DataFrame, path: str) -> None:
 def export_documents(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Title, url and blocks (texts in block order) of each page; write with .write.json."""
     texts = blocks.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "text"))), lambda b: b["text"]).alias("blocks"))
-    return pages.select("page_id", "title", "url").join(texts, "page_id")
+    return pages.select("page_id", "title", "url").join(texts, "page_id").drop("page_id")
