@@ -245,8 +245,12 @@ def _links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         pairs = large.join(centres, "entry").where("node <> a and component <> cc").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         if not first:
             small = rows.where(F.col("size") <= SMALL_ENTRY)
-            other = small.select("entry", F.col("node").alias("a"), F.col("n").alias("nc"), F.col("r").alias("rc"), F.col("component").alias("cc"))
-            pairs = pairs.union(small.join(other, "entry").where("a < node and component <> cc").where(fits).select("a", F.col("node").alias("b")))
+            held = small.groupBy("node").agg(F.collect_list("entry").alias("held"))  # as many as a prefix has
+            before = F.filter("held", lambda x: x < F.col("entry"))
+            small = small.join(held, "node").select("entry", "node", "n", "r", "component", before.alias("before"))
+            other = small.select("entry", F.col("node").alias("a"), F.col("n").alias("nc"), F.col("r").alias("rc"), F.col("component").alias("cc"), F.col("before").alias("other_before"))
+            met = small.join(other, "entry").where("a < node and component <> cc").where(fits).where(~F.arrays_overlap("before", "other_before"))  # once, where two sets meet first
+            pairs = pairs.union(met.select("a", F.col("node").alias("b")))
         pairs = kept(pairs.distinct(), "pairs")
         found = _verified(pairs, sets, num, den)
         links = found if first else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
