@@ -13,7 +13,7 @@ import numpy as np
 #: White space to Python's split(), but not to the tokenizers' patterns.
 _ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: So many distinct words are remembered at most.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class WordEncoder:
@@ -28,19 +28,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 16- or 32-bit integers
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         split = [None if any(c in x for c in _ODD_SPACES) else x.split() for x in texts]
-        new = list({w for words in split if words for w in words if w not in known})
-        known.update(zip(new, (x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        new = list(set(chain.from_iterable(words for words in split if words)).difference(known))
+        known.update(zip(new, (np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
         out = []
         for text, words in zip(texts, split, strict=True):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if words is None else list(chain.from_iterable(map(known.__getitem__, words)))
-            out.append(np.array(ids, np.uint32))
+            if words is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), self.dtype).astype(np.uint32))
         return out
 
 
