@@ -249,7 +249,9 @@ def _links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             before = F.filter("held", lambda x: x < F.col("entry"))
             small = small.join(held, "node").select("entry", "node", "n", "r", "component", before.alias("before"))
             other = small.select("entry", F.col("node").alias("a"), F.col("n").alias("nc"), F.col("r").alias("rc"), F.col("component").alias("cc"), F.col("before").alias("other_before"))
-            met = small.join(other, "entry").where("a < node and component <> cc").where(fits).where(~F.arrays_overlap("before", "other_before"))  # once, where two sets meet first
+            # One filter, so that the costly test comes last: a pair is emitted once, where its sets meet first.
+            apart = F.expr(f"a < node and component <> cc and {fits}")
+            met = small.join(other, "entry").where(apart & ~F.arrays_overlap("before", "other_before"))
             pairs = pairs.union(met.select("a", F.col("node").alias("b")))
         pairs = kept(pairs.distinct(), "pairs")
         found = _verified(pairs, sets, num, den)
