@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.llm.shared import kept, slices
@@ -245,9 +245,8 @@ def _links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         pairs = large.join(centres, "entry").where("node <> a and component <> cc").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         if not first:
             small = rows.where(F.col("size") <= SMALL_ENTRY)
-            held = small.groupBy("node").agg(F.collect_list("entry").alias("held"))  # as many as a prefix has
-            before = F.filter("held", lambda x: x < F.col("entry"))
-            small = small.join(held, "node").select("entry", "node", "n", "r", "component", before.alias("before"))
+            earlier = Window.partitionBy("node").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
+            small = small.select("entry", "node", "n", "r", "component", F.collect_list("entry").over(earlier).alias("before"))  # as many as a prefix has
             other = small.select("entry", F.col("node").alias("a"), F.col("n").alias("nc"), F.col("r").alias("rc"), F.col("component").alias("cc"), F.col("before").alias("other_before"))
             # One filter, so that the costly test comes last: a pair is emitted once, where its sets meet first.
             apart = F.expr(f"a < node and component <> cc and {fits}")
