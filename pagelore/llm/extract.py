@@ -1,9 +1,10 @@
 """Main text of HTML pages: streamed parser events, text-to-tag ratios per line, smoothing and threshold clustering.
 
 A page has no lines of its own, so a block of text between block-level tags is a line. Its ratio is its characters to
-its tags. Smoothed ratios above a threshold mark content lines; the regions (an article, a main part, or else the
-container around a block) that hold the most of them are kept whole, but for elements that are no article text by
-their tag, role or class: the ratio alone would lose an article's short blocks and keep a long advert.
+its tags. Smoothed ratios above a threshold mark content lines; the least element that covers all of them, and every
+article and main part, is kept whole, but for elements that are no article text by their tag, role or class: the ratio
+alone would lose an article's short blocks and keep a long advert. A page without article and main keeps the lines
+outside that element too, unless most of their text is links: ratios can't tell a title or a short section from them.
 """
 
 from __future__ import annotations
@@ -35,28 +36,36 @@ SIGMA, REACH = 1.0, 3
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, region, kept): one line for each block."""
+    """Collects (text, tags, element, kept, characters of links): one line for each block.
+
+    Elements are numbered as they begin, from 1; 0 is the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, out of the article, region
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.parts: dict[int, bool] = {}
+        self.open: list[tuple[str, bool, int]] = []  # tag, out of the article, element
+        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.parent = [0]
+        self.part = [0]  # the outermost article or main around an element
         self.text: list[str] = []
         self.tags = 0
-        self.regions = 0
+        self.linked = 0
+        self.link: int | None = None  # open elements where a link began
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            _, out, region = self.open[-1] if self.open else ("", False, 0)
-            self.lines.append((text, max(1, self.tags), region, not out))
+            _, out, element = self.open[-1] if self.open else ("", False, 0)
+            self.lines.append((text, max(1, self.tags), element, not out, self.linked))
             self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in INLINE:
+            if tag == "a":
+                self.link = len(self.open)
             if tag not in VOID and self._outside(tag, attrs):
                 self.flush()
                 self._push(tag, True)
@@ -75,8 +84,7 @@ class _Lines(HTMLParser):
     def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
             return True
-        inside = any(self.parts.get(region) for _, _, region in self.open)
-        if tag == "header" and not inside:
+        if tag == "header" and not (self.open and self.part[self.open[-1][2]]):
             return True
         own = dict(attrs)
         if "hidden" in own or own.get("aria-hidden") == "true" or (own.get("role") or "").lower() in ROLES:
@@ -87,22 +95,23 @@ class _Lines(HTMLParser):
         return bool(words & WORDS)
 
     def _push(self, tag: str, out: bool) -> None:
-        _, above, region = self.open[-1] if self.open else ("", False, 0)
-        part = tag in PARTS and not self.parts.get(region)
-        if tag in PARTS or (tag in ("div", "section", "body", "td") and not self.parts.get(region)):
-            if part or not self.parts.get(region):
-                self.regions += 1
-                region = self.regions
-                self.parts[region] = tag in PARTS
-        self.open.append((tag, above or out, region))
+        _, above, parent = self.open[-1] if self.open else ("", False, 0)
+        element = len(self.parent)
+        self.parent.append(parent)
+        self.part.append(self.part[parent] or element * (tag in PARTS))
+        self.open.append((tag, above or out, element))
 
     def _pop(self, tag: str) -> None:
         if any(t == tag for t, _, _ in self.open):
             while self.open.pop()[0] != tag:
                 pass
+        if self.link is not None and self.link > len(self.open):
+            self.link = None
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.link = None
         if tag in INLINE and not any(t == tag for t, _, _ in self.open):
             return
         self.flush()
@@ -110,6 +119,16 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.link is not None:
+            self.linked += len("".join(data.split()))
+
+    def ends(self) -> list[int]:
+        """The last element inside each element, or itself."""
+        last = list(range(len(self.parent)))
+        for element in range(len(last) - 1, 0, -1):
+            above = self.parent[element]
+            last[above] = max(last[above], last[element])
+        return last
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -142,15 +161,14 @@ def main_text(html: str | None) -> str:
     lines = [x for x in page.lines if x[3]]
     if not lines:
         return ""
-    high = clustered(smoothed(np.array([len(text) / tags for text, tags, _, _ in lines])))
-    parts = {region for _, _, region, _ in lines if page.parts.get(region)}
-    mass: dict[int, int] = {}
-    for (text, _, region, _), content in zip(lines, high, strict=True):
-        if not parts or region in parts:
-            mass[region] = mass.get(region, 0) + len(text) * bool(content or parts)
-    most = max(mass.values())
-    chosen = {region for region, n in mass.items() if n and 4 * n >= most}
-    return " ".join(text for text, _, region, _ in lines if region in chosen)
+    high = clustered(smoothed(np.array([len(text) / tags for text, tags, *_ in lines])))
+    parts = any(page.part[element] for _, _, element, *_ in lines)
+    content = [x[2] for x, is_high in zip(lines, high, strict=True) if is_high or page.part[x[2]]]
+    last, box = page.ends(), min(content)
+    while last[box] < max(content):
+        box = page.parent[box]
+    box = page.part[box] or box
+    return " ".join(text for text, _, element, _, linked in lines if box <= element <= last[box] or (not parts and 2 * linked < len(text)))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -234,6 +234,23 @@ def test_main_text(html, text):
     assert extract.main_text(html) == text
 
 
+LONG = "long prose here " * 40
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><h1>Title</h1><div>{LONG}</div><section>short section</section></body>", f"Title {LONG}short section"),
+        (f"<body><div><a href=1>one</a> <a href=2>two</a></div><div><div><p>{LONG}</div><div><p>{LONG}<div>end</div></div></div>", f"{LONG}{LONG}end"),
+        (f"<body><div id=list><article>{LONG}</article><h2>Next</h2><article>brief</article></div><div>outside</div>", f"{LONG}Next brief"),
+        (f"<body><article><h1>T</h1><p>few words</article><div><p>{LONG}<p>{LONG}</div>", f"T few words {LONG}{LONG}".rstrip()),
+        ("<div>" * 3000 + "deep", "deep"),
+    ],
+)
+def test_main_text_drops_no_short_blocks(html, text):
+    assert extract.main_text(html) == text.strip()
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a<p>b</article>", "x"), (1, "u", None, "y"), (None, None, "", "z")], "page_id bigint, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in extract.extract(pages).collect()) == [("", 0), ("", 0), ("a b", 3)]
