@@ -5,6 +5,9 @@ its tags. Smoothed ratios above a threshold mark content lines; the least elemen
 article and main part, is kept whole, but for elements that are no article text by their tag, role or class: the ratio
 alone would lose an article's short blocks and keep a long advert. A page without article and main keeps the lines
 outside that element too, unless most of their text is links: ratios can't tell a title or a short section from them.
+
+Class and id words only suspect an element. It stays if it holds the article or main part, or if its content lines are
+much of the text: half of it, or all if a whole name says that it is something else ("sidebar", not "sidebar-page").
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from pagelore.llm.shared import slices
 
-#: HTML's void, inline and raw elements, and elements, roles and class words that are never the article.
+#: HTML's void, inline and raw elements, elements and roles that are never the article, class words that
+#: rarely are, words that make a class say how a page is laid out, and words of an article's own header.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
 NEVER = set("nav footer aside form script style noscript template head title iframe object svg button select textarea dialog menu canvas audio video".split())
@@ -29,6 +33,8 @@ WORDS = set(
     "ad ads advert advertisement adverts adsense sponsored sponsor promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar "
     "side aside widget related recommended notice cookie cookies consent gdpr newsletter subscribe signup popup modal overlay alert comment comments disqus respond replies share sharing social".split()
 )
+LAYOUT = set("no has have with without".split())
+OWN = set("article post entry story content page section title".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARTS = {"article", "main"}
 _SPLIT = re.compile(r"[^a-z]+")
@@ -47,6 +53,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parent = [0]
         self.part = [0]  # the outermost article or main around an element
+        self.doubt = [0]  # what class words say of an element: 0 nothing, 1 a part of a name, 2 a whole name
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0
@@ -66,9 +73,9 @@ class _Lines(HTMLParser):
         if tag in INLINE:
             if tag == "a":
                 self.link = len(self.open)
-            if tag not in VOID and self._outside(tag, attrs):
+            if tag not in VOID and ((out := self._outside(tag, attrs)) | (doubt := self._doubted(tag, attrs))):
                 self.flush()
-                self._push(tag, True)
+                self._push(tag, out, doubt)
             return
         self.flush()
         if tag in VOID:
@@ -79,7 +86,7 @@ class _Lines(HTMLParser):
         for other in CLOSED_BY.get(tag, ()):
             if self.open and self.open[-1][0] == other:
                 self._pop(other)
-        self._push(tag, self._outside(tag, attrs))
+        self._push(tag, self._outside(tag, attrs), self._doubted(tag, attrs))
 
     def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
@@ -89,16 +96,28 @@ class _Lines(HTMLParser):
         own = dict(attrs)
         if "hidden" in own or own.get("aria-hidden") == "true" or (own.get("role") or "").lower() in ROLES:
             return True
-        if tag in ("html", "body", *PARTS):
-            return tag == "article" and bool({"comment", "comments"} & set(_SPLIT.split((own.get("class") or "").lower())))
-        words = set(_SPLIT.split(f"{own.get('class') or ''} {own.get('id') or ''}".lower()))
-        return bool(words & WORDS)
+        return tag == "article" and bool({"comment", "comments"} & set(_SPLIT.split((own.get("class") or "").lower())))
 
-    def _push(self, tag: str, out: bool) -> None:
+    def _doubted(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """What class words say of an element; an article's own header is no other part."""
+        found = 0
+        if not attrs or tag in ("html", "body", *PARTS):
+            return found
+        own = dict(attrs)
+        inside = self.open and self.part[self.open[-1][2]]
+        for name in f"{own.get('class') or ''} {own.get('id') or ''}".lower().split():
+            words = set(_SPLIT.split(name)) - {""}
+            bad = words & WORDS
+            if bad and not words & LAYOUT and not (bad == {"header"} and (inside or words & OWN)):
+                found = max(found, 2 if words == bad else 1)
+        return found
+
+    def _push(self, tag: str, out: bool, doubt: int) -> None:
         _, above, parent = self.open[-1] if self.open else ("", False, 0)
         element = len(self.parent)
         self.parent.append(parent)
         self.part.append(self.part[parent] or element * (tag in PARTS))
+        self.doubt.append(doubt)
         self.open.append((tag, above or out, element))
 
     def _pop(self, tag: str) -> None:
@@ -152,6 +171,34 @@ def clustered(values: np.ndarray) -> np.ndarray:
     return values >= at
 
 
+def outside(page: _Lines, lines: list[tuple[str, int, int, bool, int]], last: list[int]) -> list[bool]:
+    """True for each element that is in no part of the article by the class words of it or of one around it.
+
+    lines: those that tags and roles keep. Of several articles and main parts those in the fewest doubted elements hold
+    the page's text, so that a wrapper of the article stays and a list of related articles goes.
+    """
+    size = np.zeros((2, len(last) + 1))
+    high = clustered(smoothed(np.array([len(text) / tags for text, tags, *_ in lines])))
+    for (text, _, element, *_), content in zip(lines, high, strict=True):
+        size[:, element + 1] += len(text), len(text) * content
+    total = size.cumsum(axis=1)
+    held = lambda element, k=0: total[k, last[element] + 1] - total[k, element]
+    above = [0] * len(last)
+    for element in range(1, len(last)):
+        above[element] = above[page.parent[element]] + (page.doubt[element] > 0)
+    parts = [part for part in range(1, len(last)) if page.part[part] == part and held(part)]
+    least = min((above[part] for part in parts), default=0)
+    first = [part for part in parts if above[part] == least]
+    gone = [False] * len(last)
+    for element in range(1, len(last)):
+        out = page.doubt[element] > 0 and not any(element <= part <= last[element] for part in first)
+        if out and (page.part[element] or not parts):
+            share = held(element) / (held(page.part[element]) or 1)
+            out = not held(element, 1) or share < (1 if page.doubt[element] == 2 else 0.5)
+        gone[element] = gone[page.parent[element]] or out
+    return gone
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by one space; empty if it has none."""
     page = _Lines()
@@ -159,12 +206,16 @@ def main_text(html: str | None) -> str:
     page.close()
     page.flush()
     lines = [x for x in page.lines if x[3]]
+    last = page.ends()
+    if lines and any(page.doubt):
+        gone = outside(page, lines, last)
+        lines = [x for x in lines if not gone[x[2]]]
     if not lines:
         return ""
     high = clustered(smoothed(np.array([len(text) / tags for text, tags, *_ in lines])))
     parts = any(page.part[element] for _, _, element, *_ in lines)
     content = [x[2] for x, is_high in zip(lines, high, strict=True) if is_high or page.part[x[2]]]
-    last, box = page.ends(), min(content)
+    box = min(content)
     while last[box] < max(content):
         box = page.parent[box]
     box = page.part[box] or box

@@ -251,6 +251,21 @@ def test_main_text_drops_no_short_blocks(html, text):
     assert extract.main_text(html) == text.strip()
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        *((f"<nav>n</nav><div class='{name}'><article><h1>T</h1><p>{LONG}</article></div>", f"T {LONG}") for name in ("layout has-sidebar", "page no-sidebar", "header-fixed", "widget-area content", "sidebar")),
+        (f"<div class='article-header'><h1>T</h1></div><div><p>{LONG}</div><div class=site-header>x</div>", f"T {LONG}"),
+        (f"<article><div class='article-header'><h1>T</h1></div><p>{LONG}<div class=comments>{LONG}</div></article>", f"T {LONG}"),
+        (f"<div class='sidebar-page'><p>{LONG}<div class=sidebar>links</div></div>", LONG),
+        (f"<div class='header-fixed'><main><p>{LONG}</main><div class=related><article>{LONG}</article></div></div>", LONG),
+        (f"<div class=ad>{LONG}</div><article>brief</article>", "brief"),
+    ],
+)
+def test_main_text_in_wrappers(html, text):
+    assert extract.main_text(html) == text.strip()
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a<p>b</article>", "x"), (1, "u", None, "y"), (None, None, "", "z")], "page_id bigint, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in extract.extract(pages).collect()) == [("", 0), ("", 0), ("a b", 3)]
