@@ -295,10 +295,10 @@ def r5_near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    queries, found = t.questions(spark, sf_dir)
+    queries, found = t.corpus_questions(spark, sf_dir)
     own = t.blocks(spark, sf_dir)
     texts = own.select("page_id", "block_id", "text", F.concat(F.lit("https://docs.test/"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"))
-    return queries, found, r.top_passages(r.bm25(queries, found, own), texts)
+    return queries, found, r.top_passages(r.bm25_corpus(queries, own), texts)
 
 
 @query()

@@ -33,7 +33,10 @@ BLOCKS_SQL = """
 
 
 def questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each benchmark item's first words as a question, and its candidates: the documents of its residue class."""
+    """Each benchmark item's first words as a question, and its candidates: the documents of its residue class.
+
+    Only for r3_r4_bm25, whose SQL says so.
+    """
     items = table(spark, sf_dir, "benchmark")
     queries = items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
     own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 40).alias("_class"), F.floor(F.col("doc_id") / 40).cast("int").alias("source_rank"))
@@ -41,6 +44,13 @@ def questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return queries, found
 
 
+def corpus_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each benchmark item as a question, and its candidates: all documents, of source rank 0, as no search ranked them."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("source_rank"))
+    return queries, own.crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "page_id", "source_rank")
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as trace entries; the user is the session, errors are the error events."""
     k = F.get_json_object("props", "$.k").cast("bigint")

@@ -50,6 +50,24 @@ def bm25(queries: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFr
     return scored.withColumn("score", F.col("bm25") / (1 + RANK_WEIGHT * F.col("source_rank"))).where("score > 0").drop("bm25")
 
 
+def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """R3, R4 with every block as a candidate of every query, all of source rank 0; columns as bm25 gives them.
+
+    Blocks meet their scores where a hash of their ids puts them, so only their text is shuffled; queries' terms are
+    broadcast. Parts of a score are summed in billionths, so that their order can't change it.
+    """
+    at = ["page_id", "block_id"]
+    terms = query_terms(queries)
+    ev = evidence(blocks).select(*at, "text").repartition(*at).withColumn("tokens", tokens(F.col("text"))).withColumn("n_tokens", F.size("tokens"))
+    hits = ev.select(*at, "n_tokens", F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy(*at, "n_tokens", "term").agg(F.count("*").alias("tf"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weights = terms.join(df, "term").crossJoin(ev.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))).select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"), "avg_len")
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
+    summed = hits.join(F.broadcast(weights), "term").groupBy("query_id", *at).agg((F.sum(F.round(part * 1e9).cast("long")) / 1e9).alias("score"))
+    return summed.select("query_id", *at, F.lit(0).alias("source_rank"), "score").where("score > 0")
+
+
 def _grams(text: str) -> set[str]:
     flat = " ".join(text.lower().split())
     return {flat[i : i + 3] for i in range(max(1, len(flat) - 2))} if flat else set()

@@ -102,6 +102,37 @@ def _blocks(spark):
     return spark.createDataFrame(BLOCKS, "page_id int, block_id int, kind string, level int, text string, path array<string>")
 
 
+def test_corpus_scores(spark):
+    queries = spark.createDataFrame([(7, "quick fox fox"), (8, ""), (9, "zebra")], "query_id int, query string")
+    found = spark.createDataFrame([(q, p, 0) for q in (7, 8, 9) for p in (1, 2)], "query_id int, page_id int, source_rank int")
+    got, want = ({tuple(r)[:3]: r["score"] for r in scored.select("query_id", "page_id", "block_id", "score").collect()} for scored in (retrieval.bm25_corpus(queries, _blocks(spark)), retrieval.bm25(queries, found, _blocks(spark))))
+    assert got == pytest.approx(want, abs=1e-8) and len(got) == 2
+
+
+def test_passages_of_whole_corpus(spark):
+    """Ranks by brute force over all documents and whole items."""
+    import math
+    import re
+    from collections import Counter
+
+    from pagelore.jobs import tables
+    from pagelore.jobs.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    words = lambda text: re.findall("[a-z0-9]+", (text or "").lower())
+    blocks = {(r["page_id"], r["block_id"]): Counter(words(r["text"])) for r in tables.blocks(spark, sf).where("kind <> 'heading'").collect() if len(words(r["text"])) >= 8}
+    mean, df = sum(b.total() for b in blocks.values()) / len(blocks), Counter(t for b in blocks.values() for t in b)
+    items = {r["item_id"]: Counter(words(r["text"])) for r in tables.table(spark, sf, "benchmark").collect()}
+
+    def score(q, b):
+        return sum(n * math.log(1 + (len(blocks) - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.5 / (b[t] + 1.5 * (0.25 + 0.75 * b.total() / mean)) for t, n in q.items() if b[t])
+
+    best = {k: max(score(q, b) for b in blocks.values()) for k, q in items.items()}
+    got = QUERIES["r6_top_passages"](spark, sf).collect()
+    assert {r["query_id"]: r["score"] for r in got if r["passage"] == 1} == pytest.approx({k: v for k, v in best.items() if v > 0}, abs=1e-4)
+    assert all(r["score"] == pytest.approx(score(items[r["query_id"]], blocks[r["page_id"], r["block_id"]]), abs=1e-4) for r in got)
+
+
 def test_retrieval(spark):
     queries = spark.createDataFrame([(7, "quick fox fox"), (8, ""), (9, "zebra")], "query_id int, query string")
     found = spark.createDataFrame([(q, p, p - 1) for q in (7, 8, 9) for p in (1, 2)], "query_id int, page_id int, source_rank int")
