@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelore.functions.text import tokens
 
@@ -73,32 +74,57 @@ def _grams(text: str) -> set[str]:
     return {flat[i : i + 3] for i in range(max(1, len(flat) - 2))} if flat else set()
 
 
-def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, containment: float = CONTAINMENT) -> DataFrame:
+@F.pandas_udf(T.BooleanType())
+def _near_any(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether a text is a near duplicate, by the containment given, of one of the texts."""
+    for text, taken, share in parts:
+        found = []
+        for one, others, least in zip(text, taken, share, strict=True):
+            own = _grams(one)
+            found.append(bool(own) and any(len(own & g) >= least * min(len(own), len(g)) for g in map(_grams, others)))
+        yield pd.Series(found, dtype=bool)
+
+
+def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, containment: float = CONTAINMENT, first: int = 8 * LIMIT) -> DataFrame:
     """For each query up to limit passages by score, without near duplicates of passages already taken.
 
-    texts: page_id, block_id, text, url, title. Order: score, then source rank, page and block. Ranked blocks reach a
-    query's group without their text beyond what the choice may need: groups are read in rising chunks of rank.
+    texts: page_id, block_id, text, url, title of every scored block. Order: score, then source rank, page and block. A
+    query's group holds the texts of its first ranks only. Queries that got fewer than limit from more ranks than that go on with the first
+    of those that are no near duplicates of what they have: each such round, a job of its own, takes one more at least.
     """
+    names = ["query_id", "page_id", "block_id", "score", "source_rank"]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_rank", "page_id", "block_id")
-    ranked = scored.withColumn("position", F.row_number().over(order)).join(texts, ["page_id", "block_id"])
+    out = ", ".join([*(f"{c} {kind}" for c, kind in scored.select(names).dtypes), "url string, title string, text string, more boolean"])
+    columns = [*names, "url", "title", "text", "position"]
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("position").reset_index(drop=True)
         taken: list[tuple[int, set[str]]] = []
-        for i, text in enumerate(group.sort_values("position").text):
+        for i, text in enumerate(group.text):
             own = _grams(text)
-            if own and any(len(own & g) >= containment * min(len(own), len(g)) for _, g in taken):
+            if group.position[i] > 0 and own and any(len(own & g) >= containment * min(len(own), len(g)) for _, g in taken):
                 continue
             taken.append((i, own))
             if len(taken) == limit:
                 break
-        out = group.sort_values("position").iloc[[i for i, _ in taken]].copy()
-        out["passage"] = range(1, len(out) + 1)
-        out["score"] = out.score.round(4)
-        return out[["query_id", "passage", "page_id", "block_id", "score", "url", "title", "text"]]
-
-    kinds = dict(ranked.dtypes)
-    out = ", ".join(["query_id " + kinds["query_id"], "passage int", "page_id " + kinds["page_id"], "block_id " + kinds["block_id"], "score double, url string, title string, text string"])
-    return ranked.groupBy("query_id").applyInPandas(choose, out)
+        got = group.iloc[[i for i, _ in taken]].copy()
+        got["more"] = len(taken) < limit and int(group.position.max()) >= first
+        return got[[*columns[:-1], "more"]]
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= first)
+
+    got = ranked(scored).join(texts, ["page_id", "block_id"]).select(columns).groupBy("query_id").applyInPandas(choose, out).persist()
+    done = got.where(~F.col("more"))
+    while not (left := got.where("more")).isEmpty():
+        have = left.groupBy("query_id").agg(F.collect_list("text").alias("_taken"), F.collect_list(F.struct("page_id", "block_id")).alias("_ids"))
+        rest = scored.join(have, "query_id").where(~F.array_contains("_ids", F.struct("page_id", "block_id"))).join(texts, ["page_id", "block_id"])
+        new = ranked(rest.where(~_near_any("text", "_taken", F.lit(containment))))
+        both = new.select(columns).unionByName(left.withColumn("position", F.lit(0)).select(columns))
+        got = both.groupBy("query_id").applyInPandas(choose, out).persist()
+        done = done.unionByName(got.where(~F.col("more")))
+    passage = F.row_number().over(order).cast("int")
+    return done.withColumn("passage", passage).select("query_id", "passage", "page_id", "block_id", F.round("score", 4).alias("score"), "url", "title", "text")
 
 
 def summary(queries: DataFrame, passages: DataFrame, triaged: DataFrame) -> DataFrame:

@@ -133,6 +133,17 @@ def test_passages_of_whole_corpus(spark):
     assert all(r["score"] == pytest.approx(score(items[r["query_id"]], blocks[r["page_id"], r["block_id"]]), abs=1e-4) for r in got)
 
 
+def test_passages_in_rounds(spark):
+    """A group holds few ranks, and what is chosen is as over all of them."""
+    n = [8, 1, 6, 2, 2, 1]  # copies of six texts, in order of rank
+    told = [i for i, k in enumerate(n) for _ in range(k)]
+    scored = spark.createDataFrame([(q, p, 0, 0, 100.0 - p) for q in (1, 2) for p in range(len(told)) if q == 1 or p > 14], "query_id int, page_id int, block_id int, source_rank int, score double")
+    texts = spark.createDataFrame([(p, 0, "abcdefghij"[i] * 5 + f" text number {i} " + "klmnopqrst"[i] * 9, "u", "t") for p, i in enumerate(told)], "page_id int, block_id int, text string, url string, title string")
+    want = sorted([(1, 1, 0), (1, 2, 8), (1, 3, 9), (1, 4, 15), (1, 5, 17), (2, 1, 15), (2, 2, 17), (2, 3, 19)])
+    got = [sorted(rows(retrieval.top_passages(scored, texts, limit=5, **more), "query_id", "passage", "page_id")) for more in ({}, {"first": 3}, {"first": 1})]
+    assert got == [want, want, want]
+
+
 def test_retrieval(spark):
     queries = spark.createDataFrame([(7, "quick fox fox"), (8, ""), (9, "zebra")], "query_id int, query string")
     found = spark.createDataFrame([(q, p, p - 1) for q in (7, 8, 9) for p in (1, 2)], "query_id int, page_id int, source_rank int")
