@@ -121,16 +121,33 @@ def stale_refs(requests: DataFrame, elements: DataFrame) -> DataFrame:
 
 def resolve_targets(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """V5: requests (request_id, session_id, version, target) with outcome and the ref found: one exact text, else an
-    exact ref, else one element that holds the target in text, placeholder or role; several are ambiguous."""
-    found = requests.join(elements, ["session_id", "version"], "left")
+    exact ref, else one element that holds the target in text, placeholder or role; several are ambiguous. Else a ref
+    that was given out by that version, but isn't live, is stale.
+
+    requests may have kind: input, select, combobox (elements have is_combobox) or option leave only elements of that
+    kind; a version without options leaves all. A null kind leaves all.
+    """
+    at = ["session_id", "version"]
+    asked = requests if "kind" in requests.columns else requests.withColumn("kind", F.lit(None).cast("string"))
+    told = elements if "is_combobox" in elements.columns else elements.withColumn("is_combobox", F.lit(False))
+    options = elements.where("role = 'option'").select(*at, F.lit(True).alias("_options")).distinct()
+    number = F.regexp_extract("ref", r"^e(\d+)$", 1).try_cast("long")
+    numbers = elements.select(*at, number.alias("_n")).unionByName(requests.select(*at, F.lit(None).cast("long").alias("_n"))).groupBy(at).agg(F.max("_n").alias("_n"))
+    issued = numbers.select(*at, F.max("_n").over(Window.partitionBy("session_id").orderBy("version")).alias("_issued"))
+    found = asked.join(issued, at, "left").join(options, at, "left").join(told, at, "left")
+    kind = F.when(F.col("kind") == "input", F.col("tag").isin("input", "textarea") | (F.col("role") == "textbox")).when(F.col("kind") == "select", F.col("tag") == "select").when(F.col("kind") == "combobox", F.col("is_combobox"))
+    fits = F.coalesce(kind.when((F.col("kind") == "option") & F.col("_options"), F.col("role") == "option").otherwise(True), F.lit(False))
     target = F.lower(F.trim("target"))
     exact = F.lower(F.trim(F.col("text"))) == target
     part = (target != "") & (F.contains(F.lower(F.coalesce("text", F.lit(""))), target) | F.contains(F.lower(F.coalesce("placeholder", F.lit(""))), target) | F.contains(F.lower(F.coalesce("role", F.lit(""))), target))
-    one = found.groupBy("request_id", "session_id", "version", "target").agg(
-        F.count_if(exact).alias("n_exact"), F.min(F.when(exact, F.col("ref"))).alias("by_text"), F.min(F.when(F.col("ref") == F.col("target"), F.col("ref"))).alias("by_ref"), F.count_if(part).alias("n_part"), F.min(F.when(part, F.col("ref"))).alias("by_part")
+    exact, part = fits & exact, fits & part
+    one = found.groupBy("request_id", "session_id", "version", "target", "kind").agg(
+        F.count_if(F.col("ref") == F.col("target")).alias("n_live"), F.max("_issued").alias("issued"), F.count_if(exact).alias("n_exact"), F.min(F.when(exact, F.col("ref"))).alias("by_text"), F.min(F.when(fits & (F.col("ref") == F.col("target")), F.col("ref"))).alias("by_ref"), F.count_if(part).alias("n_part"), F.min(F.when(part, F.col("ref"))).alias("by_part")
     )
+    wanted = F.regexp_extract("target", r"^e(\d+)$", 1).try_cast("long")
+    stale = (F.col("n_live") == 0) & (wanted >= 1) & (wanted <= F.col("issued"))
     outcome = (
-        F.when(F.col("n_exact") == 1, "text").when(F.col("n_exact") > 1, "ambiguous").when(F.col("by_ref").isNotNull(), "ref").when(F.col("n_part") == 1, "part").when(F.col("n_part") > 1, "ambiguous").when(F.col("target").rlike(r"^e\d+$"), "stale").otherwise("not_found")
+        F.when(F.col("n_exact") == 1, "text").when(F.col("n_exact") > 1, "ambiguous").when(F.col("by_ref").isNotNull(), "ref").when(F.col("n_part") == 1, "part").when(F.col("n_part") > 1, "ambiguous").when(stale, "stale").otherwise("not_found")
     )
     return one.withColumn("outcome", outcome).withColumn("ref", F.when(F.col("outcome") == "text", F.col("by_text")).when(F.col("outcome") == "ref", F.col("by_ref")).when(F.col("outcome") == "part", F.col("by_part"))).select("request_id", "session_id", "version", "target", "outcome", "ref")
 

@@ -194,6 +194,16 @@ def test_refs(spark):
     assert sorted(rows(snapshots.resolve_targets(requests, got), "request_id", "outcome", "ref")) == [(1, "text", "e3"), (2, "ref", "e2"), (3, "not_found", None), (4, "stale", None)]
 
 
+def test_targets_never_issued_and_kinds(spark):
+    els = snapshots.assign_refs(_elements(spark, [(1, "a", 0, "x", "X"), (2, "a", 0, "y", "Y"), (2, "a", 1, "z", "Sort"), (2, "a", 2, "s", "Sort"), (3, "a", 0, "q", "Q")]))
+    told = els.withColumns({"tag": F.when(F.col("handle") == "s", "select").otherwise("button"), "role": F.when(F.col("handle") == "y", "option").otherwise(""), "is_combobox": F.col("handle") == "z"})
+    asked = [(1, 2, "e1", None), (2, 2, "e5", None), (3, 2, "e38", None), (4, 3, "e38", None), (5, 2, "sort", None), (6, 2, "sort", "select"), (7, 2, "sort", "combobox"), (8, 2, "sort", "input"), (9, 2, "e3", "select"), (10, 2, "y", "option"), (11, 2, "sort", "option"), (12, 3, "q", "option"), (13, 4, "e5", None), (14, 2, "e1", "select")]
+    requests = spark.createDataFrame([(i, 1, v, x, k) for i, v, x, k in asked], "request_id int, session_id int, version int, target string, kind string")
+    got = {r["request_id"]: (r["outcome"], r["ref"]) for r in snapshots.resolve_targets(requests, told).collect()}
+    none = ("not_found", None)
+    assert got == {1: ("stale", None), 2: none, 3: none, 4: none, 5: ("ambiguous", None), 6: ("text", "e4"), 7: ("text", "e3"), 8: none, 9: none, 10: ("text", "e2"), 11: none, 12: ("text", "e5"), 13: ("stale", None), 14: ("stale", None)}
+
+
 def test_deltas_and_payloads(spark):
     els = snapshots.assign_refs(_elements(spark, [(1, "a", 0, "x", "It's"), (1, "a", 1, "y", "Y"), (2, "a", 0, "x", "New"), (2, "a", 1, "z", "Z"), (3, "b", 0, "x", "X")]))
     words = " ".join(f"w{i}" for i in range(200))
