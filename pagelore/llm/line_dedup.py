@@ -37,7 +37,9 @@ def _row_key(text: str, site: str, doc_id: str) -> F.Column:
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """Lines found on min_sites distinct sites or more: _h1, _h2 and _first, the (id, position) that stays."""
     lines = _lines(docs, text, site, doc_id)
-    spread = lines.groupBy(LINE).agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"), F.min(F.struct("_id", "_pos")).alias("_first"))
+    # a sketch leaves out empty strings, so it gets hashes; a null site is none
+    seen = F.when(F.col("_site").isNotNull(), F.xxhash64("_site"))
+    spread = lines.groupBy(LINE).agg(F.hll_sketch_agg(seen, F.lit(LG_K)).alias("_sketch"), F.min(F.struct("_id", "_pos")).alias("_first"))
     estimated = spread.withColumn("_n", F.hll_sketch_estimate("_sketch")).drop("_sketch").where(F.col("_n") >= min_sites * (1 - BAND))
     near = F.col("_n") <= min_sites * (1 + BAND)
     exact = (

@@ -58,6 +58,12 @@ def test_line_dedup_counts_sites(spark):
     assert set(line_dedup.dedup_lines(docs(spark, rows).withColumn("n_lines", F.lit("x")), 9).columns) == {*docs(spark, []).columns, "n_lines", "n_removed"}
 
 
+def test_line_dedup_counts_an_empty_site(spark):
+    rows = [(i, f"own {i}\nnotice", "en", site, 0) for i, site in enumerate(["", *"abcdefg"])] + [(20 + i, "seven sites", "en", site, 0) for i, site in enumerate(["", *"abcdef", None])]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, rows), 8).collect()}
+    assert got == {i: int(0 < i < 8) for i, *_ in rows}
+
+
 # decontamination
 
 
