@@ -6,7 +6,7 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelore.llm import decontaminate, jaccard_join, line_dedup, pieces, quality, shared
@@ -24,11 +24,26 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def _row_key(docs: DataFrame) -> F.Column:
+    """Names a row by doc_id and all columns, as text in the order of the ids; rows of null ids come last."""
+    told = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    low = F.lit(-(2**63)).cast("long")
+    at = F.coalesce(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(low)), 16, "0"), F.lit("~"))
+    return F.concat(at, *(F.lpad(F.hex(F.xxhash64(F.lit(seed), *told)), 16, "0") for seed in (0, 1)))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five words a shingle, a similarity of 0.8 or more."""
-    found = jaccard_join.jaccard_components(docs, shingle=5, num=80, den=100)
-    first = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_first"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    """One document of each group of near duplicates stays: five words a shingle, a similarity of 0.8 or more.
+
+    It is the one of the smallest id. Rows are told apart by all their columns, so ids may be null or repeat; of rows
+    that are the same throughout one stays. Blank texts are in no group and stay.
+    """
+    keyed = docs.withColumn("_key", _row_key(docs))
+    found = jaccard_join.jaccard_components(keyed.select("_key", "text"), shingle=5, num=80, den=100, doc_id="_key")
+    first = found.where(F.col("component_id") == F.col("_key")).groupBy("_key").agg(F.max("n_shingles").alias("_n"))
+    repeat = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    alone = F.when(F.col("_n") > 0, repeat).otherwise(1) == 1
+    return keyed.join(first, "_key").withColumn("_alone", alone).where("_alone").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -331,3 +331,17 @@ def test_digest_helper(spark):
 
     df = spark.createDataFrame([([1, 22],)], "ids array<int>").select(F.sha2(joined_ids("ids"), 256).alias("h"))
     assert df.first()["h"] == hashlib.sha256(b"1,22").hexdigest()
+
+
+# pipeline
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    near = a + " more"
+    rows = [(7, a, "en", "s", 0), (7, a, "en", "s", 0), (7, b, "en", "s", 0), (-3, b, "en", "s", 0), (9, near, "en", "s", 0), (None, c, "en", "s", 0), (None, c, "en", "t", 0), (None, b, "en", "s", 0), (None, d, "en", None, 0), (10, d, None, "s", 0), (11, "", "en", "s", 0), (11, "", "en", "s", 0), (12, None, "en", "s", 0)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.ngram_jaccard_join(spark, docs(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(7, a), (-3, b), (None, c), (10, d), (11, ""), (11, ""), (12, None)], key=str)
