@@ -59,11 +59,14 @@ def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     at = ["page_id", "block_id"]
     terms = query_terms(queries)
-    ev = evidence(blocks).select(*at, "text").repartition(*at).withColumn("tokens", tokens(F.col("text"))).withColumn("n_tokens", F.size("tokens"))
-    hits = ev.select(*at, "n_tokens", F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy(*at, "n_tokens", "term").agg(F.count("*").alias("tf"))
+    asked = F.broadcast(terms.select("term").distinct())
+    every = evidence(blocks)
+    df = every.select(F.explode(F.array_distinct("tokens")).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    whole = every.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms.join(df, "term").crossJoin(ev.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))).select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"), "avg_len")
+    weights = terms.join(df, "term").crossJoin(whole).select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"), "avg_len")
+    ev = every.select(*at, "text").repartition(*at).withColumn("tokens", tokens(F.col("text")))
+    hits = ev.select(*at, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy(*at, "n_tokens", "term").agg(F.count("*").alias("tf"))
     part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
     summed = hits.join(F.broadcast(weights), "term").groupBy("query_id", *at).agg((F.sum(F.round(part * 1e9).cast("long")) / 1e9).alias("score"))
     return summed.select("query_id", *at, F.lit(0).alias("source_rank"), "score").where("score > 0")
@@ -114,7 +117,7 @@ def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, contai
     def ranked(rows: DataFrame) -> DataFrame:
         return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= first)
 
-    got = ranked(scored).join(texts, ["page_id", "block_id"]).select(columns).groupBy("query_id").applyInPandas(choose, out).persist()
+    got = texts.join(F.broadcast(ranked(scored)), ["page_id", "block_id"]).select(columns).groupBy("query_id").applyInPandas(choose, out).persist()
     done = got.where(~F.col("more"))
     while not (left := got.where("more")).isEmpty():
         have = left.groupBy("query_id").agg(F.collect_list("text").alias("_taken"), F.collect_list(F.struct("page_id", "block_id")).alias("_ids"))
