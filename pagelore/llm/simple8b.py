@@ -16,24 +16,37 @@ ESCAPE, WHOLE = 0, 14
 _SHIFT = np.uint64(60)
 
 
-def _pack_block(ids: np.ndarray) -> np.ndarray:
+def _choices(ids: np.ndarray) -> np.ndarray:
+    """The selector that packs most of the ids from each place on: the highest class of width in a window decides.
+
+    Class k needs BITS[k] bits; classes and windows rise together, so each window is put together from smaller ones.
+    """
     n = len(ids)
-    place = np.arange(n)
-    choice = np.full(n, WHOLE, np.int8)
-    for selector in range(WHOLE - 1, 0, -1):  # a run of narrower ids gives more to a word
-        fits = ids < (1 << int(BITS[selector]))
+    widest = np.ones(n, np.uint8)
+    for selector in range(1, WHOLE):
+        widest += ids >= np.uint64(1 << int(BITS[selector]))
+    choice = np.full(n, WHOLE, np.uint8)
+    size, window = 1, widest
+    for selector in range(WHOLE - 1, 0, -1):
         count = int(COUNTS[selector])
-        if fits.sum() < count:
-            continue
-        broken = np.where(fits, n, place)
-        run = np.minimum.accumulate(broken[::-1])[::-1] - place
-        choice[run >= count] = selector
+        if count > n:
+            break
+        longer = n - count + 1
+        window = np.maximum(window[:longer], window[count - size : count - size + longer])  # overlaps, as count <= 2 * size
+        size = count
+        choice[:longer][window <= selector] = selector
     choice[ids >= np.uint64(1 << 60)] = ESCAPE
-    steps = (place + COUNTS[choice]).tolist()
+    return choice
+
+
+def _pack_block(ids: np.ndarray) -> np.ndarray:
+    n = len(ids)
+    choice = _choices(ids)
+    steps = COUNTS[choice].astype(np.uint8).tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
-        at = steps[at]
+        at += steps[at]
     starts = np.array(starts)
     selectors = choice[starts]
     escaped = selectors == ESCAPE
