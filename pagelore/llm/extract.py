@@ -1,10 +1,12 @@
 """Main text of HTML pages: streamed parser events, text-to-tag ratios per line, smoothing and threshold clustering.
 
 A page has no lines of its own, so a block of text between block-level tags is a line. Its ratio is its characters to
-its tags. Smoothed ratios above a threshold mark content lines; the least element that covers all of them, and every
-article and main part, is kept whole, but for elements that are no article text by their tag, role or class: the ratio
-alone would lose an article's short blocks and keep a long advert. A page without article and main keeps the lines
-outside that element too, unless most of their text is links: ratios can't tell a title or a short section from them.
+its tags. Lines of smoothed ratios above a threshold that are not mostly links are content lines. The least element that covers all of them and the page's
+article and main parts is the region of the text; what tags, roles and class words say is no article text goes from it.
+In the region the clusters decide about lines that are mostly links, such as menus and teasers: they stay in an article
+or main part that holds content lines, or within the content lines of a page without. All other lines of the region
+stay, because ratios alone would lose an article's title and short blocks, and on a page without article and main so do
+those outside, as ratios can't tell a title or a short section from them.
 
 Class and id words only suspect an element. It stays if it holds the article or main part, or if its content lines are
 much of the text: half of it, or all if a whole name says that it is something else ("sidebar", not "sidebar-page").
@@ -13,6 +15,8 @@ much of the text: half of it, or all if a whole name says that it is something e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,9 +54,11 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, out of the article, element
+        self.n_open: Counter[str] = Counter()
         self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parent = [0]
         self.part = [0]  # the outermost article or main around an element
+        self.inner = [0]  # the innermost one
         self.doubt = [0]  # what class words say of an element: 0 nothing, 1 a part of a name, 2 a whole name
         self.text: list[str] = []
         self.tags = 0
@@ -80,8 +86,7 @@ class _Lines(HTMLParser):
         self.flush()
         if tag in VOID:
             return
-        names = [t for t, _, _ in self.open]
-        if "p" in names and "p" in names[-4:] and (tag == "p" or tag not in INLINE):
+        if any(t == "p" for t, _, _ in self.open[-4:]):
             self._pop("p")
         for other in CLOSED_BY.get(tag, ()):
             if self.open and self.open[-1][0] == other:
@@ -117,13 +122,17 @@ class _Lines(HTMLParser):
         element = len(self.parent)
         self.parent.append(parent)
         self.part.append(self.part[parent] or element * (tag in PARTS))
+        self.inner.append(element if tag in PARTS else self.inner[parent])
         self.doubt.append(doubt)
         self.open.append((tag, above or out, element))
+        self.n_open[tag] += 1
 
     def _pop(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+        while self.n_open[tag]:
+            last = self.open.pop()[0]
+            self.n_open[last] -= 1
+            if last == tag:
+                break
         if self.link is not None and self.link > len(self.open):
             self.link = None
 
@@ -131,7 +140,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.link = None
-        if tag in INLINE and not any(t == tag for t, _, _ in self.open):
+        if tag in INLINE and not self.n_open[tag]:
             return
         self.flush()
         self._pop(tag)
@@ -188,10 +197,10 @@ def outside(page: _Lines, lines: list[tuple[str, int, int, bool, int]], last: li
         above[element] = above[page.parent[element]] + (page.doubt[element] > 0)
     parts = [part for part in range(1, len(last)) if page.part[part] == part and held(part)]
     least = min((above[part] for part in parts), default=0)
-    first = [part for part in parts if above[part] == least]
+    first = [part for part in parts if above[part] == least]  # in page order
     gone = [False] * len(last)
     for element in range(1, len(last)):
-        out = page.doubt[element] > 0 and not any(element <= part <= last[element] for part in first)
+        out = page.doubt[element] > 0 and not ((k := bisect_left(first, element)) < len(first) and first[k] <= last[element])
         if out and (page.part[element] or not parts):
             share = held(element) / (held(page.part[element]) or 1)
             out = not held(element, 1) or share < (1 if page.doubt[element] == 2 else 0.5)
@@ -214,20 +223,36 @@ def main_text(html: str | None) -> str:
         return ""
     high = clustered(smoothed(np.array([len(text) / tags for text, tags, *_ in lines])))
     parts = any(page.part[element] for _, _, element, *_ in lines)
-    content = [x[2] for x, is_high in zip(lines, high, strict=True) if is_high or page.part[x[2]]]
-    box = min(content)
-    while last[box] < max(content):
+    # smoothing lifts a menu next to the text
+    marked = [element for (_, _, element, *_), is_high in zip(lines, high, strict=True) if is_high] or [x[2] for x in lines]
+    content = [element for (text, _, element, _, linked), is_high in zip(lines, high, strict=True) if is_high and 2 * linked < len(text)] or marked
+    region = covering(page, last, content + [x[2] for x in lines if page.part[x[2]]])
+    region = page.part[region] or region
+    core, strong = covering(page, last, content), {page.inner[element] for element in content} - {0}
+
+    def stays(element: int, mostly_links: bool) -> bool:
+        within = region <= element <= last[region]
+        if not mostly_links:
+            return within or not parts
+        return within and (page.inner[element] in strong if page.inner[element] else core <= element <= last[core])
+
+    return " ".join(text for text, _, element, _, linked in lines if stays(element, 2 * linked >= len(text)))
+
+
+def covering(page: _Lines, last: list[int], elements: list[int]) -> int:
+    """The least element that holds all of those given."""
+    box, end = min(elements), max(elements)
+    while last[box] < end:
         box = page.parent[box]
-    box = page.part[box] or box
-    return " ".join(text for text, _, element, _, linked in lines if box <= element <= last[box] or (not parts and 2 * linked < len(text)))
+    return box
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns in keep, text, and n_chars (long, its code points). A null or empty page has the empty text.
 
-    Each row is judged by its own page; ids may be null or repeat.
+    Each row is judged by its own page; ids may be null or repeat. Columns in keep named text or n_chars are replaced.
     """
-    fields = [f for f in pages.schema if f.name in keep]
+    fields = [f for f in pages.schema if f.name in keep and f.name not in ("text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

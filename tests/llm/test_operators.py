@@ -272,9 +272,60 @@ def test_main_text_in_wrappers(html, text):
     assert extract.main_text(html) == text.strip()
 
 
+TEASER = "<article><a href=1>Read this too</a></article>"
+MENU = "<div><a href=1>one</a> <a href=2>two</a></div>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<main><article><p>{LONG}<p><a href=3>source</a></article>{TEASER}{TEASER}</main>", f"{LONG}source"),  # between articles
+        (f"<article>{LONG}</article>{TEASER}", LONG),
+        (f"<body>{MENU}<div><h1>T</h1><p>{LONG}</p><p><a href=3>source</a></p><p>{LONG}</p></div>{MENU}</body>", f"T {LONG}source {LONG}"),  # without articles
+    ],
+)
+def test_clusters_decide(html, text, monkeypatch):
+    assert extract.main_text(html) == text.strip()
+    monkeypatch.setattr(extract, "clustered", lambda values: np.zeros(len(values), bool))
+    assert extract.main_text(html) != text.strip()
+
+
+def test_clusters_against_plain_counts():
+    rng = random.Random(8)
+    for _ in range(50):
+        values = [rng.choice([rng.uniform(0, 9), rng.uniform(30, 200)]) for _ in range(rng.randrange(1, 30))]
+        kernel = [np.exp(-(k**2) / 2) for k in range(-3, 4)]
+        plain = []
+        for i in range(len(values)):
+            near = [(values[i + k], kernel[k + 3]) for k in range(-3, 4) if 0 <= i + k < len(values)]
+            plain.append(sum(v * w for v, w in near) / sum(w for _, w in near))
+        got = extract.smoothed(np.array(values))
+        assert got == pytest.approx(plain)
+        at = sum(plain) / len(plain)
+        for _ in range(30):
+            high, low = [v for v in plain if v > at], [v for v in plain if v <= at]
+            if not high or not low:
+                break
+            at = (sum(high) / len(high) + sum(low) / len(low)) / 2
+        assert extract.clustered(got).tolist() == [v >= at - 1e-9 for v in plain]
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.process_time()
+    assert extract.main_text("<div>" * 100_000 + "deep") == "deep" and len(extract.main_text("<div class=ad><p>x" * 50_000)) > 0
+    assert time.process_time() - began < 30
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a<p>b</article>", "x"), (1, "u", None, "y"), (None, None, "", "z")], "page_id bigint, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in extract.extract(pages).collect()) == [("", 0), ("", 0), ("a b", 3)]
+    clashing = extract.extract(pages.withColumn("n_chars", F.lit("x")), keep=("page_id", "text", "n_chars"))
+    assert clashing.columns == ["page_id", "text", "n_chars"] and sorted(r["n_chars"] for r in clashing.collect()) == [0, 0, 3]
+    assert extract.extract(pages.limit(0)).count() == 0
+    long = extract.extract(spark.createDataFrame([(1, "u", "<article>" + "<p>word" * 300_000)], "page_id bigint, url string, html string")).first()
+    assert long["n_chars"] == 5 * 300_000 - 1
 
 
 # n-gram Jaccard join
