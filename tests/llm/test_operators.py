@@ -222,6 +222,32 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs(spark, ODD), toxicity.train(df, known.limit(0))).count() == len(ODD)
 
 
+def test_log_count_ratios_against_plain_counts():
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, rng.randrange(0, 9), 9)) for _ in range(30)]
+    toxic = np.array([i % 3 == 0 for i in range(30)], int)
+    found = [np.unique(toxicity.features(x)) for x in texts]
+    ratio, held = toxicity.log_count_ratios(found, toxic)
+    for f in np.unique(np.concatenate(found)):
+        n = [sum(f in set(toxicity.features(x).tolist()) for x, t in zip(texts, toxic, strict=True) if t == k) for k in (0, 1)]
+        assert held[f] == sum(n) and ratio[f] == pytest.approx(np.log((n[1] + 1) / (10 + 2)) - np.log((n[0] + 1) / (20 + 2)))
+    grams = {x[i : i + n] for x in [" ab "] for n in toxicity.SIZES for i in range(len(x) - n + 1)}
+    assert len(np.unique(toxicity.features("AB"))) == len(grams)
+
+
+def test_toxicity_of_clashing_labels_and_columns(spark):
+    rows = [(i, f"text {'scum' * 3 if i % 2 else 'fine'} {i}", "en", "s", 0) for i in range(40)]
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(40)), (1, 0), (2, 1)], "doc_id bigint, toxic int")
+    df = docs(spark, rows).withColumn("score", F.lit("x"))
+    model = toxicity.train(df, labels)
+    got = toxicity.score(df, model, keep=("doc_id", "score"))
+    assert got.columns == ["doc_id", "score"] and got.count() == 40 and got.schema["score"].dataType.simpleString() == "double"
+    again = toxicity.train(df.where("doc_id > 2 or doc_id = 0"), labels.where("doc_id > 2 or doc_id = 0"))
+    assert (model[0] == again[0]).all() and np.allclose(model[1], again[1]) and model[2] == pytest.approx(again[2])
+    assert toxicity.score(docs(spark, [(1, "long " * 500_000, "en", "s", 0)]), model).count() == 1
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
 # HTML extraction
 
 
