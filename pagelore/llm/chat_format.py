@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
+#: Kinds of attachments that a placeholder names.
+KINDS = ("image", "audio", "document")
 
 PART = T.StructType(
     [
@@ -67,12 +69,19 @@ def expanded_tokens(part: Column) -> Column:
 def visited(parts: Column) -> tuple[Column, Column]:
     """(body, attachments) of an array of parts. A placeholder is numbered by the part's place in its turn.
 
-    Null arrays and null parts hold nothing, a null text is empty. A part of another kind is an attachment of 0 tokens.
+    Null arrays and null parts hold nothing, a null text is empty. A part of another kind is an attachment of 0 tokens,
+    whose placeholder says "other". Texts that follow one another are escaped as one, so that no control string comes
+    about where they meet.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(T.ArrayType(PART))), lambda p: p.isNotNull())
     kind = lambda p: F.coalesce(p["kind"], F.lit("text"))
-    place = lambda p, i: F.concat(F.lit("<|"), escaped_role(kind(p)), F.lit(":"), i.cast("string"), F.lit("|>"))
-    body = F.array_join(F.transform(parts, lambda p, i: F.when(kind(p) == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(place(p, i))), "")
+    shown = lambda p: F.when(kind(p).isin(*KINDS), kind(p)).otherwise("other")
+    place = lambda p, i: F.concat(F.lit("<|"), shown(p), F.lit(":"), i.cast("string"), F.lit("|>"))
+    told = F.transform(parts, lambda p, i: F.struct((kind(p) == "text").alias("plain"), F.when(kind(p) == "text", F.coalesce(p["text"], F.lit(""))).otherwise(place(p, i)).alias("said")))
+    step = lambda acc, x: F.struct(
+        F.when(x["plain"], acc["done"]).otherwise(F.concat(acc["done"], escaped(acc["run"]), x["said"])).alias("done"), F.when(x["plain"], F.concat(acc["run"], x["said"])).otherwise("").alias("run")
+    )
+    body = F.aggregate(told, F.struct(F.lit("").alias("done"), F.lit("").alias("run")), step, lambda acc: F.concat(acc["done"], escaped(acc["run"])))
     found = F.transform(parts, lambda p, i: F.struct(i.alias("part"), kind(p).alias("kind"), p["ref"].alias("ref"), place(p, i).alias("placeholder"), expanded_tokens(p).alias("n_tokens")))
     return body, F.filter(found, lambda a: a["kind"] != "text")
 
