@@ -23,12 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.shared import kept, slices
+from pagelore.llm.shared import dropped, kept, slices
+from pagelore.llm.words import CHARACTERS, REMEMBERED, Numbers
 
 #: Shingles of so many documents or more are frequent, and indexed in combinations of K.
 FREQUENT, K = 200, 2
 #: An open index entry of at most so many sets verifies its pairs at once; larger ones take so many centres at a time.
 SMALL_ENTRY, CENTRES = 8192, 1024
+#: So many of a set's least entries tell, where sets meet, whether they have met before.
+SKETCH = 64
 
 #: A window has a SPARE-th part more shingles than a partner may lack, and one.
 SPARE = 3
@@ -44,32 +47,39 @@ def missing(n, num: int, den: int):
 
 
 class Shingler:
-    """64-bit hashes of the distinct word n-grams of a text, in ascending order."""
+    """64-bit hashes of the distinct word n-grams of texts, in ascending order."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(_LOWER).split(b" ")
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        own = []
-        for w in words:
-            if w:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                own.append(h)
-        if not own:
-            return np.zeros(0, np.uint64)
-        h = np.array(own, np.uint64)
+        self.n = n
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.hashes, self.characters = Numbers(), np.zeros(0, np.uint64), 0
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.hashes) > REMEMBERED or self.characters > CHARACTERS:
+            self.clear()
+        words = [(text or "").encode().translate(_LOWER).split() for text in texts]
+        at = self.numbers.of(words)
+        if new := self.numbers.names[len(self.hashes) :]:
+            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
+            self.characters += sum(map(len, new))
+        every, start, out = self.hashes[at], 0, []
+        for size in map(len, words):
+            out.append(self._grams(every[start : start + size]))
+            start += size
+        return out
+
+    def _grams(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
         size = min(self.n, len(h))
         mixed = np.full(len(h) - size + 1, size, np.uint64)
         for i in range(size):
             mixed = (mixed ^ (h[i : i + len(mixed)] * _MIX[i % len(_MIX)])) * _MIX[-1 - i % 4]
             mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
+        mixed.sort()
+        return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -85,8 +95,7 @@ def _windows(docs: DataFrame, shingle: int, num: int, den: int, id_type: str) ->
         for batch in batches:
             for rows, texts in slices(batch, "_text"):
                 nodes, counts, windows = [], [], []
-                for text in texts:
-                    found = own(text)
+                for found in own(texts):
                     n = len(found)
                     node = xxhash.xxh3_64_intdigest(found.tobytes(), seed=n) - 2**63 if n else None
                     e = missing(n, num, den)
@@ -110,8 +119,8 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for rows, texts in slices(batch, "_text"):
                 found = []
-                for text, node in zip(texts, rows.column("node").to_pylist(), strict=True):
-                    if node not in seen and len(x := own(text)) and xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x)) - 2**63 == node:
+                for x, node in zip(own(texts), rows.column("node").to_pylist(), strict=True):
+                    if node not in seen and len(x) and xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x)) - 2**63 == node:
                         seen.add(node)
                         found.append((node, x))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), _lists([x for _, x in found])], ["node", "n", "shingles"])
@@ -119,8 +128,14 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("_text", "node").mapInArrow(run, "node bigint, n bigint, shingles array<bigint>")
 
 
-def _hash(*parts) -> int:
-    return xxhash.xxh3_64_intdigest(np.array(parts, np.int64).tobytes()) - 2**63
+def _entry(*parts) -> np.ndarray:
+    """64-bit names made of whole numbers or arrays of them."""
+    mixed = np.uint64(len(parts))
+    with np.errstate(over="ignore"):
+        for i, part in enumerate(parts):
+            mixed = (mixed ^ (np.asarray(part, np.int64).astype(np.uint64) * _MIX[i])) * _MIX[4 + i]
+            mixed = mixed ^ (mixed >> np.uint64(32))
+    return mixed.view(np.int64) if isinstance(mixed, np.ndarray) else np.array([mixed]).view(np.int64)
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -131,23 +146,24 @@ def size_class(n: int, num: int, den: int) -> int:
     return k
 
 
-def signatures(n: int, common: list[tuple[int, int]], num: int, den: int, frequent: int = FREQUENT) -> set[int]:
-    """Index entries of a set of n shingles; common: (document frequency, shingle) of those of two sets or more.
+def signatures(n: int, f: np.ndarray, t: np.ndarray, num: int, den: int, frequent: int = FREQUENT) -> np.ndarray:
+    """Index entries of a set of n shingles. f: document frequencies of those that two sets or more have, t: the shingles.
 
     Shingles of one set alone need no entry and fill the prefix first. A prefix is long enough when more than e of its
     shingles would have to be missing before a partner shares no entry with it; a class of c frequent shingles keeps
     up to K - 1 without making an entry, so it counts as c - K + 1.
     """
-    least = missing(n, num, den) + 1 - (n - len(common))
+    least = missing(n, num, den) + 1 - (n - len(t))
     if least <= 0:
-        return set()
-    ordered = sorted(common)
-    rare = [t for f, t in ordered if f < frequent]
-    out = {_hash(t) for t in rare[:least]}
-    least -= len(rare)
+        return t[:0]
+    order = np.lexsort((t, f))
+    f, t = f[order], t[order]
+    rare = int(np.searchsorted(f, frequent))
+    out = [_entry(t[: min(least, rare)])]
+    least -= rare
     if least <= 0:
-        return out
-    often = [t for f, t in ordered if f >= frequent]
+        return out[0]
+    often = t[rare:]
     own = size_class(n, num, den)
     for k in (own - 1, own):  # named after the smaller partner's class
         smallest = 1
@@ -155,20 +171,24 @@ def signatures(n: int, common: list[tuple[int, int]], num: int, den: int, freque
             smallest = max(smallest + 1, smallest * den // num + 1)
         classes = max(1, missing(smallest, num, den) // 8)
         if smallest < 4 * (classes + 1) * K:  # too short to spare K - 1 shingles a class
-            out |= {_hash(k, t) for t in often[:least]}
+            out.append(_entry(k, often[:least]))
             continue
-        held: dict[int, list[int]] = {}
-        covers = 0
-        for t in often:
-            group = held.setdefault(t % classes, [])
-            group.append(t)
-            covers += len(group) >= K
-            if covers >= least:
-                break
-        out |= {_hash(k, a, b) for group in held.values() for i, b in enumerate(group) for a in group[:i]}
-        if covers < least:  # the set is used up before the prefix is long enough
-            out |= {_hash(k, -1, t) for t in often}
-    return out
+        group = often % classes
+        by = np.argsort(group, kind="stable")
+        first = np.searchsorted(group[by], group[by])
+        place = np.zeros(len(often), np.int64)
+        place[by] = np.arange(len(often)) - first  # within its class
+        covers = np.cumsum(place >= K - 1)
+        if len(covers) and covers[-1] >= least:
+            used = int(np.searchsorted(covers, least)) + 1
+        else:  # the set is used up before the prefix is long enough
+            used = len(often)
+            out.append(_entry(k, -1, often))
+        for c in np.unique(group[:used]):
+            held = often[:used][group[:used] == c]
+            a, b = np.triu_indices(len(held), 1)
+            out.append(_entry(k, held[a], held[b]))
+    return np.unique(np.concatenate(out))
 
 
 def _entries(sets: DataFrame, num: int, den: int, frequent: int) -> DataFrame:
@@ -179,15 +199,15 @@ def _entries(sets: DataFrame, num: int, den: int, frequent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                entries, nodes, counts, shared = [], [], [], []
-                for row in part.to_pylist():
-                    found = signatures(row["n"], [(c["f"], c["t"]) for c in row["common"]], num, den, frequent)
-                    entries += found
-                    nodes += [row["node"]] * len(found)
-                    counts += [row["n"]] * len(found)
-                    shared += [len(row["common"])] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (entries, nodes, counts, shared)], ["entry", "node", "n", "r"])
+            common, nodes, counts = batch.column("common"), batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            ends = common.offsets.to_numpy()
+            f, t = (common.values.field(i).to_numpy() for i in (0, 1))
+            for low in range(0, batch.num_rows, 200):
+                rows = range(low, min(low + 200, batch.num_rows))
+                found = [signatures(int(counts[i]), f[ends[i] : ends[i + 1]], t[ends[i] : ends[i + 1]], num, den, frequent) for i in rows]
+                at = np.repeat(np.array(rows), list(map(len, found)))
+                shared_ = (ends[1:] - ends[:-1]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate(found), nodes[at], counts[at], shared_[at])], ["entry", "node", "n", "r"])
 
     return sets.select("node", "n").join(common, "node").mapInArrow(run, "entry bigint, node bigint, n bigint, r bigint")
 
@@ -202,10 +222,14 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
-        edges = kept(small.distinct(), "edges")
+        before, edges = edges, kept(small.distinct(), "edges")
+        if done is not None:
+            dropped(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == done:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+            labels = kept(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct()), "labels")
+            dropped(edges)
+            return labels
         done = state
 
 
@@ -234,6 +258,7 @@ def _links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         live = now.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("entry", "size")
         rows = kept(now.join(live, "entry"), "open")
         if rows.isEmpty():
+            dropped(rows)
             return labels
         first = labels is None
         large = rows if first else rows.where(F.col("size") > SMALL_ENTRY)
@@ -245,19 +270,24 @@ def _links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         pairs = large.join(centres, "entry").where("node <> a and component <> cc").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         if not first:
             small = rows.where(F.col("size") <= SMALL_ENTRY)
-            earlier = Window.partitionBy("node").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
-            small = small.select("entry", "node", "n", "r", "component", F.collect_list("entry").over(earlier).alias("before"))  # as many as a prefix has
+            order = Window.partitionBy("node").orderBy("entry")
+            least = F.collect_list(F.when(F.col("_k") <= SKETCH, F.col("entry"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+            small = small.withColumn("_k", F.row_number().over(order)).select("entry", "node", "n", "r", "component", least.alias("before"))
             other = small.select("entry", F.col("node").alias("a"), F.col("n").alias("nc"), F.col("r").alias("rc"), F.col("component").alias("cc"), F.col("before").alias("other_before"))
-            # One filter, so that the costly test comes last: a pair is emitted once, where its sets meet first.
+            # One filter, so that the costly test comes last: a pair is emitted where its sets meet first, and maybe
+            # again where they met before outside both sketches.
             apart = F.expr(f"a < node and component <> cc and {fits}")
             met = small.join(other, "entry").where(apart & ~F.arrays_overlap("before", "other_before"))
             pairs = pairs.union(met.select("a", F.col("node").alias("b")))
         pairs = kept(pairs.distinct(), "pairs")
         found = _verified(pairs, sets, num, den)
         links = found if first else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = kept(components(kept(links, "links")), "labels")
+        links = kept(links, "links")
+        older, labels = labels, components(links)
         settled = centres.select("entry", F.col("a").alias("node"))
-        open_ = large.join(settled, ["entry", "node"], "left_anti").select("entry", "node", "n", "r")
+        left = kept(large.join(settled, ["entry", "node"], "left_anti").select("entry", "node", "n", "r"), "left")
+        dropped(open_, rows, pairs, links, older, None if first else centres)
+        open_ = left
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, text: str = "text", doc_id: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
@@ -270,23 +300,26 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    windows = _windows(own, shingle, num, den, id_type)
+    windows = kept(_windows(own, shingle, num, den, id_type), "windows")
     members = kept(windows.select("_id", "node", "n"), "members")
     return _joined(own, windows, members, shingle, num, den, frequent).select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _joined(own: DataFrame, windows: DataFrame, members: DataFrame, shingle: int, num: int, den: int, frequent: int) -> DataFrame:
-    windows = windows.select("node", F.explode("window").alias("t"))  # made anew for each use: less disk than a copy
+def _joined(own: DataFrame, kept_windows: DataFrame, members: DataFrame, shingle: int, num: int, den: int, frequent: int) -> DataFrame:
+    windows = kept_windows.select("node", F.explode("window").alias("t"))
     shared = windows.groupBy("t").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("t")
     smaller = f"(({num} * n + {den - 1}) div {den})"
     lacking = f"({smaller} - ({num} * {smaller} + {den - 1}) div {den})"
     found = windows.join(shared, "t").groupBy("node").agg(F.count_distinct("t").alias("k"))
     sizes = members.groupBy("node").agg(F.first("n").alias("n"))
     partnered = kept(found.join(sizes, "node").where(f"k > ({lacking}) div {SPARE}").select("node"), "partnered")
+    dropped(kept_windows)
     one = members.join(partnered, "node").groupBy("node").agg(F.min("_id").alias("_id"))
     chosen = one.select(F.col("_id").alias("_chosen"), "node")
     sets = kept(_sets(own.join(chosen, F.col("_id").eqNullSafe(F.col("_chosen"))), shingle), "sets")
+    dropped(partnered)
     labels = _links(kept(_entries(sets, num, den, frequent), "entries"), sets, num, den)
+    dropped(sets)
     least = members.where("node is not null").groupBy("node").agg(F.min("_id").alias("least"))
     if labels is None:
         named = least.select("node", F.col("least").alias("component_id"))

@@ -41,7 +41,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(spark, name)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._kept_at = path
+    return found
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that kept() wrote, once all that was made from them is written too."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: str) -> F.Column:
