@@ -14,14 +14,16 @@ from pagelore.llm.queries import joined_ids, table, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. Null and blank texts are rejected."""
     return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines go but for their first occurrence; n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Cross-site boilerplate lines go but for their first occurrence; n_chars follows the text. A null text stays null."""
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    cleaned = line_dedup.dedup_lines(docs.select("doc_id", "source", "text", F.struct(*others).alias("_others")))
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_others.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*(F.col(f"_others.{c}") if c in others and c != "n_chars" else length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def _row_key(docs: DataFrame) -> F.Column:
@@ -47,9 +49,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("hit_spans") == 0).select(docs.columns)
+    """Documents that hold a window of a benchmark item go. Null texts stay."""
+    whole = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    found = decontaminate.find(whole, table(spark, sf_dir, "benchmark"), keep=("_doc",))
+    return found.where(F.size("hit_spans") == 0).select("_doc.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

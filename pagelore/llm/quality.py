@@ -151,10 +151,10 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of df that the rules keep, with df's columns.
+    """The rows of df that the rules keep, with df's columns, those that bear a metric's name included.
 
     The optimiser moves a filter below a projection by writing the projection's expressions into it, again and again
     for steps that build on each other. A condition that counts as non-deterministic stays where it is.
     """
-    judged = apply_rules(df, text, rules).withColumn("_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.where("_keep").select(df.columns)
+    judged = apply_rules(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_body")), "_body", rules)
+    return judged.withColumn("_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("_keep").select("_row.*")

@@ -97,6 +97,8 @@ def write_flat(docs: DataFrame, folder: str, encoder: Encoder, end_id: int, dtyp
         for batch in batches:
             for rows, texts in slices(batch, "_text"):
                 for ids in encode(texts):
+                    if len(ids) and (ids.max() > np.iinfo(dtype).max or (ids == end_id).any()):
+                        raise ValueError(f"an id is {end_id}, which ends documents, or too large for {dtype}")
                     own += [ids.astype(dtype), last]
                     held += len(ids) + 1
                 names.append(rows.column("_id"))
@@ -112,8 +114,8 @@ def write_flat(docs: DataFrame, folder: str, encoder: Encoder, end_id: int, dtyp
 def count_tokens(docs: DataFrame, encoder: Encoder, end_id: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens (long) and file, start (long) of each row of docs, counted in flat files written for it.
 
-    A null or empty text has no tokens. Ids may be null or repeat; rows come out once each. end_id must not be an id
-    that the encoder gives.
+    A null or empty text has no tokens. Ids may be null or repeat; rows come out once each. Where the encoder gives
+    end_id, or an id too large for dtype, the job fails.
     """
     spark = docs.sparkSession
     folder = new_dir(spark, "flat")
