@@ -2,7 +2,8 @@
 
 A text is normalised by longest prefixes of the model's compiled character map while the source offset of every
 normalised byte is noted. A copy of the model that no longer normalises encodes the result, and the lengths of the
-pieces, summed up, project each piece to a span of source bytes.
+pieces, summed up, project each piece to a span of source bytes. In a BPE model without pieces that go on over a word's
+end each word's pieces are its own, so the model is asked once for each distinct word of a worker.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.shared import slices
+from pagelore.llm.words import WordTable, by_text
 
 SPACE = "▁"
 BYTE, CONTROL, UNKNOWN = 6, 3, 2
+BPE = 2
+#: A word with the marks before it, or marks at the end.
+UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 
 def mapped_strings(blob: bytes) -> dict[bytes, bytes]:
@@ -119,16 +125,38 @@ class Pieces:
         for flag in ("add_dummy_prefix", "remove_extra_whitespaces", "escape_whitespaces"):
             setattr(model.normalizer_spec, flag, False)
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, and the first and last-but-one byte of each piece's source."""
-        normalised, offsets = self.normalise(text)
-        ids = np.array(self.plain.encode(normalised.decode(), num_threads=1), dtype=np.int32)
-        widths = self.widths[ids]
-        if widths.sum() != len(normalised):  # an unknown piece: its width is that of its own text
-            widths = np.array([len(p.surface.encode()) for p in self.plain.encode(normalised.decode(), out_type="immutable_proto").pieces])
-        ends = np.cumsum(widths)
-        return ids, offsets[ends - widths].astype(np.int32), offsets[ends].astype(np.int32)
+        self.by_word = model.trainer_spec.model_type == BPE and not any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in model.pieces if p.type not in (CONTROL, UNKNOWN, BYTE))
+        self.words = WordTable(self._encode_words, np.dtype(np.int32))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """words lack the mark that each begins with."""
+        found = self.plain.encode([SPACE + w for w in words], num_threads=1)
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        split = []
+        for x in texts:
+            if not self.by_word or not x.startswith(SPACE):
+                split.append([])
+            elif SPACE * 2 in x or x.endswith(SPACE):
+                split.append([w[1:] for w in UNIT.findall(x)])
+            else:
+                split.append(x[1:].split(SPACE))
+        ids, _, sizes = self.words(split)
+        return [np.array(self.plain.encode(x, num_threads=1), np.int32) if x and not words else own for x, words, own in zip(texts, split, by_text(ids, sizes, split), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text its ids, and the first and last-but-one byte of each piece's source."""
+        normalised = [self.normalise(x) for x in texts]
+        plain = [x.decode() for x, _ in normalised]
+        out = []
+        for ids, x, (data, offsets) in zip(self._ids(plain), plain, normalised, strict=True):
+            widths = self.widths[ids]
+            if widths.sum() != len(data):  # an unknown piece: its width is that of its own text
+                widths = np.array([len(p.surface.encode()) for p in self.plain.encode(x, out_type="immutable_proto").pieces])
+            ends = np.cumsum(widths)
+            out.append((ids, offsets[ends - widths].astype(np.int32), offsets[ends].astype(np.int32)))
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode(ids, num_threads=1)
@@ -144,16 +172,16 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
 
     model is the path of a model file that every machine has. Spans count bytes of the UTF-8 source; a piece made of
     the prefix alone has an empty span. A null or empty text has no pieces and decodes to the empty string. Rows come
-    out once each, whatever their ids.
+    out once each, whatever their ids. Columns in keep that bear one of the four names are replaced.
     """
-    fields = [f for f in df.schema if f.name in keep]
+    fields = [f for f in df.schema if f.name in keep and f.name not in ("ids", "span_starts", "span_ends", "decoded")]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["ids array<int>, span_starts array<int>, span_ends array<int>, decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in batches:
             for rows, texts in slices(batch, "_text"):
-                coded = [own.encode(x or "") for x in texts]
+                coded = own.encode([x or "" for x in texts])
                 ends = np.cumsum([0] + [len(x[0]) for x in coded]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[i] for x in coded]))) for i in range(3)]
                 decoded = pa.array(own.decode([x[0].tolist() for x in coded]), pa.string())
