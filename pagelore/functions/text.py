@@ -38,10 +38,11 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams of the collapsed lower-case text; shorter texts are their own only gram."""
+    """Distinct character trigrams of the collapsed lower-case text; shorter texts have none."""
     flat = F.lower(collapsed(text))
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - 2, F.lit(1))), lambda i: F.substring(flat, i, F.lit(3)))
-    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+    many = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3))))
+    found = F.transform(F.array(flat), lambda x: F.when(F.length(x) < 3, F.array().cast("array<string>")).otherwise(many(x)))
+    return F.get(found, F.lit(0))
 
 
 def near_duplicate(a: Column, b: Column, containment: float = 0.9) -> Column:
@@ -50,11 +51,6 @@ def near_duplicate(a: Column, b: Column, containment: float = 0.9) -> Column:
     return (least > 0) & (F.size(F.array_intersect(a, b)) >= containment * least)
 
 
-def upper_median(value: Column) -> Column:
-    """The element at half the count of the ordered values, as the reports print it; nulls are left out."""
-    return F.get(F.sort_array(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
-
-
 @F.pandas_udf(T.StringType())
 def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Character references decoded."""

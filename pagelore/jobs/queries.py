@@ -234,7 +234,7 @@ def c4_action_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "events").select("event_id", triage.action_failure(message)["type"].alias("failure"))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN '127.1 is a private or internal address' WHEN 1 THEN '169.254.169.254 is a cloud metadata endpoint' WHEN 2 THEN 'scheme ''ftp'' is not allowed (http/https only)' WHEN 3 THEN 'localhost is not allowed' END AS refusal FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN '127.1 is a private or internal address' WHEN 1 THEN '169.254.169.254 is a cloud metadata endpoint' WHEN 2 THEN 'scheme ''ftp'' is not allowed (http/https only)' WHEN 3 THEN 'localhost is not allowed (pass allow_private=True to permit)' END AS refusal FROM pages")
 def c5_url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 5
     url = F.when(k == 0, "http://127.1/a").when(k == 1, "http://169.254.169.254/latest").when(k == 2, "ftp://site.test/").when(k == 3, "http://dev.localhost:3000/").otherwise(F.col("url"))
@@ -286,7 +286,7 @@ def r3_r4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.bm25(queries, found, t.blocks(spark, sf_dir)).select("query_id", "page_id", "block_id", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH g AS (SELECT page_id, block_id, list_distinct(CASE WHEN length(x) = 0 THEN [] ELSE list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substr(x, i, 3)) END) AS g FROM (SELECT page_id, block_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM ({LINES})))
+@query(f"""WITH g AS (SELECT page_id, block_id, list_distinct(CASE WHEN length(x) < 3 THEN [] ELSE list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)) END) AS g FROM (SELECT page_id, block_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM ({LINES})))
     SELECT a.page_id, CAST(a.block_id AS INT) AS block_id, least(len(a.g), len(b.g)) > 0 AND len(list_intersect(a.g, b.g)) >= 0.9 * least(len(a.g), len(b.g)) AS near FROM g a JOIN g b ON b.page_id = a.page_id AND b.block_id = a.block_id + 1""")
 def r5_near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = t.blocks(spark, sf_dir).select("page_id", "block_id", trigrams(F.col("text")).alias("g"))
@@ -588,7 +588,7 @@ def e18_compare_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.compare_signals(side("event_id % 3 <> 0", "error"), side("event_id % 5 <> 0", "click")).select("name", "failed_before", "failed_after", (F.col("value_before") == "MISSING").alias("missing_before"))
 
 
-@query("SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_tells, length(text) + CASE WHEN doc_id % 4 = 0 THEN 28 ELSE 0 END >= 400 AS usable FROM documents")
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_tells, length(text) + CASE WHEN doc_id % 4 = 0 THEN 29 ELSE 0 END >= 400 AS usable FROM documents")
 def e19_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " WebDriver missing (failed). ").otherwise(""))
     return e.tells(t.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "n_tells", "usable")

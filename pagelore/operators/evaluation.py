@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.functions.text import alphanumeric, collapsed, upper_median
+from pagelore.functions.medians import middle, with_medians
+from pagelore.functions.text import alphanumeric, collapsed
 
 MARKER_WORDS, MARKER_BLOCK_WORDS = 12, 15
 NAIVE_CHARS = 500
 NOISE_CHARS = 50
 QUERY_COST, PAGES_PER_QUERY, RIVAL_COST = 0.025, 8, 0.049
 RATES_PER_GB = (8.50, 6.00, 4.00, 2.75, 1.75, 0.59)
-LEAST_SUCCESS, COST_WIN, SUCCESS_WIN = 0.5, 1.5, 0.10
+LEAST_SUCCESS, COST_WIN, SUCCESS_WIN = 0.80, 1.5, 0.10
 CONTEXT_TOKENS = 200_000
 
 
@@ -45,10 +46,10 @@ def reach_report(rows: DataFrame) -> DataFrame:
     both arms read: upper median, least and largest."""
     both = F.col("browser_ok") & F.col("static_ok") & (F.col("browser_chars") > 0)
     ratio = F.when(both, F.col("static_chars") / F.col("browser_chars"))
-    out = rows.rollup("category").agg(
-        F.grouping("category").alias("_all"), F.count("*").alias("n"), F.count_if("browser_ok").alias("browser"), F.count_if("static_ok").alias("static"), upper_median(ratio).alias("median_ratio"), F.min(ratio).alias("min_ratio"), F.max(ratio).alias("max_ratio")
-    )
-    return out.withColumn("category", F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("category"))).withColumn("gap", F.col("browser") - F.col("static")).drop("_all")
+    told = rows.select("browser_ok", "static_ok", ratio.alias("_ratio"), F.explode(F.array("category", F.lit("TOTAL"))).alias("category"))
+    out = told.groupBy("category").agg(F.count("*").alias("n"), F.count_if("browser_ok").alias("browser"), F.count_if("static_ok").alias("static"), F.min("_ratio").alias("min_ratio"), F.max("_ratio").alias("max_ratio"))
+    found = with_medians(out, told, ["category"], _m=F.col("_ratio"))
+    return found.withColumns({"median_ratio": F.col("_m.upper"), "gap": F.col("browser") - F.col("static")}).drop("_m")
 
 
 def silent_failures(rows: DataFrame) -> DataFrame:
@@ -95,15 +96,15 @@ def reveal_report(rows: DataFrame) -> DataFrame:
     """Per category n, gained, hydrated, false positives, upper medians of gained characters and milliseconds, and
     the ratio of mean costs over rows without an error. rows: see gained, with before_ms, after_ms, note, expected."""
     clean = F.coalesce("note", F.lit("")) == ""
-    return rows.groupBy("category").agg(
+    out = rows.groupBy("category").agg(
         F.count("*").alias("n"),
         F.count_if("gained").alias("n_gained"),
         F.count_if("hydrated").alias("n_hydrated"),
         F.count_if(F.col("gained") & ~F.col("expected")).alias("false_positives"),
-        upper_median(F.col("gain_chars")).alias("median_chars"),
-        upper_median(F.col("after_ms") - F.col("before_ms")).alias("median_ms"),
         (F.avg(F.when(clean, F.col("after_ms"))) / F.avg(F.when(clean, F.col("before_ms")))).alias("cost_ratio"),
     )
+    found = with_medians(out, rows, ["category"], _c=F.col("gain_chars"), _t=F.col("after_ms") - F.col("before_ms"))
+    return found.withColumns({"median_chars": F.col("_c.upper"), "median_ms": F.col("_t.upper")}).drop("_c", "_t")
 
 
 def page_weights(requests: DataFrame, pages: DataFrame, least_chars: int = NAIVE_CHARS) -> DataFrame:
@@ -123,7 +124,8 @@ def page_weights(requests: DataFrame, pages: DataFrame, least_chars: int = NAIVE
 def page_weight_report(rows: DataFrame) -> DataFrame:
     """Per category and arm n, loaded, excluded, mean and upper-median MB of loaded pages."""
     size = F.when(F.col("status") == "loaded", F.col("mb_total"))
-    return rows.groupBy("category", "arm").agg(F.count("*").alias("n"), F.count(size).alias("loaded"), F.count_if(F.col("status") != "loaded").alias("excluded"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean_mb"), F.coalesce(upper_median(size), F.lit(0.0)).alias("median_mb"))
+    out = rows.groupBy("category", "arm").agg(F.count("*").alias("n"), F.count(size).alias("loaded"), F.count_if(F.col("status") != "loaded").alias("excluded"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean_mb"))
+    return with_medians(out, rows, ["category", "arm"], _m=size).withColumn("median_mb", F.coalesce("_m.upper", F.lit(0.0))).drop("_m")
 
 
 def exclusions(rows: DataFrame) -> DataFrame:
@@ -148,15 +150,18 @@ def ratio_stats(counts: DataFrame, base: str, keys: tuple[str, ...] = ()) -> Dat
     own = known.where(F.col("arm") == base).select(*keys, "page", F.col("tokens").alias("b"))
     pairs = known.where(F.col("arm") != base).join(own, [*keys, "page"]).withColumn("ratio", F.col("tokens") / F.col("b"))
     out = pairs.groupBy(*keys, "arm").agg(
-        F.count("*").alias("n"), F.median("ratio").alias("median_of_ratios"), (F.median("tokens") / F.median("b")).alias("ratio_of_medians"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"), F.count_if(F.col("tokens") <= F.col("b")).alias("n_lost")
+        F.count("*").alias("n"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"), F.count_if(F.col("tokens") <= F.col("b")).alias("n_lost")
     )
+    found = with_medians(out, pairs, [*keys, "arm"], _r=F.col("ratio"), _o=F.col("tokens"), _b=F.col("b"))
+    out = found.withColumns({"median_of_ratios": middle("_r"), "ratio_of_medians": middle("_o") / middle("_b")}).drop("_r", "_o", "_b")
     return out.withColumn("conservative", F.when(F.col("median_of_ratios") <= F.col("ratio_of_medians"), "median_of_ratios").otherwise("ratio_of_medians"))
 
 
 def arm_summary(wide: DataFrame, arms: list[str], page: str = "page") -> DataFrame:
     """Per arm median, min, max, measured and total pages, from one column for each arm."""
     long = wide.unpivot([page], arms, "arm", "tokens")
-    return long.groupBy("arm").agg(F.median("tokens").alias("median"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.count("tokens").alias("measured"), F.count("*").alias("total"))
+    out = long.groupBy("arm").agg(F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.count("tokens").alias("measured"), F.count("*").alias("total"))
+    return with_medians(out, long, ["arm"], _m=F.col("tokens")).withColumn("median", middle("_m")).drop("_m")
 
 
 def unmeasured(wide: DataFrame, arms: list[str], page: str = "page") -> DataFrame:
@@ -169,7 +174,9 @@ def mode_scores(bills: DataFrame, base_mode: str) -> DataFrame:
     exceeds a context window. bills: scenario, mode, cumulative, peak."""
     base = bills.where(F.col("mode") == base_mode).select("scenario", F.col("cumulative").alias("_c"), F.col("peak").alias("_p"))
     joined = bills.join(base, "scenario").where("cumulative > 0 and peak > 0")
-    return joined.groupBy("mode").agg(F.count("*").alias("scenarios"), F.median(F.col("_c") / F.col("cumulative")).alias("cumulative_ratio"), F.median(F.col("_p") / F.col("peak")).alias("peak_ratio"), F.max("peak").alias("peak")).withColumn("too_large", F.col("peak") > CONTEXT_TOKENS)
+    out = joined.groupBy("mode").agg(F.count("*").alias("scenarios"), F.max("peak").alias("peak"))
+    found = with_medians(out, joined, ["mode"], _x=F.col("_c") / F.col("cumulative"), _y=F.col("_p") / F.col("peak"))
+    return found.withColumns({"cumulative_ratio": middle("_x"), "peak_ratio": middle("_y"), "too_large": F.col("peak") > CONTEXT_TOKENS}).drop("_x", "_y")
 
 
 def payload_scores(payloads: DataFrame) -> DataFrame:
@@ -231,9 +238,10 @@ def round_robin(tasks: DataFrame, limit: int) -> DataFrame:
 
     tasks: task_id, category, place. A category that runs dry is skipped, which the order by (turn, category) is.
     """
-    own = Window.partitionBy("category")
-    rows = tasks.withColumns({"turn": F.row_number().over(own.orderBy("place", "task_id")), "_seen": F.min("place").over(own)})
-    return rows.orderBy("turn", "_seen", "category").limit(limit).drop("_seen")
+    seen = tasks.groupBy(F.col("category").alias("_own")).agg(F.min("place").alias("_seen"))
+    turn = F.row_number().over(Window.partitionBy("category").orderBy("place", "task_id"))
+    first = tasks.withColumn("turn", turn).where(F.col("turn") <= limit)  # each task keeps so many of a category at most
+    return first.join(seen, F.col("category").eqNullSafe(F.col("_own"))).orderBy("turn", "_seen", "category").limit(limit).drop("_own", "_seen")
 
 
 def classifier_accuracy(runs: DataFrame) -> DataFrame:
@@ -274,4 +282,5 @@ def tells(df: DataFrame, text: str = "text") -> DataFrame:
 
 def timings(samples: DataFrame) -> DataFrame:
     """Per label median, min, max and n of value."""
-    return samples.groupBy("label").agg(F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+    out = samples.groupBy("label").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+    return with_medians(out, samples, ["label"], _m=F.col("value")).withColumn("median", middle("_m")).drop("_m")

@@ -74,7 +74,7 @@ def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _grams(text: str) -> set[str]:
     flat = " ".join(text.lower().split())
-    return {flat[i : i + 3] for i in range(max(1, len(flat) - 2))} if flat else set()
+    return {flat[i : i + 3] for i in range(len(flat) - 2)}
 
 
 @F.pandas_udf(T.BooleanType())

@@ -88,26 +88,31 @@ def compression(pages: DataFrame, html: str = "html", rendered: str = "rendered"
 def documents_of(snapshots: DataFrame) -> DataFrame:
     """session_id, version, document: a change of URL begins the next document."""
     order = Window.partitionBy("session_id").orderBy("version")
-    before = F.lag("url").over(order)
-    changed = F.coalesce(((before != "") & (F.col("url") != before)).cast("int"), F.lit(0))
+    url = F.coalesce("url", F.lit(""))
+    before = F.lag(url).over(order)
+    changed = F.coalesce(((before != "") & (url != before)).cast("int"), F.lit(0))
     return snapshots.select("session_id", "version", "url").distinct().withColumn("_new", changed).withColumns(
         {"document": F.sum("_new").over(order), "place": F.row_number().over(order)}
     ).drop("_new", "url")
 
 
-def assign_refs(elements: DataFrame) -> DataFrame:
+def assign_refs(elements: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """V3: elements with ref, eN. A handle keeps its ref from one snapshot to the next of the same document; after an
     absence, or in another document, it gets a new number, and numbers are never used again in a session.
 
-    Snapshots without elements don't count as absences, because they have no row here.
+    snapshots (session_id, version, url) has those without elements too, which end all refs; without it, only versions
+    that have elements are known. A null handle is a handle like others.
     """
-    placed = elements.join(documents_of(elements), ["session_id", "version"])
+    placed = elements.join(documents_of(elements if snapshots is None else snapshots), ["session_id", "version"])
     line = Window.partitionBy("session_id", "document", "handle").orderBy("place", "index")
     begins = F.coalesce((F.col("place") - F.lag("place").over(line) > 1).cast("int"), F.lit(1))
     runs = placed.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(line))
     first = runs.groupBy("session_id", "document", "handle", "_run").agg(F.min(F.struct("place", "index")).alias("_at"))
     numbered = first.withColumn("ref", F.concat(F.lit("e"), F.row_number().over(Window.partitionBy("session_id").orderBy("_at", "handle")).cast("string"))).drop("_at")
-    return runs.join(numbered, ["session_id", "document", "handle", "_run"]).drop("_begins", "_run", "document", "place")
+    named = numbered.select("session_id", "document", F.col("handle").alias("_handle"), "_run", "ref")
+    same = F.col("handle").eqNullSafe(F.col("_handle"))
+    found = runs.alias("x").join(named.alias("y"), (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.document") == F.col("y.document")) & (F.col("x._run") == F.col("y._run")) & same)
+    return found.select("x.*", "y.ref").drop("_begins", "_run", "document", "place")
 
 
 def stale_refs(requests: DataFrame, elements: DataFrame) -> DataFrame:
@@ -162,8 +167,8 @@ def _pairs(snapshots: DataFrame) -> DataFrame:
 
 def restamped(snapshots: DataFrame, elements: DataFrame) -> DataFrame:
     """V6: pairs (session_id, version, previous) whose shared handles mostly name other elements: another document."""
-    own = elements.where("handle <> ''").dropDuplicates(["session_id", "version", "handle"])
-    told = F.struct("tag", "role", "text", "placeholder")
+    own = elements.where("handle <> ''").groupBy("session_id", "version", "handle").agg(F.max_by(F.struct("tag", "role", "text", "placeholder"), "index").alias("told"))  # the last of equals
+    told = F.col("told")
     after = own.select("session_id", "version", "handle", told.alias("a"))
     before = own.select("session_id", F.col("version").alias("previous"), "handle", told.alias("b"))
     shared = _pairs(snapshots).join(after, ["session_id", "version"]).join(before, ["session_id", "previous", "handle"])

@@ -132,7 +132,10 @@ def check_urls(urls: DataFrame, url: str = "url", allow_private: bool = False, a
 
     Hosts repeat, so each distinct host is classified once and joined back.
     """
-    parsed = urls.withColumns({"_scheme": F.lower(F.coalesce(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.lit(""))), "_host": F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))})
+    # As browsers read an address: no blanks and controls around it, no tabs and line ends in it, the host after the last @.
+    address = F.regexp_replace(F.regexp_replace(F.col(url), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    scheme, host = F.regexp_extract(address, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:@]*)", 1)
+    parsed = urls.withColumns({"_scheme": F.lower(F.coalesce(scheme, F.lit(""))), "_host": F.lower(host)})
     hosts = parsed.select("_host").where(F.col("_host").isNotNull()).distinct().withColumn("_facts", _host_facts("_host"))
     joined = parsed.join(hosts, "_host", "left")
     local = (F.col("_host") == "localhost") | F.col("_host").endswith(".localhost")
@@ -141,7 +144,7 @@ def check_urls(urls: DataFrame, url: str = "url", allow_private: bool = False, a
         .when(F.lit(allow_file) & (F.col("_scheme") == "file"), F.lit(None))
         .when(~F.col("_scheme").isin("http", "https"), F.concat(F.lit("scheme '"), "_scheme", F.lit("' is not allowed (http/https only)")))
         .when(F.col("_facts.address").isin(*METADATA_HOSTS), F.concat("_host", F.lit(" is a cloud metadata endpoint")))
-        .when(local, F.lit(None) if allow_private else F.lit("localhost is not allowed"))
+        .when(local, F.lit(None) if allow_private else F.lit("localhost is not allowed (pass allow_private=True to permit)"))
         .when(F.col("_facts.private") & F.lit(not allow_private), F.concat("_host", F.lit(" is a private or internal address")))
     )
     return joined.withColumn("refusal", reason.cast("string")).drop("_scheme", "_host", "_facts")
