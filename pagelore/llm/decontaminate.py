@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Every task turns its documents into shards of word ids, sorts the suffixes of a shard and binary-searches every suffix
-of the test items in it: the interval of suffixes that begin with a window gives all its occurrences, and comparing on
-from there gives the longest verbatim match. Only words of the tests get ids; a suffix that is not followed by a
-window's number of such words can't begin a match and is left out of the array, which is exact.
+Every task turns its documents into shards of word ids, sorts the suffixes of a shard and binary-searches the suffixes
+of the test items in it, each by the window that it begins with; suffixes that begin alike are searched once. The
+interval of the shard's suffixes that begin with a window gives all its occurrences; those of an item's next suffixes
+that go on in the text lengthen a match to the longest verbatim one. Only words of the tests get ids; a suffix that is
+not followed by a window's number of such words can't begin a match and is left out of the array, which is exact.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagelore.llm.shared import slices
 
 WINDOW = 10
-#: Test items are sent to the tasks in blocks of at most so many bytes of text.
+#: Test items are sent to the tasks in blocks of at most so many bytes of text, one item's texts in one block.
 BLOCK_BYTES = 32 << 20
 #: Queries that are searched at once within a task.
 AT_ONCE = 1 << 15
@@ -141,13 +144,7 @@ def shard(texts: list[str | None], tests: Tests) -> list[tuple[int, list[tuple[i
 
 def _spans(own: list[tuple[int, int]], tests: Tests) -> tuple[list, list]:
     """Merged spans of hit words, and matches: chains of windows that go on in text and item alike."""
-    spans: list[list[int]] = []
-    for at, w in own:
-        end = at + int(tests.sizes[w])
-        if spans and at <= spans[-1][1]:
-            spans[-1][1] = max(end, spans[-1][1])
-        else:
-            spans.append([at, end])
+    spans = _merged([(at, at + int(tests.sizes[w])) for at, w in own])
     going: dict[tuple[int, int], list[int]] = {}
     matches = []
     for at, w in own:
@@ -159,67 +156,65 @@ def _spans(own: list[tuple[int, int]], tests: Tests) -> tuple[list, list]:
                 going[line] = chain = [at, start, start]
                 matches.append((item, chain))
     found = [(tests.items[item][0], first, at, last - first + min(tests.window, len(tests.items[item][1]))) for item, (at, first, last) in matches]
-    return [tuple(s) for s in spans], found
+    return spans, found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that touch put together."""
+    out: list[list[int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([start, end])
+    return [tuple(s) for s in out]
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns in keep, and n_words (long), hit_spans array<struct<start,end>> in words, items array of item ids,
-    and matches array<struct<item_id, item_start, doc_start, n_words>>, the longest verbatim matches.
+    """The columns in keep, and n_words (long), hit_spans array<struct<start,end>> in words, apart from each other, items
+    array of item ids, and matches array<struct<item_id, item_start, doc_start, n_words>>, the longest verbatim matches.
 
     Words are runs of ASCII letters, digits and all other non-ASCII characters, A-Z in lower case. A window is `window`
     consecutive words of an item, or all words of a shorter one. Items with a null id, or without words, are never
-    found. A null text has no words. Each row is judged by itself: ids may be null or repeat. The items' size is
-    measured first; they go to the tasks in blocks of at most block_bytes, and rows are then put together by block.
+    found. A null text has no words. Each row is judged by itself: ids may be null or repeat. Columns in keep that bear
+    the name of a new one are replaced. The items' size is measured first; they go to the tasks in blocks of at most
+    block_bytes, or of one item, and each row is searched for one block after another within its task.
     """
     clean = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
     total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + total // block_bytes
-    if n_blocks == 1:
-        return _find_block(docs, clean, window, text, keep)
-    numbered = docs.select(*keep, text).withColumn("_row", F.xxhash64(*keep, text))
-    parts = None
+    item = clean.schema["item"].dataType
+    span = T.StructType([T.StructField(name, T.IntegerType()) for name in ("start", "end")])
+    match = T.StructType([T.StructField("item_id", item), *(T.StructField(name, T.IntegerType()) for name in ("item_start", "doc_start", "n_words"))])
+    found = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(item)), T.StructField("matches", T.ArrayType(match))])
+    fields = [f for f in docs.schema if f.name in keep and f.name not in found.names]
+    out = docs.select(*(F.col(f.name) for f in fields), F.col(text).cast("string").alias("_text"))
     for k in range(n_blocks):
-        found = _find_block(numbered, clean.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k), window, text, (*keep, "_row")).withColumn("_block", F.lit(k))
-        parts = found if parts is None else parts.unionByName(found)
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    merged = parts.groupBy(*keep, "_row").agg(F.first("n_words").alias("n_words"), flat("hit_spans"), flat("items"), flat("matches"), F.count_if(F.col("_block") == 0).alias("_copies"))
-    one = merged.withColumns({"items": F.array_distinct("items"), "matches": F.array_distinct("matches"), "hit_spans": F.sort_array(F.array_distinct("hit_spans"))})
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*keep, "n_words", "hit_spans", "items", "matches")
-
-
-def _find_block(docs: DataFrame, items: DataFrame, window: int, text: str, keep: tuple[str, ...]) -> DataFrame:
-    fields = [f for f in docs.schema if f.name in keep]
-    kind = items.schema["item"].dataType.simpleString()
-    own = [(r["item"], r["text"]) for r in items.collect()]
-    spread = docs.sparkSession.sparkContext.broadcast(own)
-    out = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-        + ["n_words bigint, hit_spans array<struct<start:int,end:int>>", f"items array<{kind}>, matches array<struct<item_id:{kind},item_start:int,doc_start:int,n_words:int>>"]
-    )
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    match = pa.list_(pa.struct([("item_id", arrow_kind), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))
+        block = clean if n_blocks == 1 else clean.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k)
+        own = [(r["item"], r["text"]) for r in block.collect()]  # bounded by block_bytes
+        out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(own), window, [f.name for f in fields], found), T.StructType([*fields, T.StructField("_text", T.StringType()), *found]))
+    return out.drop("_text")
+
+
+def _search(spread, window: int, names: list[str], kinds: T.StructType):
+    """Adds what a block of items gives to what earlier blocks gave, if there were any."""
+    arrow = [to_arrow_type(f.dataType) for f in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(spread.value, window)
         for batch in batches:
             for rows, texts in slices(batch, "_text", 8 << 20):
-                found = shard(texts, tests)
-                columns = [
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in found], span),
-                    pa.array([sorted({m[0] for m in x[2]}) for x in found], pa.list_(arrow_kind)),
-                    pa.array([[dict(zip(("item_id", "item_start", "doc_start", "n_words"), m, strict=True)) for m in x[2]] for x in found], match),
-                ]
-                yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in fields), *columns], [*(f.name for f in fields), "n_words", "hit_spans", "items", "matches"])
+                n, spans, items, matches = zip(*((n, spans, sorted({m[0] for m in found}), found) for n, spans, found in shard(texts, tests)), strict=True)
+                if "items" in rows.schema.names:
+                    spans = [_merged(sorted([*own, *((x["start"], x["end"]) for x in before)])) for own, before in zip(spans, rows.column("hit_spans").to_pylist(), strict=True)]
+                    items = [sorted({*own, *before}) for own, before in zip(items, rows.column("items").to_pylist(), strict=True)]
+                    matches = [[*(tuple(m.values()) for m in before), *own] for own, before in zip(matches, rows.column("matches").to_pylist(), strict=True)]
+                told = [list(n), [[dict(zip(("start", "end"), x, strict=True)) for x in own] for own in spans], list(items), [[dict(zip(("item_id", "item_start", "doc_start", "n_words"), m, strict=True)) for m in own] for own in matches]]
+                yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in [*names, "_text"]), *(pa.array(x, kind) for x, kind in zip(told, arrow, strict=True))], [*names, "_text", *kinds.names])
 
-    return docs.select(*(F.col(f.name) for f in fields), F.col(text).cast("string").alias("_text")).mapInArrow(run, out)
+    return run
 
 
 def hit_words(spans: str = "hit_spans") -> F.Column:
-    """Number of words in sorted spans, which may overlap if they come from several blocks."""
-    start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["upto"], s["end"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["upto"], s["start"]))).cast("long").alias("n")
-    )
-    return F.aggregate(spans, start, step, lambda acc: acc["n"])
+    """Number of words in spans."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

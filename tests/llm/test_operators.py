@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pagelore.llm import chat_format, decontaminate, extract, jaccard_join, line_dedup, pieces, quality, simple8b, token_counts, token_files, tokenizers, toxicity
@@ -77,6 +78,13 @@ def test_line_dedup_counts_sites(spark):
     assert set(line_dedup.dedup_lines(docs(spark, rows).withColumn("n_lines", F.lit("x")), 9).columns) == {*docs(spark, []).columns, "n_lines", "n_removed"}
 
 
+def test_line_dedup_of_long_texts(spark):
+    long = "\n".join(f"line {i}" if i % 2 else "notice" for i in range(100_000))
+    rows = [(i, long if i == 3 else f"x{i}\nnotice", "en", f"s{i}", 0) for i in range(8)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows), 8).collect()}
+    assert got[3]["n_removed"] == 50_000 and got[3]["text"] == "\n".join(f"line {i}" for i in range(1, 100_000, 2)) and got[0]["text"] == "x0\nnotice"
+
+
 def test_line_dedup_counts_an_empty_site(spark):
     rows = [(i, f"own {i}\nnotice", "en", site, 0) for i, site in enumerate(["", *"abcdefg"])] + [(20 + i, "seven sites", "en", site, 0) for i, site in enumerate(["", *"abcdef", None])]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, rows), 8).collect()}
@@ -116,7 +124,14 @@ def test_decontamination_against_brute_force(spark):
     for block_bytes in (1 << 20, 200):
         got = decontaminate.find(df, bench, block_bytes=block_bytes).select("doc_id", "n_words", decontaminate.hit_words().alias("h"), F.sort_array("items").alias("i")).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    shape = lambda n: sorted(repr((r["doc_id"], r["n_words"], r["hit_spans"], r["items"], sorted(map(tuple, r["matches"])))) for r in decontaminate.find(df, bench, block_bytes=n).collect())
+    assert shape(1 << 20) == shape(200)
     assert decontaminate.find(df, bench.limit(0)).where("size(hit_spans) > 0").count() == 0
+    clashing = df.withColumns({"items": F.lit("x"), "n_words": F.lit("y")})
+    got = decontaminate.find(clashing, bench.withColumn("item_id", F.col("item_id").cast("double")), keep=("doc_id", "items"))
+    assert got.columns == ["doc_id", "n_words", "hit_spans", "items", "matches"] and got.schema["items"].dataType.simpleString() == "array<double>" and got.where("size(items) > 0").count() > 9
+    assert decontaminate.find(df.limit(0), bench).count() == 0
+    assert decontaminate.find(docs(spark, [(1, "w1 , " * 400_000 + items[3][1], "en", "s", 0)]), bench).first()["n_words"] == 400_040
     long = decontaminate.find(docs(spark, [(1, "z " + items[3][1] + " z", "en", "s", 0)]), bench.where("item_id = 3")).first()["matches"]
     assert [(m["item_start"], m["doc_start"], m["n_words"]) for m in long] == [(0, 1, 40)]
 
@@ -132,6 +147,9 @@ def test_quality_rules(spark):
     assert got[12]["base_failed"] and got[12]["n_repeat_words"] == got[12]["n_words"] and got[13]["base_failed"]
     assert got[14]["n_dup_lines"] == 1 and got[2]["n_words"] == 0 and not got[2]["kept"] and not got[3]["kept"]
     assert sorted(r["doc_id"] for r in quality.keep_good(docs(spark, rows)).collect()) == [10]
+    assert quality.apply_rules(docs(spark, [])).count() == 0
+    long = quality.measure(docs(spark, [(1, "".join(f"w{i} " for i in range(50_000)) * 2, "en", "s", 0)])).first()
+    assert long["n_words"] == long["n_repeat_words"] == 100_000
 
 
 def test_repeat_words_against_brute_force(spark):
@@ -219,6 +237,9 @@ def test_token_counts_across_blocks(spark):
         got = token_counts.count_tokens(docs(spark, rows), lambda: tokenizers.rank_encoder(path, pattern), 50256, block_bytes=block) if block > 2 else token_counts.count_tokens(docs(spark, rows[:9]), lambda: tokenizers.rank_encoder(path, pattern), 50256, block_bytes=2)
         assert sorted(((r["doc_id"], r["n_tokens"]) for r in got.collect()), key=repr) == (want if block > 2 else sorted(((r[0], len(encode([r[1] or ""])[0])) for r in rows[:9]), key=repr))
     assert token_counts.count_tokens(docs(spark, []), lambda: tokenizers.rank_encoder(path, pattern), 50256).count() == 0
+    for end, dtype in ((int(encode(["word"])[0][0]), "<u2"), (50256, "u1")):
+        with pytest.raises(PySparkException):
+            token_counts.count_tokens(docs(spark, [(1, "word 汉字", "en", "s", 0)]), lambda: tokenizers.rank_encoder(path, pattern), end, dtype).collect()
 
 
 # toxicity
@@ -432,6 +453,29 @@ def test_digest_helper(spark):
 # pipeline
 
 
+CLASHING = ("n_words", "kept", "n_lines", "n_removed", "hit_spans", "items", "matches", "ids", "_doc_x")
+
+
+def test_pipeline_stages_keep_columns(spark):
+    """Columns that bear an operator's names come through as they are, empty tables and null texts too."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    good = "The house of the old man is in the town and that was known to all of them for a long time, as it was said by many of those who lived there."
+    rows = [(1, good, "en", "a", len(good)), (2, None, "en", "b", None), (3, "", None, None, 0), (4, good + "\nnotice", "en", "c", 0), (4, good + "\nnotice", "en", "c", 0), *((10 + i, f"{good} number {i}\nnotice", "en", f"s{i}", 1) for i in range(8))]
+    df = docs(spark, rows).withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, sf)
+        assert got.schema.simpleString() == df.schema.simpleString(), name
+        found = got.collect()
+        assert found and all(r[c] == f"own {c}" for r in found for c in CLASHING), name
+        assert stage(spark, df.limit(0), sf).count() == 0, name
+    cleaned = {r["doc_id"]: r for r in corpus_pipeline.line_dedup_stage(spark, df, sf).collect()}
+    assert cleaned[12]["text"] == f"{good} number 2" and cleaned[12]["n_chars"] == len(cleaned[12]["text"]) and cleaned[2]["text"] is None
+    coded = corpus_pipeline.sentencepiece(spark, df, sf)
+    assert coded.count() == len(rows) and corpus_pipeline.sentencepiece(spark, df.limit(0), sf).count() == 0
+
+
 def test_pipeline_keeps_one_row_of_a_group(spark):
     import corpus_pipeline
 
