@@ -11,9 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetched(table(spark, sf_dir, "pages"))
+
+
+def fetched(own: DataFrame) -> DataFrame:
     """Pages with a title and a status; statuses follow the id, as the table has none."""
     status = F.when(F.col("page_id") % 20 == 3, 403).when(F.col("page_id") % 20 == 7, 429).otherwise(200)
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), status.alias("status_code"))
+    return own.select("page_id", "url", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), status.alias("status_code"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,29 +36,20 @@ BLOCKS_SQL = """
 """
 
 
-def questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each benchmark item's first words as a question, and its candidates: the documents of its residue class.
-
-    Only for r3_r4_bm25, whose SQL says so.
-    """
-    items = table(spark, sf_dir, "benchmark")
-    queries = items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 40).alias("_class"), F.floor(F.col("doc_id") / 40).cast("int").alias("source_rank"))
-    found = queries.select("query_id", (F.col("query_id") % 40).alias("_class")).join(own, "_class").drop("_class")
-    return queries, found
+def corpus_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
-def corpus_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each benchmark item as a question, and its candidates: all documents, of source rank 0, as no search ranked them."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("source_rank"))
-    return queries, own.crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "page_id", "source_rank")
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream. A table may be one file, which a stream takes only from a pattern."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trace(events: DataFrame) -> DataFrame:
     """Events as trace entries; the user is the session, errors are the error events."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("entry_id"), "ts", F.col("event_type").alias("action"), k.alias("tokens_consumed"), F.round(F.col("value") * 10).cast("bigint").alias("duration_ms"),
         F.when(F.col("event_type") == "error", F.when(k < 50, "element_stale").otherwise("anti_bot_block")).alias("error_type"),
     )
@@ -67,9 +62,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.when(state, "tool").otherwise(F.col("role")).alias("role"), F.when(state, F.concat(F.lit("<page_state>\nPAGE:"), body)).otherwise(body).alias("content"))
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshots(turns: DataFrame) -> DataFrame:
     """Turns of a conversation as successive texts of one page; its URL changes after a system turn."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("version"), F.concat(F.lit("https://site.test/"), F.when(F.col("role") == "system", "s").otherwise("p")).alias("url"), F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("text_content"))
+    return turns.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("version"), F.concat(F.lit("https://site.test/"), F.when(F.col("role") == "system", "s").otherwise("p")).alias("url"), F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("text_content"))
 
 
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ from pagelore.functions.text import tokens
 
 MIN_WORDS, LIMIT, CONTAINMENT = 8, 12, 0.9
 K1, B, RANK_WEIGHT = 1.5, 0.75, 0.1
+#: What a model is told before the question, and how a passage's source is named.
+INSTRUCTION = "Answer the question using only the numbered sources below. Cite every claim with its source number in brackets, e.g. [1]. If the sources do not answer the question, say so."
+SOURCE = "\n(source: "
 
 
 def evidence(blocks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -133,23 +136,29 @@ def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, contai
 def summary(queries: DataFrame, passages: DataFrame, triaged: DataFrame) -> DataFrame:
     """query_id, n_passages, tokens, n_failures and sources_consulted; queries without passages stay.
 
-    triaged: query_id, page_id, url and reason (null for usable sources).
+    triaged: query_id, url and reason (null for usable sources); a null query_id stands for every query.
     """
     got = passages.groupBy("query_id").agg(F.count("*").alias("n_passages"), F.floor(F.sum(F.length("text")) / 4).cast("long").alias("tokens"))
     seen = triaged.groupBy("query_id").agg(F.count("reason").alias("n_failures"), F.count_if(F.col("reason").isNull()).alias("sources_consulted"))
-    return queries.select("query_id").distinct().join(got, "query_id", "left").join(seen, "query_id", "left").fillna(0)
+    everyone = triaged.where("query_id is null").agg(F.count("reason").alias("_failures"), F.count_if(F.col("reason").isNull()).alias("_sources"))  # one row
+    joined = queries.select("query_id").distinct().join(got, "query_id", "left").join(seen, "query_id", "left").fillna(0).crossJoin(F.broadcast(everyone))
+    return joined.withColumns({"n_failures": F.col("n_failures") + F.col("_failures"), "sources_consulted": F.col("sources_consulted") + F.col("_sources")}).drop("_failures", "_sources")
 
 
 def without_sources(queries: DataFrame, triaged: DataFrame) -> DataFrame:
     """Queries that no usable source was found for."""
-    return queries.select("query_id").distinct().join(triaged.where("reason is null"), "query_id", "left_anti")
+    usable = triaged.where("reason is null").select("query_id")
+    found = F.col("q.query_id").eqNullSafe(F.col("u.query_id"))
+    left = queries.select("query_id").distinct().alias("q").join(usable.where("query_id is not null").distinct().alias("u"), found, "left_anti")
+    everyone = usable.where("query_id is null").limit(1)  # a source of all
+    return left.crossJoin(F.broadcast(everyone.agg(F.count("*").alias("_any")))).where("_any = 0").select("query_id")
 
 
 def prompts(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """query_id and prompt: the question, then the numbered passages with their sources."""
-    line = F.concat(F.lit("["), F.col("passage").cast("string"), F.lit("] "), "text", F.lit("\nSource: "), "url")
+    """query_id and prompt: the question, then the numbered passages, each with its source, and how to cite them."""
+    line = F.concat(F.lit("["), F.col("passage").cast("string"), F.lit("] "), "text", F.lit(SOURCE), "url", F.lit(")"))
     lines = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("passage", line.alias("line")))).alias("_lines"))
-    text = F.concat(F.lit("Question: "), "query", F.lit("\n\nPassages:\n\n"), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n\n"))
+    text = F.concat(F.lit(f"{INSTRUCTION}\n\nQuestion: "), "query", F.lit("\n\nSources:\n"), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n\n"), F.lit("\n\nAnswer:"))
     return queries.join(lines, "query_id").select("query_id", text.alias("prompt"))
 
 
