@@ -628,6 +628,15 @@ def e13_mode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.mode_scores(_bills(spark, sf_dir).withColumnRenamed("session_id", "scenario"), "full")
 
 
+@query()
+def e13_payload_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snaps = t.snapshots(t.table(spark, sf_dir, "conversations"))
+    els = spark.createDataFrame([], "session_id bigint, version bigint, index int, ref string, handle string, tag string, role string, text string, placeholder string")
+    whole = snapshots.render(snaps, els)
+    sent = snapshots.choose_payload(whole, snapshots.render_deltas(snapshots.deltas(snaps, els))).join(whole, ["session_id", "version"])
+    return e.payload_scores(sent.select(F.col("session_id").alias("scenario"), F.lit("delta").alias("mode"), "kind", F.length("payload").alias("length"), F.length("rendered").alias("snapshot_length")))
+
+
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     one = F.struct(F.col("l_linenumber").alias("attempt"), F.col("l_partkey").alias("k"), (flag == "A").alias("success"), F.col("l_linenumber").alias("turns"), F.col("l_suppkey").alias("total_tokens"), F.lit(2).alias("llm_calls"), F.when(flag != "R", F.col("l_quantity")).alias("cost_usd"), F.col("l_quantity").alias("wall_seconds"))
@@ -645,11 +654,21 @@ def e14_task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH s AS (SELECT arm, count(*) AS n, count(*) FILTER (success) AS wins, count(*) FILTER (success AND total_cost_usd IS NOT NULL) AS priced, sum(total_cost_usd) AS cost FROM ({TASKS}) GROUP BY 1),
     o AS (SELECT a.wins / a.n AS rate_a, b.wins / b.n AS rate_b, CASE WHEN a.priced > 0 THEN a.cost / a.wins END AS cost_a, CASE WHEN b.priced > 0 THEN b.cost / b.wins END AS cost_b FROM s a, s b WHERE a.arm = 'ours' AND b.arm = 'rival')
-    SELECT rate_a, rate_b, round(cost_a, 6) AS cost_a, round(cost_b, 6) AS cost_b, CASE WHEN rate_a < 0.8 AND rate_b < 0.8 THEN 'INCONCLUSIVE' WHEN (cost_a > 0 AND rate_a >= 0.8 AND rate_b >= 0.8 AND cost_b / cost_a >= 1.5) OR rate_a - rate_b >= 0.1 THEN 'WEDGE' ELSE 'NO WEDGE' END AS verdict FROM o""")
+    SELECT rate_a, rate_b, round(cost_a, 6) AS cost_a, round(cost_b, 6) AS cost_b, CASE WHEN rate_a < 0.8 AND rate_b < 0.8 THEN 'INCONCLUSIVE' WHEN (cost_a > 0 AND rate_a >= 0.8 AND rate_b >= 0.8 AND cost_b / cost_a >= 1.5) OR rate_a - rate_b >= 0.1 THEN 'WEDGE' ELSE 'NO WEDGE' END AS verdict,
+    CASE WHEN rate_a < 0.8 AND rate_b < 0.8 THEN NULL WHEN cost_a > 0 AND rate_a >= 0.8 AND rate_b >= 0.8 AND cost_b / cost_a >= 1.5 THEN 'cost' WHEN rate_a - rate_b >= 0.1 THEN 'success' ELSE 'neither' END AS clause FROM o""")
 def e15_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.verdict(_tasks(spark, sf_dir), "ours", "rival").withColumns({c: F.round(c, 6) for c in ("cost_a", "cost_b")})
 
 
+@query("SELECT 'rival' AS arm, CAST(l_orderkey AS VARCHAR) AS task_id, 'stopped' AS error FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY l_orderkey HAVING bool_and(l_returnflag = 'R')")
+def e15_never_started(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of the second arm all of whose lines came back count as stopped before a turn."""
+    back = F.col("l_returnflag") == "R"
+    one = F.struct(F.when(back, 0).otherwise(1).alias("turns"), F.when(back, "stopped").alias("aborted"))
+    rows = t.table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 1").groupBy("l_orderkey").agg(F.collect_list(one).alias("attempts"))
+    return e.never_started(rows.select(F.lit("rival").alias("arm"), F.col("l_orderkey").cast("string").alias("task_id"), "attempts"))
+
+
 @query("""SELECT task_id, category FROM (SELECT o_orderkey AS task_id, o_orderpriority AS category, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS turn, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS seen FROM orders) ORDER BY turn, seen, category LIMIT 100""")
 def e16_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderkey").alias("place"))

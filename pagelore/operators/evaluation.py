@@ -209,7 +209,8 @@ def task_rows(tasks: DataFrame) -> DataFrame:
 
 
 def verdict(tasks: DataFrame, arm: str, rival: str, overhead_per_call: float = 0.0) -> DataFrame:
-    """One row: success rates, costs per success (less the overhead of each call), and the verdict."""
+    """One row: success rates, costs per success (less the overhead of each call), the verdict and the clause that
+    decides it: cost, success or neither; null if inconclusive."""
     cost = F.col("total_cost_usd") - overhead_per_call * F.col("llm_calls")
     stats = tasks.groupBy("arm").agg(F.count("*").alias("n"), F.count_if("success").alias("wins"), F.count_if(F.col("success") & F.col("total_cost_usd").isNotNull()).alias("priced"), F.sum(cost).alias("cost"))
     of = lambda name, c: F.max(F.when(F.col("arm") == name, F.col(c)))
@@ -220,7 +221,22 @@ def verdict(tasks: DataFrame, arm: str, rival: str, overhead_per_call: float = 0
     cheaper = F.coalesce((F.col("cost_a") > 0) & (F.col("rate_a") >= LEAST_SUCCESS) & (F.col("rate_b") >= LEAST_SUCCESS) & (F.col("cost_b") / F.col("cost_a") >= COST_WIN), F.lit(False))
     better = F.col("rate_a") - F.col("rate_b") >= SUCCESS_WIN
     unclear = F.col("rate_a").isNull() | F.col("rate_b").isNull() | ((F.col("rate_a") < LEAST_SUCCESS) & (F.col("rate_b") < LEAST_SUCCESS))
-    return rows.withColumn("verdict", F.when(unclear, "INCONCLUSIVE").when(cheaper | better, "WEDGE").otherwise("NO WEDGE"))
+    clause = F.when(unclear, None).when(cheaper, "cost").when(better, "success").otherwise("neither")
+    return rows.withColumns({"verdict": F.when(unclear, "INCONCLUSIVE").when(cheaper | better, "WEDGE").otherwise("NO WEDGE"), "clause": clause})
+
+
+def never_started(tasks: DataFrame) -> DataFrame:
+    """Arm, task_id and error of tasks that never took a turn, which is no loss: tasks (arm, task_id, attempts, and
+    maybe harness_error) whose harness failed, or all of whose attempts, one at least, were aborted before a turn."""
+    harness = F.when(F.col("harness_error") != "", F.col("harness_error")) if "harness_error" in tasks.columns else F.lit(None).cast("string")
+    stuck = (F.size("attempts") > 0) & F.forall("attempts", lambda a: (F.coalesce(a["turns"], F.lit(0)) == 0) & (F.coalesce(a["aborted"], F.lit("")) != ""))
+    error = F.coalesce(harness, F.when(stuck, F.get("attempts", F.size("attempts") - 1)["aborted"]))
+    return tasks.select("arm", "task_id", error.alias("error")).where("error is not null")
+
+
+def timed_out(tasks: DataFrame) -> DataFrame:
+    """Arm and task_id of tasks that a watchdog ended. tasks: arm, task_id, timeout."""
+    return tasks.where("timeout").select("arm", "task_id")
 
 
 #: From the weakest: the headline is the weaker of two verdicts.

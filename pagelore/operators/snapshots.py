@@ -38,9 +38,14 @@ def state_suffix(elements: DataFrame) -> Column:
     flags = [F.when(F.col(c), c) for c in ("disabled", "required", "checked", "selected") if has(c)]
     if has("is_combobox"):
         flags.append(F.when(F.col("is_combobox"), F.when(F.col("combobox_expanded"), "combobox, expanded").otherwise("combobox")))
+    if has("closed_shadow_unreadable"):
+        flags.append(F.when(F.col("closed_shadow_unreadable"), "hidden content, unreadable"))
     if flags:
         shown = F.array_join(F.array(*flags), ", ")
         parts.append(F.when(shown != "", F.concat(F.lit(" ("), shown, F.lit(")"))))
+    if has("canvas_width"):
+        size = F.concat(F.lit(" ["), F.col("canvas_width").cast("string"), F.lit("x"), F.col("canvas_height").cast("string"), F.lit("]"))
+        parts.append(F.when(F.col("tag") == "canvas", size))
     if has("combobox_options"):
         more = F.size("combobox_options") - OPTIONS_SHOWN
         parts.append(

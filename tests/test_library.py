@@ -261,6 +261,20 @@ def test_deltas_and_payloads(spark):
     assert rows(snapshots.restamped(snaps.limit(2), other), "version") == [(2,)]
 
 
+def test_state_of_canvases_and_shadow_roots(spark):
+    els = spark.createDataFrame([(1, 1, 0, "e1", "canvas", "", "Map", "", 300, 150, False), (1, 1, 1, "e2", "div", "", "Box", "", None, None, True)], "session_id int, version int, index int, ref string, tag string, role string, text string, placeholder string, canvas_width int, canvas_height int, closed_shadow_unreadable boolean")
+    snaps = spark.createDataFrame([(1, 1, "u", "t", "")], "session_id int, version int, url string, title string, text_content string")
+    assert snapshots.render(snaps, els).first()["rendered"] == "PAGE: t\nURL: u\nINTERACTIVE:\n  [can:e1] 'Map' [300x150]\n  [div:e2] 'Box' (hidden content, unreadable)"
+
+
+def test_never_started(spark):
+    attempt = "struct<turns:int,aborted:string>"
+    data = [("b", "1", [(0, "crash"), (0, "again")], None, False), ("b", "2", [(0, "crash"), (3, None)], None, True), ("b", "3", [], None, False), ("b", "4", [], "no harness", False), ("b", "5", [(0, None)], "", None)]
+    tasks = spark.createDataFrame(data, f"arm string, task_id string, attempts array<{attempt}>, harness_error string, timeout boolean")
+    assert sorted(rows(evaluation.never_started(tasks), "task_id", "error")) == [("1", "again"), ("4", "no harness")]
+    assert rows(evaluation.timed_out(tasks), "task_id") == [("2",)]
+
+
 def test_transcripts(spark):
     state = "<page_state>\nPAGE: " + "x" * 380
     data = [(1, 0, "system", "s" * 40), (1, 1, "tool", state), (1, 2, "assistant", ""), (1, 3, "tool", state), (1, 4, "tool", "error")]
