@@ -306,7 +306,7 @@ BM25 = f"""
     SELECT query_id, page_id, CAST(block_id AS INT) AS block_id, round(CAST(score AS DOUBLE) / 1e9, 4) AS score FROM sums QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id, block_id) <= 12""")
 def r3_r4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best blocks of all documents for each whole item."""
-    found = r.bm25_corpus(t.corpus_questions(spark, sf_dir), t.blocks(spark, sf_dir))
+    found = r.CorpusScores(t.corpus_questions(spark, sf_dir), t.blocks(spark, sf_dir)).best(r.LIMIT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id", "block_id")
     return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= r.LIMIT).select("query_id", "page_id", "block_id", F.round("score", 4).alias("score"))
 
@@ -323,7 +323,8 @@ def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = t.corpus_questions(spark, sf_dir)
     own = t.blocks(spark, sf_dir)
     texts = own.select("page_id", "block_id", "text", F.concat(F.lit("https://docs.test/"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"))
-    return queries, r.top_passages(r.bm25_corpus(queries, own), texts)
+    scores = r.CorpusScores(queries, own)
+    return queries, r.top_passages(scores.every(), texts, best=scores.best(8 * r.LIMIT))
 
 
 @query()

@@ -43,13 +43,14 @@ def search(queries: DataFrame, pages: DataFrame, candidates: DataFrame | None =
     seen = stored(read(pages), "read")
     blocks = stored(evidence_blocks(seen), "blocks")
     if candidates is None:
-        scored = retrieval.bm25_corpus(queries, blocks)
+        scores = retrieval.CorpusScores(queries, blocks)
+        scored, best = scores.every(), scores.best(8 * limit)
         sources = seen.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "url", "reason")
     else:
         asked = candidates.join(seen.select("page_id", "url", "reason", F.lit(True).alias("_stored")), "url", "left")
-        scored = retrieval.bm25(queries, asked.where("_stored and reason is null").select("query_id", "page_id", "source_rank"), blocks)
+        best, scored = None, retrieval.bm25(queries, asked.where("_stored and reason is null").select("query_id", "page_id", "source_rank"), blocks)
         sources = asked.select("query_id", "url", F.when(F.col("_stored"), F.col("reason")).otherwise("not_fetched").alias("reason"))
     texts = blocks.select("page_id", "block_id", "text", "url", F.when(F.coalesce("title", F.lit("")) == "", F.col("url")).otherwise(F.col("title")).alias("title"))
-    passages = retrieval.top_passages(scored, texts, limit)
+    passages = retrieval.top_passages(scored, texts, limit, first=8 * limit, best=best)
     cited = blocks.select("page_id", "block_id", documents.citation(F.col("block_id"), F.col("path")).alias("citation"))
     return passages.join(cited, ["page_id", "block_id"]), sources

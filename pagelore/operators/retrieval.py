@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelore.functions.stored import stored
 from pagelore.functions.text import tokens
 
 MIN_WORDS, LIMIT, CONTAINMENT = 8, 12, 0.9
@@ -54,25 +55,57 @@ def bm25(queries: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFr
     return scored.withColumn("score", F.col("bm25") / (1 + RANK_WEIGHT * F.col("source_rank"))).where("score > 0").drop("bm25")
 
 
-def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """R3, R4 with every block as a candidate of every query, all of source rank 0; columns as bm25 gives them.
+AT = ["page_id", "block_id"]
+
 
-    Blocks meet their scores where a hash of their ids puts them, so only their text is shuffled; queries' terms are
-    broadcast. Parts of a score are summed in billionths, so that their order can't change it.
+class CorpusScores:
+    """R3, R4 with every block as a candidate of every query, all of source rank 0.
+
+    The blocks are read twice: for their number and mean length, and for the occurrences of the queries' terms, which
+    are stored. Occurrences meet where a hash of the block's ids puts them; the queries' terms are broadcast. Parts of a
+    score are summed in billionths, so that their order can't change it.
     """
-    at = ["page_id", "block_id"]
-    terms = query_terms(queries)
-    asked = F.broadcast(terms.select("term").distinct())
-    every = evidence(blocks)
-    df = every.select(F.explode(F.array_distinct("tokens")).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    whole = every.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").crossJoin(whole).select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"), "avg_len")
-    ev = every.select(*at, "text").repartition(*at).withColumn("tokens", tokens(F.col("text")))
-    hits = ev.select(*at, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy(*at, "n_tokens", "term").agg(F.count("*").alias("tf"))
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
-    summed = hits.join(F.broadcast(weights), "term").groupBy("query_id", *at).agg((F.sum(F.round(part * 1e9).cast("long")) / 1e9).alias("score"))
-    return summed.select("query_id", *at, F.lit(0).alias("source_rank"), "score").where("score > 0")
+
+    def __init__(self, queries: DataFrame, blocks: DataFrame) -> None:
+        terms = query_terms(queries)
+        every = evidence(blocks)
+        asked = F.broadcast(terms.select("term").distinct())
+        words = every.select(*AT, "text").repartition(*AT).withColumn("tokens", tokens(F.col("text"))).select(*AT, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
+        self.hits = stored(words.join(asked, "term", "left_semi").groupBy(*AT, "n_tokens", "term").agg(F.count("*").alias("tf")), "hits")
+        df = self.hits.groupBy("term").agg(F.count("*").alias("df"))
+        whole = every.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        self.weights = stored(terms.join(df, "term").crossJoin(whole).select("query_id", "term", "df", (F.col("times") * idf * (K1 + 1)).alias("weight"), "avg_len"), "weights")
+
+    def _summed(self, met: DataFrame) -> DataFrame:
+        part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
+        return met.groupBy("query_id", *AT).agg((F.sum(F.round(part * 1e9).cast("long")) / 1e9).alias("score")).select("query_id", *AT, F.lit(0).alias("source_rank"), "score").where("score > 0")
+
+    def every(self) -> DataFrame:
+        """query_id, page_id, block_id, source_rank and score over 0 of each block."""
+        return self._summed(self.hits.repartition(*AT).join(F.broadcast(self.weights), "term"))
+
+    def best(self, first: int) -> DataFrame:
+        """The same of each query's first ranks at least, by exact bounds.
+
+        A part never reaches its term's weight. The heaviest terms alone, as many as have occurrences enough, give a
+        score that at least `first` blocks reach. Terms whose weights, from the lightest on, sum up to less can't bring
+        a block there alone: blocks without one of the other terms are left out before anything is summed up.
+        """
+        query = Window.partitionBy("query_id")
+        earlier = F.coalesce(F.sum("df").over(query.orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        heavy = self.weights.withColumn("_earlier", earlier).where(F.col("_earlier") < 4 * first)
+        place = F.row_number().over(query.orderBy(F.desc("score")))
+        sure = self._summed(self.hits.join(F.broadcast(heavy), "term")).withColumn("_k", place).where(F.col("_k") <= first).where(F.col("_k") == first).select("query_id", F.col("score").alias("_sure"))
+        upto = F.sum("weight").over(query.orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0))
+        needed = self.weights.withColumn("_upto", upto).join(sure, "query_id", "left").where(F.col("_upto") >= F.coalesce("_sure", F.lit(0.0)) - 1e-6).select("query_id", "term")
+        hits = self.hits.repartition(*AT)
+        candidates = hits.join(F.broadcast(needed), "term").select("query_id", *AT).distinct()
+        return self._summed(candidates.join(hits, AT).join(F.broadcast(self.weights), ["query_id", "term"]))
+
+
+def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    return CorpusScores(queries, blocks).every()
 
 
 def _grams(text: str) -> set[str]:
@@ -91,9 +124,10 @@ def _near_any(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
         yield pd.Series(found, dtype=bool)
 
 
-def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, containment: float = CONTAINMENT, first: int = 8 * LIMIT) -> DataFrame:
+def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, containment: float = CONTAINMENT, first: int = 8 * LIMIT, best: DataFrame | None = None) -> DataFrame:
     """For each query up to limit passages by score, without near duplicates of passages already taken.
 
+    best: rows of scored that hold each query's first ranks at least, where they are cheaper to come by.
     texts: page_id, block_id, text, url, title of every scored block. Order: score, then source rank, page and block. A
     query's group holds the texts of its first ranks only. Queries that got fewer than limit from more ranks than that go on with the first
     of those that are no near duplicates of what they have: each such round, a job of its own, takes one more at least.
@@ -120,7 +154,7 @@ def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, contai
     def ranked(rows: DataFrame) -> DataFrame:
         return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= first)
 
-    got = texts.join(F.broadcast(ranked(scored)), ["page_id", "block_id"]).select(columns).groupBy("query_id").applyInPandas(choose, out).persist()
+    got = texts.join(F.broadcast(ranked(scored if best is None else best)), ["page_id", "block_id"]).select(columns).groupBy("query_id").applyInPandas(choose, out).persist()
     done = got.where(~F.col("more"))
     while not (left := got.where("more")).isEmpty():
         have = left.groupBy("query_id").agg(F.collect_list("text").alias("_taken"), F.collect_list(F.struct("page_id", "block_id")).alias("_ids"))

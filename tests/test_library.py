@@ -114,6 +114,23 @@ def test_corpus_scores(spark):
     assert got == pytest.approx(want, abs=1e-8) and len(got) == 2
 
 
+def test_best_blocks_are_the_first_ranks(spark):
+    """Bounds leave no block of the first ranks out, ties included."""
+    from pagelore.jobs import tables
+
+    sf = "/root/testdata/sf0.001"
+    scores = retrieval.CorpusScores(tables.corpus_questions(spark, sf), tables.blocks(spark, sf))
+    every = {}
+    for r in scores.every().collect():
+        every.setdefault(r["query_id"], []).append((-r["score"], r["page_id"], r["block_id"]))
+    for first in (1, 5, 40):
+        best = {}
+        for r in scores.best(first).collect():
+            best.setdefault(r["query_id"], []).append((-r["score"], r["page_id"], r["block_id"]))
+        assert all(sorted(best[q])[:first] == sorted(found)[:first] for q, found in every.items())
+    assert sum(map(len, best.values())) < sum(map(len, every.values()))
+
+
 def test_passages_of_whole_corpus(spark):
     """Ranks by brute force over all documents and whole items."""
     import math
