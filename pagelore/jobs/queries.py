@@ -668,6 +668,14 @@ def e15_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.verdict(_tasks(spark, sf_dir), "ours", "rival").withColumns({c: F.round(c, 6) for c in ("cost_a", "cost_b")})
 
 
+@query(f"SELECT * FROM ({TASKS}) WHERE arm = 'ours'")
+def s5_task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task rows written as JSON lines and read back for one arm."""
+    path = new_folder(spark, "tasks")
+    _tasks(spark, sf_dir).write.json(path)
+    return s.read_tasks(spark, path, "ours").select("arm", "task_id", "success", "attempts_used", "total_tokens", "total_cost_usd")
+
+
 @query("SELECT 'rival' AS arm, CAST(l_orderkey AS VARCHAR) AS task_id, 'stopped' AS error FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY l_orderkey HAVING bool_and(l_returnflag = 'R')")
 def e15_never_started(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks of the second arm all of whose lines came back count as stopped before a turn."""

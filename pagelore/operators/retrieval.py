@@ -56,6 +56,8 @@ def bm25(queries: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFr
 
 
 AT = ["page_id", "block_id"]
+#: So many times as many occurrences as ranks asked for are scored to find a bound.
+ENOUGH = 8
 
 
 class CorpusScores:
@@ -85,23 +87,27 @@ class CorpusScores:
         """query_id, page_id, block_id, source_rank and score over 0 of each block."""
         return self._summed(self.hits.repartition(*AT).join(F.broadcast(self.weights), "term"))
 
+    def _among(self, terms: DataFrame) -> DataFrame:
+        """The same of blocks that hold one of the terms (query_id, term) of their query."""
+        hits = self.hits.repartition(*AT)
+        found = hits.join(F.broadcast(terms.select("query_id", "term")), "term").select("query_id", *AT).distinct()
+        return self._summed(found.join(hits, AT).join(F.broadcast(self.weights), ["query_id", "term"]))
+
     def best(self, first: int) -> DataFrame:
         """The same of each query's first ranks at least, by exact bounds.
 
-        A part never reaches its term's weight. The heaviest terms alone, as many as have occurrences enough, give a
-        score that at least `first` blocks reach. Terms whose weights, from the lightest on, sum up to less can't bring
-        a block there alone: blocks without one of the other terms are left out before anything is summed up.
+        Blocks with a query's heaviest terms, as many terms as have occurrences enough, are scored first: `first` of
+        them reach some score. A part never reaches its term's weight, so terms whose weights, from the lightest on, sum
+        up to less can't bring a block there alone: blocks without one of the other terms are left out.
         """
         query = Window.partitionBy("query_id")
         earlier = F.coalesce(F.sum("df").over(query.orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        heavy = self.weights.withColumn("_earlier", earlier).where(F.col("_earlier") < 4 * first)
+        heavy = self.weights.withColumn("_earlier", earlier).where(F.col("_earlier") < ENOUGH * first)
         place = F.row_number().over(query.orderBy(F.desc("score")))
-        sure = self._summed(self.hits.join(F.broadcast(heavy), "term")).withColumn("_k", place).where(F.col("_k") <= first).where(F.col("_k") == first).select("query_id", F.col("score").alias("_sure"))
+        sure = self._among(heavy).withColumn("_k", place).where(F.col("_k") <= first).where(F.col("_k") == first).select("query_id", F.col("score").alias("_sure"))
         upto = F.sum("weight").over(query.orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0))
-        needed = self.weights.withColumn("_upto", upto).join(sure, "query_id", "left").where(F.col("_upto") >= F.coalesce("_sure", F.lit(0.0)) - 1e-6).select("query_id", "term")
-        hits = self.hits.repartition(*AT)
-        candidates = hits.join(F.broadcast(needed), "term").select("query_id", *AT).distinct()
-        return self._summed(candidates.join(hits, AT).join(F.broadcast(self.weights), ["query_id", "term"]))
+        needed = self.weights.withColumn("_upto", upto).join(sure, "query_id", "left").where(F.col("_upto") >= F.coalesce("_sure", F.lit(0.0)) - 1e-6)
+        return self._among(needed)
 
 
 def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
