@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import chat_format, decontaminate, extract, jaccard_join, line_dedup, pieces, quality, token_counts, token_files, tokenizers, toxicity
+from pagelore.llm import chat_format, decontaminate, extract, jaccard_join, line_dedup, merkle, pieces, quality, shared, token_counts, token_files, tokenizers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    before, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    tampers = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    told = docs.select("doc_id", "lang", merkle.leaf([*before, text]).alias("leaf"), F.when(tampers, merkle.leaf([*before, F.translate(text, upper, upper.lower())])).alias("changed"))
+    made = merkle.manifest(shared.kept(told, "leaves"), "lang", ["doc_id"], "leaf", ("doc_id", "changed"))
+    proofs = made.withColumn("folded_root", merkle.folded(merkle.hex_digest(F.coalesce("changed", "digest"))))
+    return proofs.select(
+        "doc_id",
+        *(merkle.hex_digest(x).alias(y) for x, y in (("digest", "leaf"), ("subroot", "subroot"), ("root", "root"))),
+        F.sha2(merkle.siblings(), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == merkle.hex_digest("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +138,7 @@ QUERIES = {
         op8_toxicity,
         op9_html_extraction,
         op10_ngram_jaccard_join,
+        op13_merkle_manifest,
     )
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -163,4 +181,22 @@ SQL: dict[str, str] = {
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.1 AND stops >= 2 AND letters / n_words >= 0.6
             AND n_dup_lines / n_lines <= 0.5 AND bullets / n_lines <= 0.9 AND dots / n_lines <= 0.5 AS kept FROM b""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, lang, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents),
+        c AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS changed,
+            xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) % 3 = 0 AS tampered FROM d),
+        t AS (SELECT lang, 0 AS lev, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS ns FROM c GROUP BY lang
+            UNION ALL SELECT lang, lev + 1, list_transform(range(0, len(ns), 8), lambda i: sha256(array_to_string(ns[i + 1:i + 8], ''))) FROM t WHERE len(ns) > 1),
+        u AS (SELECT lang, lev AS height, ns[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot FROM t WHERE len(ns) = 1),
+        o AS (SELECT 0 AS lev, list(subroot ORDER BY lang NULLS FIRST) AS ns FROM u
+            UNION ALL SELECT lev + 1, list_transform(range(0, len(ns), 8), lambda i: sha256(array_to_string(ns[i + 1:i + 8], ''))) FROM o WHERE len(ns) > 1),
+        p AS (SELECT lang, lev AS step, lev, ns, CAST(NULL AS BIGINT) AS spot FROM t WHERE len(ns) > 1 UNION ALL SELECT u.lang, height + lev, lev, ns, spot FROM u, o WHERE len(ns) > 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, row_number() OVER (ORDER BY doc_id) AS id FROM c),
+        s AS (SELECT id, step, array_to_string(ns[k // 8 * 8 + 1:k], '') AS l, array_to_string(ns[k + 2:k // 8 * 8 + 8], '') AS g
+            FROM (SELECT id, step, ns, coalesce(p.spot, place) // (8 ** lev)::BIGINT AS k FROM r JOIN p ON r.lang IS NOT DISTINCT FROM p.lang)),
+        w AS (SELECT id, string_agg(l || g, '' ORDER BY step) AS proof FROM s GROUP BY id),
+        f AS (SELECT id, 0 AS step, CASE WHEN tampered THEN changed ELSE leaf END AS h FROM r UNION ALL SELECT f.id, f.step + 1, sha256(l || h || g) FROM f JOIN s ON f.id = s.id AND f.step = s.step),
+        e AS (SELECT id, arg_max(h, step) AS folded_root FROM f GROUP BY id)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM r JOIN u ON r.lang IS NOT DISTINCT FROM u.lang JOIN e USING (id) LEFT JOIN w USING (id), (SELECT ns[1] AS root FROM o WHERE len(ns) = 1)""",
 }
