@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import chat_format, decontaminate, extract, jaccard_join, line_dedup, merkle, pieces, quality, shared, token_counts, token_files, tokenizers, toxicity
+from pagelore.llm import chat_format, decontaminate, extract, factors, jaccard_join, line_dedup, merkle, pieces, quality, shared, token_counts, token_files, tokenizers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~factors.held_out())
+    scored = factors.score(docs, factors.train(docs, labels))
+    return scored.select("doc_id", factors.held_out().alias("held_out"), "score", (F.col("score") >= factors.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -138,6 +145,7 @@ QUERIES = {
         op8_toxicity,
         op9_html_extraction,
         op10_ngram_jaccard_join,
+        op12_quality_classifier,
         op13_merkle_manifest,
     )
 }
