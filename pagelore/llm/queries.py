@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import chat_format, decontaminate, extract, factors, jaccard_join, line_dedup, merkle, pieces, quality, shared, token_counts, token_files, tokenizers, toxicity
+from pagelore.llm import chat_format, cross_tokens, decontaminate, extract, factors, jaccard_join, line_dedup, merkle, pieces, quality, shared, token_counts, token_files, tokenizers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cross_tokens.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~factors.held_out())
@@ -145,6 +150,7 @@ QUERIES = {
         op8_toxicity,
         op9_html_extraction,
         op10_ngram_jaccard_join,
+        op11_cross_tokenizer_alignment,
         op12_quality_classifier,
         op13_merkle_manifest,
     )
