@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelore.functions.stored import new_folder
+from pagelore.functions.stored import new_folder, stored
 from pagelore.functions.text import near_duplicate, trigrams
 from pagelore.jobs import tables as t
 from pagelore.jobs.search import search
@@ -366,8 +366,8 @@ def r9_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # snapshots
 
 
-HISTORY = "SELECT user_id AS session_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS version, CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 30 AS VARCHAR) AS handle, min(event_id) AS idx, min(event_type) AS text FROM events GROUP BY ALL"
-REFS = f"""
+HISTORY = "SELECT user_id AS session_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) // {hours} AS version, CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 30 AS VARCHAR) AS handle, min(event_id) AS idx, min(event_type) AS text FROM events GROUP BY ALL"
+REFS_BY = f"""
     WITH h AS (SELECT *, 'https://site.test/' || CAST(floor(version / 500) AS BIGINT) AS url FROM ({HISTORY})),
     v AS (SELECT session_id, version, url, row_number() OVER w AS place, lag(url) OVER w AS before FROM (SELECT DISTINCT session_id, version, url FROM h) WINDOW w AS (PARTITION BY session_id ORDER BY version)),
     dd AS (SELECT *, sum(CASE WHEN url <> before THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY version) AS document FROM v),
@@ -375,6 +375,7 @@ REFS = f"""
     y AS (SELECT *, sum(begins) OVER (PARTITION BY session_id, document, handle ORDER BY place, idx) AS run FROM x),
     n AS (SELECT session_id, document, handle, run, row_number() OVER (PARTITION BY session_id ORDER BY p, i, handle) AS num FROM (SELECT session_id, document, handle, run, min(place) AS p, arg_min(idx, place) AS i FROM y GROUP BY ALL)),
     refs AS (SELECT y.session_id, y.version, y.handle, y.idx, y.text, y.url, 'e' || num AS ref FROM y JOIN n USING (session_id, document, handle, run))"""
+REFS = REFS_BY.replace("{hours}", "1")
 
 
 @query(REFS + " SELECT session_id, version, handle, ref FROM refs")
@@ -391,8 +392,9 @@ def v1_v2_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.compression(shown.join(whole, "session_id")).select(F.col("session_id").alias("page_id"), "rendered", "html_tokens", "snapshot_tokens", "ratio")
 
 
-def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    els = snapshots.assign_refs(t.histories(spark, sf_dir))
+def _history(spark: SparkSession, sf_dir: str, hours: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Snapshots and elements with refs, which are stored, as deltas read them for both of a pair."""
+    els = stored(snapshots.assign_refs(t.histories(spark, sf_dir, hours)), "refs")
     return els.select("session_id", "version", "url").distinct().withColumns({"title": F.lit("t"), "text_content": F.lit("")}), els
 
 
@@ -413,22 +415,46 @@ def v5_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.resolve_targets(requests, els)
 
 
-@query(REFS + """, e AS (SELECT session_id, version, handle, text || CASE WHEN version % 4 = 0 THEN 'x' ELSE '' END AS told FROM refs),
-    p AS (SELECT session_id, version, before AS previous FROM (SELECT session_id, version, url, lag(version) OVER w AS before, lag(url) OVER w AS u FROM (SELECT DISTINCT session_id, version, url FROM refs) WINDOW w AS (PARTITION BY session_id ORDER BY version)) WHERE url = u)
-    SELECT session_id, version, previous FROM p JOIN e a USING (session_id, version) JOIN e b ON b.session_id = p.session_id AND b.version = p.previous AND b.handle = a.handle
-    GROUP BY ALL HAVING count(*) >= 4 AND avg(CAST(a.told = b.told AS INT)) < 0.5""")
+#: Snapshots of a week share handles enough for V6; every fourth gives its elements other texts.
+PAIRS = """, p AS (SELECT session_id, version, before AS previous FROM (SELECT session_id, version, url, lag(version) OVER w AS before, lag(url) OVER w AS u FROM (SELECT DISTINCT session_id, version, url FROM refs) WINDOW w AS (PARTITION BY session_id ORDER BY version)) WHERE url = u),
+    other AS (SELECT session_id, version, previous FROM p JOIN refs a USING (session_id, version) JOIN refs b ON b.session_id = p.session_id AND b.version = p.previous AND b.handle = a.handle
+        GROUP BY ALL HAVING count(*) >= 4 AND avg(CAST(a.text = b.text AS INT)) < 0.5)"""
+
+
+@query(REFS_BY.replace("{hours}", "168").replace("SELECT h.*, document", "SELECT h.* REPLACE (text || CASE WHEN version % 4 = 0 THEN 'x' ELSE '' END AS text), document") + PAIRS + " SELECT * FROM other")
 def v6_restamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth hour gives its elements other texts."""
-    snaps, els = _history(spark, sf_dir)
+    snaps, els = _history(spark, sf_dir, 168)
     return snapshots.restamped(snaps, els.withColumn("text", F.concat("text", F.when(F.col("version") % 4 == 0, "x").otherwise(""))))
 
 
-@query()
+#: Labels hold no quotes here, so SQL writes them as Python does.
+DELTAS = """, q AS (SELECT * FROM p ANTI JOIN other USING (session_id, version, previous)),
+    after AS (SELECT q.*, ref, idx, text FROM q JOIN refs USING (session_id, version)), b4 AS (SELECT q.*, ref, idx, text FROM q JOIN refs r ON r.session_id = q.session_id AND r.version = q.previous),
+    m AS (SELECT session_id, version, previous, ref, a.idx AS ai, b.idx AS bi, a.text AS ta, b.text AS tb FROM after a FULL JOIN b4 b USING (session_id, version, previous, ref)),
+    l AS (SELECT *, CASE WHEN bi IS NULL THEN 1 WHEN ai IS NULL THEN 2 WHEN ta <> tb THEN 3 END AS kind, CASE WHEN bi IS NULL THEN '  + [btn:' || ref || '] ''' || ta || '''' WHEN ai IS NULL THEN '  - [' || ref || ']' WHEN ta <> tb THEN '  ~ [' || ref || '] ''' || tb || ''' -> ''' || ta || '''' END AS line FROM m),
+    d AS (SELECT session_id, version, previous, count(*) FILTER (kind = 1) AS n_added, count(*) FILTER (kind = 2) AS n_removed, count(*) FILTER (kind = 3) AS n_changed, count(kind) = 0 AS is_empty,
+        'DELTA v' || previous || '->v' || version || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY kind, coalesce(ai, bi), ref) FILTER (kind IS NOT NULL), ': no change') AS rendered_delta FROM l GROUP BY session_id, version, previous)"""
+
+
+@query(REFS + PAIRS + DELTAS + " SELECT session_id, version, previous, CAST(n_added AS INT) AS n_added, CAST(n_removed AS INT) AS n_removed, CAST(n_changed AS INT) AS n_changed, rendered_delta, is_empty FROM d")
 def v7_v9_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = snapshots.render_deltas(snapshots.deltas(*_history(spark, sf_dir)))
     return found.select("session_id", "version", "previous", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.size("changed").alias("n_changed"), "rendered_delta", "is_empty")
 
 
+@query(REFS_BY.replace("{hours}", "24") + PAIRS + DELTAS + """, sends AS (SELECT user_id AS session_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) // 24 AS version, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
+    w AS (SELECT session_id, version, 'PAGE: t' || chr(10) || 'URL: ' || url || chr(10) || 'INTERACTIVE:' || chr(10) || string_agg('  [btn:' || ref || '] ''' || text || '''', chr(10) ORDER BY idx) AS rendered FROM refs GROUP BY session_id, version, url),
+    z AS (SELECT w.*, previous, rendered_delta, n, (SELECT max(s.version) FROM sends s WHERE s.session_id = w.session_id AND s.version < w.version) AS last_sent FROM w JOIN sends USING (session_id, version) LEFT JOIN d USING (session_id, version)),
+    c AS (SELECT *, coalesce(turn = 1 AND previous = last_sent AND length(rendered_delta) <= 0.9 * length(rendered), false) AS delta FROM z, unnest(range(1, n + 1)) AS u(turn))
+    SELECT session_id, version, CASE WHEN delta THEN 'delta' ELSE 'snapshot' END AS kind, CASE WHEN delta THEN rendered_delta ELSE rendered END AS payload FROM c""")
+def v10_sent_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days are snapshots; each view or click of a user asks for the page once more, other days are never sent."""
+    snaps, els = _history(spark, sf_dir, 24)
+    day = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 24")
+    sends = t.table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(F.col("user_id").alias("session_id"), day.alias("version"))
+    return snapshots.choose_payload(snapshots.render(snaps, els), snapshots.render_deltas(snapshots.deltas(snaps, els)), snapshots.sent_before(snaps, sends))
+
+
 @query()
 def v8_v10_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = t.snapshots(t.table(spark, sf_dir, "conversations"))

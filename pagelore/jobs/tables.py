@@ -67,9 +67,9 @@ def snapshots(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("version"), F.concat(F.lit("https://site.test/"), F.when(F.col("role") == "system", "s").otherwise("p")).alias("url"), F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("text_content"))
 
 
-def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements that sessions saw: a user's events of an hour are a snapshot, the handle is k modulo 30."""
-    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+def histories(spark: SparkSession, sf_dir: str, hours: int = 1) -> DataFrame:
+    """Elements that sessions saw: a user's events of so many hours are a snapshot, the handle is k modulo 30."""
+    hour = F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div {hours}")
     handle = (F.get_json_object("props", "$.k").cast("bigint") % 30).cast("string")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), hour.alias("version"), handle.alias("handle"), "event_type", "event_id")
     one = rows.groupBy("session_id", "version", "handle").agg(F.min("event_id").alias("index"), F.min("event_type").alias("text"))

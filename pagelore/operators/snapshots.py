@@ -250,10 +250,33 @@ def render_deltas(found: DataFrame) -> DataFrame:
     return found.join(shown, ["session_id", "version"], "left").withColumns({"rendered_delta": text, "is_empty": nothing}).drop("_lines")
 
 
-def choose_payload(rendered: DataFrame, rendered_deltas: DataFrame) -> DataFrame:
-    """session_id, version, kind (delta or snapshot) and payload. A delta is sent if its baseline is the version
-    sent before and it is at most WORTHWHILE of the snapshot's length. Every version is sent once, in order."""
-    order = Window.partitionBy("session_id").orderBy("version")
-    joined = rendered.join(rendered_deltas.select("session_id", "version", "previous", "rendered_delta"), ["session_id", "version"], "left").withColumn("_sent", F.lag("version").over(order))
-    delta = F.coalesce((F.col("previous") == F.col("_sent")) & (F.length("rendered_delta") <= WORTHWHILE * F.length("rendered")), F.lit(False))
-    return joined.select("session_id", "version", F.when(delta, "delta").otherwise("snapshot").alias("kind"), F.when(delta, F.col("rendered_delta")).otherwise(F.col("rendered")).alias("payload"))
+def sent_before(snapshots: DataFrame, sends: DataFrame) -> DataFrame:
+    """session_id, version, last_sent and n_sends of each snapshot: an as-of step. last_sent is the newest version
+    below its own that was sent, null before the first; n_sends says how often it was sent itself.
+
+    sends: session_id, version, a row for each time that a version was sent. Sends of versions without a snapshot count
+    as what a reader has seen, but have no row here.
+    """
+    keys = ["session_id", "version"]
+    both = snapshots.select(*keys, F.lit(0).alias("_send")).unionByName(sends.select(*keys, F.lit(1).alias("_send")))
+    seen = both.groupBy(keys).agg(F.sum("_send").alias("n_sends"), F.count_if(F.col("_send") == 0).alias("_shots"))
+    earlier = Window.partitionBy("session_id").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
+    return seen.withColumn("last_sent", F.last(F.when(F.col("n_sends") > 0, F.col("version")), ignorenulls=True).over(earlier)).where("_shots > 0").drop("_shots")
+
+
+def choose_payload(rendered: DataFrame, rendered_deltas: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+    """session_id, version, kind (delta or snapshot) and payload of what is sent. A delta is sent if its baseline
+    is the version sent last and it is at most WORTHWHILE of the snapshot's length.
+
+    sent: session_id, version, last_sent and n_sends, as sent_before gives them; a version that is sent again is sent
+    whole, as its delta's baseline is no longer what was sent last. Without it every version is sent once, in order.
+    """
+    keys = ["session_id", "version"]
+    told = rendered.select(*keys, "rendered")
+    if sent is None:
+        joined = told.withColumns({"last_sent": F.lag("version").over(Window.partitionBy("session_id").orderBy("version")), "_turn": F.lit(1)})
+    else:
+        joined = told.join(sent.where("n_sends > 0").select(*keys, "last_sent", F.explode(F.sequence(F.lit(1), F.col("n_sends").cast("int"))).alias("_turn")), keys)
+    joined = joined.join(rendered_deltas.select(*keys, "previous", "rendered_delta"), keys, "left")
+    delta = F.coalesce((F.col("_turn") == 1) & (F.col("previous") == F.col("last_sent")) & (F.length("rendered_delta") <= WORTHWHILE * F.length("rendered")), F.lit(False))
+    return joined.select(*keys, F.when(delta, "delta").otherwise("snapshot").alias("kind"), F.when(delta, F.col("rendered_delta")).otherwise(F.col("rendered")).alias("payload"))
