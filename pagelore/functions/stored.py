@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most so many rows are sent to all executors, after they are counted; larger ones meet by a shuffle in which
+#: a key's rows are dealt over so many salts.
+SENT_ROWS, SALTS = 500_000, 16
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -24,3 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def met(large: DataFrame, small: DataFrame, on: list[str], most: int = SENT_ROWS) -> DataFrame:
+    """The rows of large that have a partner in small, with its columns. small has few rows a key and is counted first, so
+    it should be stored or cheap; a row of large always gets the same salt."""
+    if small.count() <= most:
+        return large.join(F.broadcast(small), on)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(small.select("*", salts), [*on, "_salt"]).drop("_salt")

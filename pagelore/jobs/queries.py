@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelore.functions.stored import new_folder, stored
 from pagelore.functions.text import near_duplicate, trigrams
 from pagelore.jobs import tables as t
-from pagelore.jobs.search import search
+from pagelore.jobs.search import read, search, sources_of
 from pagelore.operators import documents as d
 from pagelore.operators import evaluation as e
 from pagelore.operators import page_rows as p
@@ -139,6 +139,18 @@ def p11_frame_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "pages").select("page_id", F.array_join(p.frame_urls(F.expr(FRAMED)), " ").alias("urls"))
 
 
+@query("""WITH RECURSIVE f AS (SELECT user_id, k, event_type, CASE WHEN k <= 11 THEN k - 1 ELSE k // 2 END AS up FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)),
+    tree AS (SELECT user_id, k, event_type, 0 AS depth FROM f WHERE k = 1 UNION ALL SELECT f.user_id, f.k, f.event_type, depth + 1 FROM tree JOIN f ON f.user_id = tree.user_id AND f.up = tree.k)
+    SELECT user_id AS page_id, CAST(k AS INT) AS frame_id, 'https://f.test/' || event_type AS url, depth FROM tree""")
+def p11_frame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as the frames of a page: the first eleven lie in one another, a later one in that of half its number,
+    so trees are ten levels deep and more."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), place.alias("frame_id"), F.concat(F.lit("https://f.test/"), "event_type").alias("url"))
+    above = F.when(F.col("frame_id") == 1, None).when(F.col("frame_id") <= 11, F.col("frame_id") - 1).otherwise(F.expr("CAST(frame_id div 2 AS INT)"))
+    return p.flat_frames(rows.withColumn("parent_id", above))
+
+
 @query("SELECT l_orderkey AS page_id, avg(CAST(l_returnflag <> 'R' AS INT)) AS requests_saved, sum(CASE WHEN l_returnflag <> 'R' THEN b ELSE 0 END) / sum(b) AS bytes_saved FROM (SELECT *, CAST(floor(l_extendedprice * 10) AS BIGINT) AS b FROM lineitem) GROUP BY 1")
 def p12_blockable_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", ".css").when(F.col("l_returnflag") == "A", ".PNG").otherwise(".woff2")
@@ -275,14 +287,17 @@ def c7_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "pages").select("page_id", triage.origin(F.col("url")).alias("origin"), triage.same_document(F.col("url"), F.concat("url", F.lit("//"))).alias("same"))
 
 
+#: Of pages as tables.thinned has them.
+THIN_REASONS = f"SELECT page_id, url, CASE WHEN terminal THEN state WHEN page_id % 11 IN (4, 6) THEN 'no_content' END AS reason FROM ({STATES}) JOIN pages USING (page_id)"
 REASONS = f"SELECT page_id, url, CASE WHEN terminal THEN state END AS reason, title AS shown_title FROM ({STATES}) JOIN ({PAGES}) USING (page_id)"
 
 
-@query(f"SELECT page_id, reason, shown_title FROM ({REASONS})")
+@query(f"SELECT page_id, CASE WHEN page_id % 23 = 5 THEN 'timeout' ELSE reason END AS reason, title AS shown_title FROM ({THIN_REASONS}) JOIN (SELECT page_id, title FROM ({PAGES})) USING (page_id)")
 def c8_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _read(spark, sf_dir).select("page_id", F.col("title").alias("doc_title"), F.size("blocks").alias("n_blocks"), F.length("page_text").alias("raw"), F.aggregate("blocks", F.lit(0), lambda n, b: n + F.length(b["text"])).alias("content"))
-    own = t.pages(spark, sf_dir).drop("html").join(read, "page_id").withColumn("page_error", triage.page_error(triage.page_state(F.col("title"), F.col("url"), F.col("status_code"), F.col("raw"), F.col("content"))))
-    return triage.triage(own.withColumn("failure", F.lit(None).cast("string"))).select("page_id", "reason", "shown_title")
+    """Pages some of which are thin, empty or weren't fetched in time, by their id."""
+    own = t.fetched(t.thinned(t.table(spark, sf_dir, "pages"))).withColumn("failure", F.when(F.col("page_id") % 23 == 5, "timeout"))
+    return read(own).select("page_id", "reason", "shown_title")
+
 
 
 # retrieval
@@ -311,6 +326,34 @@ def r3_r4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= r.LIMIT).select("query_id", "page_id", "block_id", F.round("score", 4).alias("score"))
 
 
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight addresses for each item, as a list of a search: the tables hold no search results, so they follow the item's
+    number. The first item's list is every document."""
+    docs, items = t.table(spark, sf_dir, "documents"), t.table(spark, sf_dir, "benchmark")
+    n = docs.agg(F.max("doc_id") + 1).first()[0]
+    url = lambda x: F.concat(F.lit("https://docs.test/"), x.cast("string"))
+    lists = items.select(F.col("item_id").alias("query_id"), F.transform(F.array(*map(F.lit, range(8))), lambda k: url(F.pmod(F.col("item_id") * 7919 + k * 104729, F.lit(n)))).alias("urls"))
+    every = docs.select(F.lit(0).cast("bigint").alias("query_id"), F.pmod("doc_id", F.lit(8)).cast("int").alias("source_rank"), url(F.col("doc_id")).alias("url"))
+    return s.listed_candidates(lists.where("query_id <> 0")).unionByName(every).withColumn("page_id", F.element_at(F.split("url", "/"), -1).cast("bigint"))
+
+
+LISTED = """c AS (SELECT DISTINCT item_id AS query_id, k AS source_rank, (item_id * 7919 + k * 104729) % n AS page_id FROM benchmark, range(0, 8) AS r(k), (SELECT max(doc_id) + 1 AS n FROM documents) WHERE item_id <> 0
+        UNION ALL SELECT 0, doc_id % 8, doc_id FROM documents)"""
+
+
+@query(f"""WITH {LISTED}, qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format("coalesce(text, '')")}) AS term FROM benchmark) GROUP BY ALL),
+    ev AS (SELECT page_id, block_id, tokens, len(tokens) AS n_tokens FROM (SELECT page_id, block_id, {TOKENS.format("text")} AS tokens FROM ({LINES}) WHERE kind <> 'heading') WHERE len(tokens) >= 8),
+    own AS (SELECT * FROM c JOIN ev USING (page_id) WHERE query_id IN (SELECT query_id FROM qt)), st AS (SELECT query_id, count(*) AS n, avg(n_tokens) AS avg_len FROM own GROUP BY 1),
+    tf AS (SELECT query_id, page_id, block_id, source_rank, n_tokens, term, count(*) AS tf FROM (SELECT query_id, page_id, block_id, source_rank, n_tokens, unnest(tokens) AS term FROM own) JOIN qt USING (query_id, term) GROUP BY ALL),
+    df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL)
+    SELECT query_id, page_id, CAST(block_id AS INT) AS block_id, CAST(source_rank AS INT) AS source_rank, round(total / (1 + 0.1 * source_rank), 6) AS score
+    FROM (SELECT query_id, page_id, block_id, source_rank, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * n_tokens / avg_len))) AS total FROM tf JOIN df USING (query_id, term) JOIN st USING (query_id) JOIN qt USING (query_id, term) GROUP BY ALL) WHERE total > 0""")
+def r3_r4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all blocks of each item's own documents, by source ranks 0 to 7; one item has all documents."""
+    found = r.bm25(t.corpus_questions(spark, sf_dir), _listed(spark, sf_dir).select("query_id", "page_id", "source_rank"), t.blocks(spark, sf_dir))
+    return found.select("query_id", "page_id", "block_id", "source_rank", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH g AS (SELECT page_id, block_id, list_distinct(CASE WHEN length(x) < 3 THEN [] ELSE list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)) END) AS g FROM (SELECT page_id, block_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM ({LINES})))
     SELECT a.page_id, CAST(a.block_id AS INT) AS block_id, least(len(a.g), len(b.g)) > 0 AND len(list_intersect(a.g, b.g)) >= 0.9 * least(len(a.g), len(b.g)) AS near FROM g a JOIN g b ON b.page_id = a.page_id AND b.block_id = a.block_id + 1""")
 def r5_near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,8 +366,7 @@ def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = t.corpus_questions(spark, sf_dir)
     own = t.blocks(spark, sf_dir)
     texts = own.select("page_id", "block_id", "text", F.concat(F.lit("https://docs.test/"), F.col("page_id").cast("string")).alias("url"), F.lit("").alias("title"))
-    scores = r.CorpusScores(queries, own)
-    return queries, r.top_passages(scores.every(), texts, best=scores.best(8 * r.LIMIT))
+    return queries, r.top_passages(r.CorpusScores(queries, own).ranks, texts)
 
 
 @query()
@@ -352,7 +394,44 @@ def w1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT url, reason FROM ({REASONS}) WHERE reason IS NOT NULL")
 def w1_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(t.corpus_questions(spark, sf_dir), t.pages(spark, sf_dir))[1].where("reason is not null").select("url", "reason")
+    return sources_of(t.corpus_questions(spark, sf_dir), stored(read(t.pages(spark, sf_dir)), "read")).where("reason is not null").select("url", "reason")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items as questions, pages (some thin or empty, by id), and stored search responses of eight results for each item:
+    one has no address, one leads to a page that isn't stored."""
+    own = t.fetched(t.thinned(t.table(spark, sf_dir, "pages")))
+    urls = own.select("page_id", "url")
+    n = urls.agg(F.max("page_id") + 1).first()[0]
+    wanted = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.transform(F.array(*map(F.lit, range(8))), lambda k: F.pmod(F.col("item_id") * 31 + k * 17, F.lit(n)))).alias("k", "page_id"))
+    result = F.struct("k", F.when(F.col("k") == 2, "").when(F.col("k") == 5, F.concat("url", F.lit("?gone"))).otherwise(F.col("url")).alias("url"))
+    lists = wanted.join(urls, "page_id").groupBy("query_id").agg(F.array_sort(F.collect_list(result)).alias("results"))
+    responses = lists.select("query_id", F.to_json(F.struct(F.struct(F.transform("results", lambda x: F.struct(x["url"].alias("url"))).alias("results")).alias("web"))).alias("body"))
+    return t.corpus_questions(spark, sf_dir), own, s.response_candidates(responses)
+
+
+@query()
+def w1_candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited passages of each item's own candidates, weighed by their source ranks."""
+    return search(*_asked(spark, sf_dir))[0]
+
+
+@query()
+def r7_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested row for each item: passages, and failures with url and reason."""
+    queries, pages, candidates = _asked(spark, sf_dir)
+    return r.results(queries, *search(queries, pages, candidates))
+
+
+CANDIDATES = f"""cand AS (SELECT item_id AS query_id, k AS source_rank, page_id, CASE WHEN k = 5 THEN url || '?gone' ELSE url END AS url FROM benchmark, range(0, 8) AS r(k), (SELECT max(page_id) + 1 AS n FROM pages) JOIN pages ON page_id = (item_id * 31 + k * 17) % n WHERE k <> 2)"""
+
+
+@query(f"""WITH st AS ({THIN_REASONS}), {CANDIDATES}, f AS (SELECT query_id, cand.url, CASE WHEN source_rank = 5 THEN 'not_fetched' ELSE reason END AS reason FROM cand JOIN st USING (page_id))
+    SELECT query_id, url, reason FROM f WHERE reason IS NOT NULL""")
+def r7_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of an item that was tried and could not be used, with its reason; no passage is sought for this."""
+    queries, pages, candidates = _asked(spark, sf_dir)
+    return sources_of(queries, stored(read(pages), "read"), candidates).where("reason is not null").select("query_id", "url", "reason")
 
 
 @query("SELECT conv_id * 10000 + turn AS answer_id, '1' AS cited, CASE WHEN turn > 0 THEN CAST(turn + 12 AS VARCHAR) ELSE '' END AS unresolved, turn = 0 AS fully_grounded FROM conversations")
@@ -465,13 +544,13 @@ def v8_v10_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # streams, run until they have read what is there
 
 
-@query(f"SELECT page_id, terminal AS diverted FROM ({STATES})")
+@query(f"SELECT page_id, reason IS NOT NULL AS diverted, reason FROM (SELECT page_id, CASE WHEN terminal THEN state ELSE CASE page_id % 11 WHEN 9 THEN 'challenge' WHEN 4 THEN 'no_content' WHEN 6 THEN 'no_content' WHEN 8 THEN 'prompt_injection' WHEN 10 THEN 'prompt_injection' END END AS reason FROM ({STATES}))")
 def t1_triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_folder(spark, "triage")
-    arriving = t.fetched(t.arriving(spark, sf_dir, "pages")).withColumn("frames", p.frame_urls(F.col("html")))
+    arriving = t.fetched(t.thinned(t.arriving(spark, sf_dir, "pages"))).withColumn("frames", p.frame_urls(F.col("html")))
     sessions.triage_stream(arriving, f"{base}/usable", f"{base}/diverted", f"{base}/checkpoint").awaitTermination()
-    side = lambda name, diverted: spark.read.parquet(f"{base}/{name}").select("page_id", F.lit(diverted).alias("diverted"))
-    return side("usable", False).unionByName(side("diverted", True))
+    usable = spark.read.parquet(f"{base}/usable").select("page_id", F.lit(False).alias("diverted"), F.lit(None).cast("string").alias("reason"))
+    return usable.unionByName(spark.read.parquet(f"{base}/diverted").select("page_id", F.lit(True).alias("diverted"), "reason"))
 
 
 @query()
@@ -569,6 +648,20 @@ def e4_silent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silent(spark, sf_dir).select("doc_id", "naive_gate", "flagged", "outcome")
 
 
+@query(f"SELECT doc_id, naive_gate, flagged, {OUTCOME} AS outcome FROM (SELECT * REPLACE (naive_gate AND doc_id % 3 <> 0 AS naive_gate) FROM ({SILENT}))")
+def s4_result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result documents written as JSON of several lines and read back for E4. A status is a number or an error's name, as
+    a fetch tells it: every third one failed."""
+    path = new_folder(spark, "results")
+    rows = t.table(spark, sf_dir, "labels").join(t.table(spark, sf_dir, "documents"), "doc_id")
+    told = F.to_json(F.struct("doc_id", F.col("lang").alias("category"), (F.col("quality") == 0).alias("expect_failure"), F.col("n_chars").alias("static_chars"), F.when(F.col("toxic") == 1, "anti_bot_block").alias("error_type"), F.length("text").alias("chars")))
+    status = F.when(F.col("doc_id") % 3 == 0, '"ReadTimeout"').otherwise("200")
+    row = F.concat(F.expr("left(_told, length(_told) - 1)"), F.lit(', "static_status": '), status, F.lit("}"))
+    s.write_results(rows.withColumn("_told", told).select(row.alias("row")), path, "2024-01-31")
+    found = s.read_results(spark, path, "doc_id bigint, category string, expect_failure boolean, static_status string, static_chars bigint, error_type string, chars bigint")
+    return e.silent_failures(found).select("doc_id", "naive_gate", "flagged", "outcome")
+
+
 @query("SELECT category, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in e.OUTCOMES) + f" FROM (SELECT *, {OUTCOME} AS outcome FROM ({SILENT})) GROUP BY 1")
 def e5_silent_failure_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.silent_failure_matrix(_silent(spark, sf_dir))
@@ -694,6 +787,26 @@ def e15_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.verdict(_tasks(spark, sf_dir), "ours", "rival").withColumns({c: F.round(c, 6) for c in ("cost_a", "cost_b")})
 
 
+ATTEMPTS = """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'ours' ELSE 'rival' END AS arm, l_orderkey, count(*) AS calls, bool_or(l_returnflag = 'A') AS success, CASE WHEN bool_and(l_returnflag <> 'R') THEN sum(l_quantity) END AS billed, bool_and(l_returnflag = 'R') AS unstarted, sum(l_quantity) > 200 AS late FROM lineitem GROUP BY l_orderkey"""
+
+
+@query(f"""WITH s AS (SELECT arm, count(*) AS n, count(*) FILTER (success) AS wins, count(*) FILTER (unstarted) AS unstarted, count(*) FILTER (late) AS late, sum(billed) / nullif(count(*) FILTER (success), 0) AS billed, sum(billed - 3.5 * 2 * calls) / nullif(count(*) FILTER (success), 0) AS content FROM ({ATTEMPTS}) GROUP BY 1),
+    o AS (SELECT a.n AS n_a, b.n AS n_b, a.unstarted AS never_started_a, b.unstarted AS never_started_b, a.late AS timed_out_a, b.late AS timed_out_b, a.wins / a.n AS rate_a, b.wins / b.n AS rate_b, a.billed AS billed_a, b.billed AS billed_b, a.content AS content_a, b.content AS content_b FROM s a, s b WHERE a.arm = 'ours' AND b.arm = 'rival'),
+    v AS (SELECT *, rate_a < 0.8 AND rate_b < 0.8 AS unclear, rate_a - rate_b >= 0.1 AS better, coalesce(billed_a > 0 AND rate_a >= 0.8 AND rate_b >= 0.8 AND billed_b / billed_a >= 1.5, false) AS cb, coalesce(content_a > 0 AND rate_a >= 0.8 AND rate_b >= 0.8 AND content_b / content_a >= 1.5, false) AS cc FROM o),
+    w AS (SELECT *, CASE WHEN unclear THEN 'INCONCLUSIVE' WHEN cb OR better THEN 'WEDGE' ELSE 'NO WEDGE' END AS billed_verdict, CASE WHEN unclear THEN 'INCONCLUSIVE' WHEN cc OR better THEN 'WEDGE' ELSE 'NO WEDGE' END AS content_verdict FROM v)
+    SELECT n_a, n_b, never_started_a, never_started_b, timed_out_a, timed_out_b, rate_a, rate_b, round(billed_a, 6) AS billed_a, round(billed_b, 6) AS billed_b, round(content_a, 6) AS content_a, round(content_b, 6) AS content_b, billed_verdict, content_verdict,
+    CASE WHEN unclear THEN NULL WHEN cb THEN 'cost' WHEN better THEN 'success' ELSE 'neither' END AS billed_clause, CASE WHEN unclear THEN NULL WHEN cc THEN 'cost' WHEN better THEN 'success' ELSE 'neither' END AS content_clause,
+    CASE WHEN list_position(['INCONCLUSIVE', 'NO WEDGE', 'WEDGE'], billed_verdict) <= list_position(['INCONCLUSIVE', 'NO WEDGE', 'WEDGE'], content_verdict) THEN billed_verdict ELSE content_verdict END AS headline FROM w""")
+def e15_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks and their lines as attempts of two calls each: lines that came back never took a turn, and orders of
+    more than 200 pieces were ended by a watchdog. A call's overhead is 3.5."""
+    back = F.col("l_returnflag") == "R"
+    one = F.struct(F.col("l_linenumber").alias("attempt"), (F.col("l_returnflag") == "A").alias("success"), F.when(back, 0).otherwise(1).alias("turns"), F.when(back, "stopped").alias("aborted"), F.lit(0).alias("total_tokens"), F.lit(2).alias("llm_calls"), F.when(~back, F.col("l_quantity")).alias("cost_usd"), F.col("l_quantity").alias("wall_seconds"))
+    rows = t.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("attempts")).select(F.when(F.col("l_orderkey") % 2 == 0, "ours").otherwise("rival").alias("arm"), F.col("l_orderkey").cast("string").alias("task_id"), "attempts")
+    tasks = e.task_rows(rows, keep=("attempts",)).withColumn("timeout", F.col("total_wall_seconds") > 200)
+    return e.verdict_report(tasks, "ours", "rival", 3.5).withColumns({c: F.round(c, 6) for c in ("billed_a", "billed_b", "content_a", "content_b")})
+
+
 @query(f"SELECT * FROM ({TASKS}) WHERE arm = 'ours'")
 def s5_task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task rows written as JSON lines and read back for one arm."""

@@ -185,11 +185,14 @@ def payload_scores(payloads: DataFrame) -> DataFrame:
     payloads: scenario, mode, kind, length, snapshot_length.
     """
     delta = F.col("kind") == "delta"
-    return payloads.groupBy("scenario", "mode").agg(F.median("length").alias("median_payload"), F.max("length").alias("largest"), F.count_if(delta).alias("delta_turns"), F.count_if(delta & (F.col("length") > F.col("snapshot_length"))).alias("regressions"))
+    keys = ["scenario", "mode"]
+    out = payloads.groupBy(keys).agg(F.max("length").alias("largest"), F.count_if(delta).alias("delta_turns"), F.count_if(delta & (F.col("length") > F.col("snapshot_length"))).alias("regressions"))
+    return with_medians(out, payloads, keys, _m=F.col("length")).select(*keys, middle("_m").alias("median_payload"), "largest", "delta_turns", "regressions")
 
 
-def task_rows(tasks: DataFrame) -> DataFrame:
-    """Tasks (arm, task_id, attempts) with success, sums, and turns of the first success or else of the last try.
+def task_rows(tasks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Tasks (arm, task_id, attempts) with success, sums, and turns of the first success or else of the last try, and
+    the columns in keep.
 
     The cost is null if any attempt's is. A task without attempts has no success and sums of 0.
     """
@@ -205,6 +208,7 @@ def task_rows(tasks: DataFrame) -> DataFrame:
         F.when(F.forall("attempts", lambda a: a["cost_usd"].isNotNull()), add("cost_usd", "double")).alias("total_cost_usd"),
         add("wall_seconds", "double").alias("total_wall_seconds"),
         F.coalesce(F.get(won, F.lit(0))["turns"], F.get("attempts", F.size("attempts") - 1)["turns"]).cast("long").alias("turns"),
+        *keep,
     )
 
 
@@ -218,11 +222,17 @@ def verdict(tasks: DataFrame, arm: str, rival: str, overhead_per_call: float = 0
     per = lambda k: F.when(F.col(f"priced_{k}") > 0, F.col(f"cost_{k}") / F.col(f"wins_{k}"))
     rate = lambda k: F.when(F.col(f"n_{k}") > 0, F.col(f"wins_{k}") / F.col(f"n_{k}"))
     rows = one.select(rate("a").alias("rate_a"), rate("b").alias("rate_b"), per("a").alias("cost_a"), per("b").alias("cost_b"))
-    cheaper = F.coalesce((F.col("cost_a") > 0) & (F.col("rate_a") >= LEAST_SUCCESS) & (F.col("rate_b") >= LEAST_SUCCESS) & (F.col("cost_b") / F.col("cost_a") >= COST_WIN), F.lit(False))
-    better = F.col("rate_a") - F.col("rate_b") >= SUCCESS_WIN
-    unclear = F.col("rate_a").isNull() | F.col("rate_b").isNull() | ((F.col("rate_a") < LEAST_SUCCESS) & (F.col("rate_b") < LEAST_SUCCESS))
+    told, clause = _judged(*(F.col(c) for c in ("rate_a", "rate_b", "cost_a", "cost_b")))
+    return rows.withColumns({"verdict": told, "clause": clause})
+
+
+def _judged(rate_a: Column, rate_b: Column, cost_a: Column, cost_b: Column) -> tuple[Column, Column]:
+    """The verdict and the clause that decides it."""
+    cheaper = F.coalesce((cost_a > 0) & (rate_a >= LEAST_SUCCESS) & (rate_b >= LEAST_SUCCESS) & (cost_b / cost_a >= COST_WIN), F.lit(False))
+    better = rate_a - rate_b >= SUCCESS_WIN
+    unclear = rate_a.isNull() | rate_b.isNull() | ((rate_a < LEAST_SUCCESS) & (rate_b < LEAST_SUCCESS))
     clause = F.when(unclear, None).when(cheaper, "cost").when(better, "success").otherwise("neither")
-    return rows.withColumns({"verdict": F.when(unclear, "INCONCLUSIVE").when(cheaper | better, "WEDGE").otherwise("NO WEDGE"), "clause": clause})
+    return F.when(unclear, "INCONCLUSIVE").when(cheaper | better, "WEDGE").otherwise("NO WEDGE"), clause
 
 
 def never_started(tasks: DataFrame) -> DataFrame:
@@ -239,6 +249,38 @@ def timed_out(tasks: DataFrame) -> DataFrame:
     return tasks.where("timeout").select("arm", "task_id")
 
 
+def verdict_report(tasks: DataFrame, arm: str, rival: str, overhead_per_call: float | None) -> DataFrame:
+    """One row from one pass over the tasks: both arms' numbers of tasks, of tasks that never started and that timed
+    out, success rates, costs per success as billed and without the overhead of each call, a verdict and clause for either,
+    and the headline, the weaker of both.
+
+    tasks: arm, task_id, attempts, success, total_cost_usd, llm_calls, and maybe harness_error and timeout. Tasks that
+    never started or timed out count as losses, and are told apart. Without an overhead only the bill counts.
+    """
+    has = lambda c, kind: F.col(c) if c in tasks.columns else F.lit(None).cast(kind)
+    stuck = (F.size("attempts") > 0) & F.forall("attempts", lambda a: (F.coalesce(a["turns"], F.lit(0)) == 0) & (F.coalesce(a["aborted"], F.lit("")) != ""))
+    overhead = F.lit(overhead_per_call).cast("double")
+    numbers = tasks.select(
+        "arm", "success", F.coalesce(stuck | (F.coalesce(has("harness_error", "string"), F.lit("")) != ""), F.lit(False)).alias("unstarted"), F.coalesce(has("timeout", "boolean"), F.lit(False)).alias("late"),
+        F.col("total_cost_usd").alias("billed"), (F.col("total_cost_usd") - overhead * F.col("llm_calls")).alias("content"),
+    )
+    sums = []
+    for k, name in (("a", arm), ("b", rival)):
+        own = F.col("arm") == name
+        sums += [F.count_if(own).alias(f"n_{k}"), F.count_if(own & F.col("success")).alias(f"wins_{k}"), F.count_if(own & F.col("unstarted")).alias(f"never_started_{k}"), F.count_if(own & F.col("late")).alias(f"timed_out_{k}")]
+        for cost in ("billed", "content"):
+            sums += [F.sum(F.when(own, F.col(cost))).alias(f"{cost}_{k}"), F.count_if(own & F.col("success") & F.col(cost).isNotNull()).alias(f"priced_{cost}_{k}")]
+    one = numbers.agg(*sums)
+    one = one.withColumns({f"rate_{k}": F.when(F.col(f"n_{k}") > 0, F.col(f"wins_{k}") / F.col(f"n_{k}")) for k in "ab"})
+    one = one.withColumns({f"{cost}_{k}": F.when(F.col(f"priced_{cost}_{k}") > 0, F.col(f"{cost}_{k}") / F.col(f"wins_{k}")) for cost in ("billed", "content") for k in "ab"})
+    for cost in ("billed", "content"):
+        told, clause = _judged(F.col("rate_a"), F.col("rate_b"), F.col(f"{cost}_a"), F.col(f"{cost}_b"))
+        one = one.withColumns({f"{cost}_verdict": told, f"{cost}_clause": clause})
+    both = F.col("billed_verdict") if overhead_per_call is None else headline(F.col("billed_verdict"), F.col("content_verdict"))
+    names = ["n", "never_started", "timed_out", "rate", "billed", "content"]
+    return one.select(*(f"{c}_{k}" for c in names for k in "ab"), *(f"{c}_{x}" for c in ("billed", "content") for x in ("verdict", "clause")), both.alias("headline"))
+
+
 #: From the weakest: the headline is the weaker of two verdicts.
 STRENGTH = ("INCONCLUSIVE", "NO WEDGE", "WEDGE")
 

@@ -159,12 +159,13 @@ def elements_of(root: Node, url: str) -> list[dict]:
     return out
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) to page_id, url, title, page_text, blocks and elements, in one pass.
+def read_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pages (page_id, url, html) to page_id, url, title, page_text, blocks and elements, in one pass, and the columns in keep.
 
     A null page has no title, text, blocks or elements. Long pages weigh on a few tasks, so rows go in small batches.
     """
-    kind = dict(pages.dtypes)["page_id"]
+    kinds = dict(pages.dtypes)
+    more = "".join(f", {c} {kinds[c]}" for c in keep)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -174,9 +175,10 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     root = parse(row.html)
                     title = next((n.text() for n in root.walk() if n.tag == "title"), "")
                     rows.append((row.page_id, row.url, title, page_text_of(root), blocks_of(root), elements_of(root, row.url or "")))
-                yield pd.DataFrame(rows, columns=["page_id", "url", "title", "page_text", "blocks", "elements"])
+                out = pd.DataFrame(rows, columns=["page_id", "url", "title", "page_text", "blocks", "elements"])
+                yield out.assign(**{c: part[c].iloc[at : at + 64].to_numpy() for c in keep})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, title string, page_text string, blocks {BLOCKS}, elements {ELEMENTS}")
+    return pages.select("page_id", "url", "html", *keep).mapInPandas(run, f"page_id {kinds['page_id']}, url string, title string, page_text string, blocks {BLOCKS}, elements {ELEMENTS}{more}")
 
 
 def blocks(read: DataFrame) -> DataFrame:
@@ -232,15 +234,22 @@ def frame_urls(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("""(?i)<iframe[^>]+src\\s*=\\s*["']?([^"' >]+)"""), 1)
 
 
-def flat_frames(edges: DataFrame) -> DataFrame:
-    """page_id and url of every frame of a frame tree (page_id, frame_id, parent_id, url), with depth: one join for
-    each level, until a level is empty; pages are shallow trees."""
-    level = edges.where("parent_id is null").select("page_id", "frame_id", "url", F.lit(0).alias("depth"))
-    out = level
-    while not level.isEmpty():
-        level = edges.alias("e").join(level.alias("l"), (F.col("e.page_id") == F.col("l.page_id")) & (F.col("e.parent_id") == F.col("l.frame_id"))).select("e.page_id", "e.frame_id", "e.url", (F.col("l.depth") + 1).alias("depth"))
-        out = out.union(level)
-    return out
+def flat_frames(edges: DataFrame, deepest: int = 100) -> DataFrame:
+    """page_id, frame_id, url and depth of every frame of a frame tree (page_id, frame_id, parent_id, url), from the
+    frames without a parent down, by one recursive query: each level is joined once.
+
+    A tree deeper than deepest, or one that runs in a circle, fails the job.
+    """
+    spark = edges.sparkSession
+    edges.createOrReplaceTempView("_frame_edges")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(deepest))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(
+        """WITH RECURSIVE tree AS (
+            SELECT page_id, frame_id, url, 0 AS depth FROM _frame_edges WHERE parent_id IS NULL
+            UNION ALL SELECT e.page_id, e.frame_id, e.url, t.depth + 1 FROM tree t JOIN _frame_edges e ON e.page_id = t.page_id AND e.parent_id = t.frame_id)
+        SELECT page_id, frame_id, url, depth FROM tree"""
+    )
 
 
 def blockable(url: Column) -> Column:

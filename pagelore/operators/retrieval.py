@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelore.functions.stored import stored
+from pagelore.functions.stored import met, stored
 from pagelore.functions.text import tokens
 
 MIN_WORDS, LIMIT, CONTAINMENT = 8, 12, 0.9
@@ -29,148 +30,228 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def statistics(found: DataFrame) -> DataFrame:
-    """Per query n, the number of evidence blocks, and avg_len. found: query_id and n_tokens of each block."""
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
+AT = ["page_id", "block_id"]
+#: So many times as many occurrences as ranks asked for are scored to find a bound.
+ENOUGH = 8
+#: By so much a query reads on in its ranks when those it has read hold too few passages.
+FURTHER = 8
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _impact(tf: Column, n_tokens: Column, avg_len: Column) -> Column:
+    return tf / (tf + K1 * (1 - B + B * n_tokens / avg_len))
 
 
 def bm25(queries: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
-    """query_id, page_id, block_id, source_rank and score over 0 of each block of each query's pages.
+    """query_id, page_id, block_id, same (a digest of the text), source_rank and score over 0 of each block of each
+    query's pages.
 
-    candidates: query_id, page_id, source_rank. A query's terms travel as one array, so blocks are never exploded into
-    tokens: term frequencies are counted inside the row, and only terms that occur become rows.
+    candidates: query_id, page_id, source_rank. A query's terms travel as one array and a block keeps how often it holds
+    each, so blocks are never exploded into tokens. One aggregation, summed up in the map tasks first, gives a query's
+    number of blocks, their mean length and its terms' frequencies, however long its list is; scores need no shuffle.
     """
-    ev = evidence(blocks).select("page_id", "block_id", "tokens", F.size("tokens").alias("n_tokens"))
+    ev = evidence(blocks).select(*AT, F.md5("text").alias("same"), "tokens", F.size("tokens").alias("n_tokens"))
     terms = query_terms(queries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms"))
-    own = candidates.join(terms, "query_id").join(ev, "page_id")
-    counted = own.withColumn("hits", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["times"].alias("times"), F.size(F.filter("tokens", lambda x: x == t["term"])).alias("tf")))).select(
-        "query_id", "page_id", "block_id", "source_rank", "n_tokens", F.filter("hits", lambda h: h["tf"] > 0).alias("hits")
-    )
-    stats = statistics(counted)
-    hits = counted.select("query_id", "page_id", "block_id", "source_rank", "n_tokens", F.explode("hits").alias("h")).select("query_id", "page_id", "block_id", "source_rank", "n_tokens", "h.*")
-    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
-    scored = hits.join(df, ["query_id", "term"]).join(stats, "query_id").groupBy("query_id", "page_id", "block_id", "source_rank").agg(F.sum(part).alias("bm25"))
-    return scored.withColumn("score", F.col("bm25") / (1 + RANK_WEIGHT * F.col("source_rank"))).where("score > 0").drop("bm25")
-
-
-AT = ["page_id", "block_id"]
-#: So many times as many occurrences as ranks asked for are scored to find a bound.
-ENOUGH = 8
+    tfs = F.transform("terms", lambda t: F.size(F.filter("tokens", lambda x: x == t["term"])))
+    counted = stored(candidates.join(terms, "query_id").join(ev, "page_id").select("query_id", *AT, "same", "source_rank", "n_tokens", "terms.times", tfs.alias("tfs")), "counted")
+    each = counted.select("query_id", "n_tokens", F.posexplode(F.arrays_zip("times", "tfs")).alias("at", "t"))
+    stats = each.groupBy("query_id", "at").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("length"), F.count_if(F.col("t.tfs") > 0).alias("df"), F.first("t.times").alias("times"))
+    weight = F.col("times") * _idf(F.col("n"), F.col("df")) * (K1 + 1)
+    told = stats.groupBy("query_id").agg(F.first(F.col("length") / F.col("n")).alias("avg_len"), F.array_sort(F.collect_list(F.struct("at", weight.alias("weight")))).alias("weights"))
+    part = F.zip_with("tfs", "weights", lambda tf, w: w["weight"] * _impact(tf, F.col("n_tokens"), F.col("avg_len")))
+    scored = met(counted, stored(told, "stats"), ["query_id"]).withColumn("bm25", F.aggregate(part, F.lit(0.0), lambda total, x: total + x))
+    return scored.select("query_id", *AT, "same", "source_rank", (F.col("bm25") / (1 + RANK_WEIGHT * F.col("source_rank"))).alias("score")).where("score > 0")
 
 
 class CorpusScores:
     """R3, R4 with every block as a candidate of every query, all of source rank 0.
 
     The blocks are read twice: for their number and mean length, and for the occurrences of the queries' terms, which
-    are stored. Occurrences meet where a hash of the block's ids puts them; the queries' terms are broadcast. Parts of a
-    score are summed in billionths, so that their order can't change it.
+    are stored with their impact, what a term of weight 1 brings. Parts of a score are summed in billionths, so that
+    their order can't change it.
     """
 
     def __init__(self, queries: DataFrame, blocks: DataFrame) -> None:
-        terms = query_terms(queries)
+        terms = stored(query_terms(queries), "terms")
         every = evidence(blocks)
-        asked = F.broadcast(terms.select("term").distinct())
-        words = every.select(*AT, "text").repartition(*AT).withColumn("tokens", tokens(F.col("text"))).select(*AT, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
-        self.hits = stored(words.join(asked, "term", "left_semi").groupBy(*AT, "n_tokens", "term").agg(F.count("*").alias("tf")), "hits")
-        df = self.hits.groupBy("term").agg(F.count("*").alias("df"))
-        whole = every.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        self.weights = stored(terms.join(df, "term").crossJoin(whole).select("query_id", "term", "df", (F.col("times") * idf * (K1 + 1)).alias("weight"), "avg_len"), "weights")
-
-    def _summed(self, met: DataFrame) -> DataFrame:
-        part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
-        return met.groupBy("query_id", *AT).agg((F.sum(F.round(part * 1e9).cast("long")) / 1e9).alias("score")).select("query_id", *AT, F.lit(0).alias("source_rank"), "score").where("score > 0")
+        n, avg_len = every.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+        words = every.select(*AT, "text").repartition(*AT).withColumn("tokens", tokens(F.col("text"))).select(*AT, F.md5("text").alias("same"), F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
+        counted = met(words, terms.select("term").distinct(), ["term"]).groupBy(*AT, "same", "n_tokens", "term").agg(F.count("*").alias("tf"))
+        self.hits = stored(counted.select(*AT, "same", "term", _impact(F.col("tf"), F.col("n_tokens"), F.lit(avg_len or 1.0)).alias("impact")), "hits")
+        df = self.hits.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("highest"))
+        weight = F.col("times") * _idf(F.lit(n), F.col("df")) * (K1 + 1)
+        self.weights = stored(terms.join(df, "term").select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("highest")).alias("bound")), "weights")
+
+    def _summed(self, found: DataFrame) -> DataFrame:
+        score = (F.sum(F.round(F.col("weight") * F.col("impact") * 1e9).cast("long")) / 1e9).alias("score")
+        return found.groupBy("query_id", *AT, "same").agg(score).select("query_id", *AT, "same", F.lit(0).alias("source_rank"), "score").where("score > 0")
 
     def every(self) -> DataFrame:
-        """query_id, page_id, block_id, source_rank and score over 0 of each block."""
-        return self._summed(self.hits.repartition(*AT).join(F.broadcast(self.weights), "term"))
+        """query_id, page_id, block_id, same, source_rank and score over 0 of each block."""
+        return self._summed(met(self.hits.repartition(*AT), self.weights.select("query_id", "term", "weight"), ["term"]))
 
     def _among(self, terms: DataFrame) -> DataFrame:
         """The same of blocks that hold one of the terms (query_id, term) of their query."""
         hits = self.hits.repartition(*AT)
-        found = hits.join(F.broadcast(terms.select("query_id", "term")), "term").select("query_id", *AT).distinct()
-        return self._summed(found.join(hits, AT).join(F.broadcast(self.weights), ["query_id", "term"]))
+        found = met(hits, terms.select("query_id", "term"), ["term"]).select("query_id", *AT).distinct()
+        return self._summed(met(found.join(hits, AT), self.weights.select("query_id", "term", "weight"), ["query_id", "term"]))
 
-    def best(self, first: int) -> DataFrame:
-        """The same of each query's first ranks at least, by exact bounds.
+    def best(self, first: int, left: DataFrame | None = None, texts: bool = False) -> DataFrame:
+        """The same of each query's first ranks at least, by exact bounds; of the queries in left, if it is given.
 
         Blocks with a query's heaviest terms, as many terms as have occurrences enough, are scored first: `first` of
-        them reach some score. A part never reaches its term's weight, so terms whose weights, from the lightest on, sum
-        up to less can't bring a block there alone: blocks without one of the other terms are left out.
+        them reach some score. A part never passes its term's bound, the weight times the highest impact, so terms whose
+        bounds, from the least on, sum up to less can't bring a block there alone: blocks without one of the other terms
+        are left out. With texts, blocks of one text have one rank together.
         """
+        weights = self.weights if left is None else self.weights.join(left.select("query_id").distinct(), "query_id", "left_semi")
         query = Window.partitionBy("query_id")
         earlier = F.coalesce(F.sum("df").over(query.orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        heavy = self.weights.withColumn("_earlier", earlier).where(F.col("_earlier") < ENOUGH * first)
+        heavy = stored(weights.withColumn("_earlier", earlier).where(F.col("_earlier") < ENOUGH * first), "heavy")
         place = F.row_number().over(query.orderBy(F.desc("score")))
-        sure = self._among(heavy).withColumn("_k", place).where(F.col("_k") <= first).where(F.col("_k") == first).select("query_id", F.col("score").alias("_sure"))
-        upto = F.sum("weight").over(query.orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0))
-        needed = self.weights.withColumn("_upto", upto).join(sure, "query_id", "left").where(F.col("_upto") >= F.coalesce("_sure", F.lit(0.0)) - 1e-6)
-        return self._among(needed)
+        reached = self._among(heavy).groupBy("query_id", "same").agg(F.max("score").alias("score")) if texts else self._among(heavy)
+        sure = reached.withColumn("_k", place).where(F.col("_k") <= first).where(F.col("_k") == first).select("query_id", F.col("score").alias("_sure"))
+        upto = F.sum("bound").over(query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+        return self._among(stored(weights.withColumn("_upto", upto).join(sure, "query_id", "left").where(F.col("_upto") >= F.coalesce("_sure", F.lit(0.0)) - 1e-6), "needed"))
+
+    def ranks(self, first: int, left: DataFrame | None = None) -> DataFrame:
+        return ranked_texts(self.best(first, left, texts=True), first)
 
 
 def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     return CorpusScores(queries, blocks).every()
 
 
-def _grams(text: str) -> set[str]:
+def ranked_texts(scored: DataFrame, first: int) -> DataFrame:
+    """query_id, page_id, block_id, source_rank, score and position of each query's first texts, from 1.
+
+    Copies of a text are near duplicates of each other, so of those only the first in order can be a passage: score, then
+    source rank, page and block.
+    """
+    least = F.min(F.struct((-F.col("score")).alias("worse"), "source_rank", *AT)).alias("b")
+    one = scored.groupBy("query_id", "same").agg(least).select("query_id", *(F.col(f"b.{c}").alias(c) for c in AT), "b.source_rank", (-F.col("b.worse")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_rank", *AT)
+    return one.withColumn("position", F.row_number().over(order)).where(F.col("position") <= first)
+
+
+def table_ranks(scored: DataFrame) -> Callable[[int, DataFrame | None], DataFrame]:
+    """Ranks to read from a table of scores that holds all."""
+    return lambda first, left: ranked_texts(scored if left is None else scored.join(left.select("query_id").distinct(), "query_id", "left_semi"), first)
+
+
+def _grams(text: str) -> frozenset[str]:
     flat = " ".join(text.lower().split())
-    return {flat[i : i + 3] for i in range(len(flat) - 2)}
+    return frozenset(flat[i : i + 3] for i in range(len(flat) - 2))
+
+
+def _near(own: frozenset[str], other: frozenset[str], containment: float) -> bool:
+    """Texts without trigrams are near nothing."""
+    return bool(own) and bool(other) and len(own & other) >= containment * min(len(own), len(other))
 
 
 @F.pandas_udf(T.BooleanType())
 def _near_any(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether a text is a near duplicate, by the containment given, of one of the texts."""
+    of_taken = lru_cache(maxsize=4096)(_grams)
     for text, taken, share in parts:
-        found = []
-        for one, others, least in zip(text, taken, share, strict=True):
-            own = _grams(one)
-            found.append(bool(own) and any(len(own & g) >= least * min(len(own), len(g)) for g in map(_grams, others)))
-        yield pd.Series(found, dtype=bool)
+        yield pd.Series([any(_near(own, of_taken(x), least) for x in others) for own, others, least in zip(map(_grams, text), taken, share, strict=True)], dtype=bool)
 
 
-def top_passages(scored: DataFrame, texts: DataFrame, limit: int = LIMIT, containment: float = CONTAINMENT, first: int = 8 * LIMIT, best: DataFrame | None = None) -> DataFrame:
+def top_passages(ranks: Callable[[int, DataFrame | None], DataFrame], texts: DataFrame, limit: int = LIMIT, containment: float = CONTAINMENT, first: int = 8 * LIMIT) -> DataFrame:
     """For each query up to limit passages by score, without near duplicates of passages already taken.
 
-    best: rows of scored that hold each query's first ranks at least, where they are cheaper to come by.
-    texts: page_id, block_id, text, url, title of every scored block. Order: score, then source rank, page and block. A
-    query's group holds the texts of its first ranks only. Queries that got fewer than limit from more ranks than that go on with the first
-    of those that are no near duplicates of what they have: each such round, a job of its own, takes one more at least.
+    ranks: gives, for a number and maybe a table of query_ids, the first so many ranks, as ranked_texts does. texts:
+    page_id, block_id, text, url, title of every scored block. A group holds a query's texts of `first` ranks at most.
+    Queries that got too few from them read on: of FURTHER times as many ranks, those beyond the last one read that are
+    near no passage taken, again `first` at a time. Each such round takes a passage more or multiplies the ranks read, so
+    there are at most limit rounds and the logarithm of the number of texts.
     """
-    names = ["query_id", "page_id", "block_id", "score", "source_rank"]
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_rank", "page_id", "block_id")
-    out = ", ".join([*(f"{c} {kind}" for c, kind in scored.select(names).dtypes), "url string, title string, text string, more boolean"])
+    names = ["query_id", *AT, "score", "source_rank"]
     columns = [*names, "url", "title", "text", "position"]
 
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return met(texts, rows, AT)
+
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("position").reset_index(drop=True)
-        taken: list[tuple[int, set[str]]] = []
+        taken: list[tuple[int, frozenset[str]]] = []
         for i, text in enumerate(group.text):
             own = _grams(text)
-            if group.position[i] > 0 and own and any(len(own & g) >= containment * min(len(own), len(g)) for _, g in taken):
+            if group.position[i] > 0 and any(_near(own, g, containment) for _, g in taken):
                 continue
             taken.append((i, own))
             if len(taken) == limit:
                 break
         got = group.iloc[[i for i, _ in taken]].copy()
-        got["more"] = len(taken) < limit and int(group.position.max()) >= first
-        return got[[*columns[:-1], "more"]]
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= first)
-
-    got = texts.join(F.broadcast(ranked(scored if best is None else best)), ["page_id", "block_id"]).select(columns).groupBy("query_id").applyInPandas(choose, out).persist()
-    done = got.where(~F.col("more"))
-    while not (left := got.where("more")).isEmpty():
-        have = left.groupBy("query_id").agg(F.collect_list("text").alias("_taken"), F.collect_list(F.struct("page_id", "block_id")).alias("_ids"))
-        rest = scored.join(have, "query_id").where(~F.array_contains("_ids", F.struct("page_id", "block_id"))).join(texts, ["page_id", "block_id"])
-        new = ranked(rest.where(~_near_any("text", "_taken", F.lit(containment))))
-        both = new.select(columns).unionByName(left.withColumn("position", F.lit(0)).select(columns))
-        got = both.groupBy("query_id").applyInPandas(choose, out).persist()
-        done = done.unionByName(got.where(~F.col("more")))
-    passage = F.row_number().over(order).cast("int")
-    return done.withColumn("passage", passage).select("query_id", "passage", "page_id", "block_id", F.round("score", 4).alias("score"), "url", "title", "text")
+        got["reached"], got["full"] = int(group.position.max()), bool((group.position > 0).sum() >= first)
+        got["few"] = len(taken) < limit
+        return got[[*columns[:-1], "reached", "full", "few"]]
+
+    def step(taken: DataFrame, ranked: DataFrame) -> DataFrame:
+        """Queries' passages so far (taken, which have read up to reached) and the next from ranked."""
+        have = stored(taken.groupBy("query_id").agg(F.collect_list("text").alias("_taken"), F.max("reached").alias("_reached")), "taken")
+        rest = with_texts(met(ranked, have, ["query_id"]).where("position > _reached"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
+        new = rest.where(~_near_any("text", "_taken", F.lit(containment))).withColumn("_k", place).where(F.col("_k") <= first)
+        return new.select(columns).unionByName(taken.withColumn("position", F.lit(0)).select(columns))
+
+    ranked, depth = stored(ranks(first, None), "ranks"), first
+    out = ", ".join([*(f"{c} {kind}" for c, kind in ranked.select(names).dtypes), "url string, title string, text string, reached int, full boolean, few boolean"])
+    got = stored(with_texts(ranked).select(columns).groupBy("query_id").applyInPandas(choose, out).withColumn("full", F.lit(False)), "passages")
+    done, waiting = got.where("not few"), None
+    while True:
+        deeper = ranked.groupBy("query_id").agg((F.max("position") >= depth).alias("deeper"))
+        few = got.where("few").join(deeper, "query_id")
+        again, behind = few.where("full"), few.where("not full and deeper")
+        done = done.unionByName(few.where("not full and not deeper").drop("deeper"))
+        waiting = behind if waiting is None else waiting.unionByName(behind)
+        if not again.isEmpty():
+            left = again
+        elif not waiting.isEmpty():
+            left, waiting = waiting.withColumn("reached", F.lit(depth)), None
+            depth *= FURTHER
+            ranked = stored(ranks(depth, left), "ranks")
+        else:
+            break
+        got = stored(step(left, ranked).groupBy("query_id").applyInPandas(choose, out), "passages")
+        done = done.unionByName(got.where("not few"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_rank", *AT)
+    return done.withColumn("passage", F.row_number().over(order).cast("int")).select("query_id", "passage", *AT, F.round("score", 4).alias("score"), "url", "title", "text")
+
+
+def summary(queries: DataFrame, passages: DataFrame, triaged: DataFrame) -> DataFrame:
+    """query_id, n_passages, tokens, n_failures and sources_consulted; queries without passages stay.
+
+    triaged: query_id, url and reason (null for usable sources); a null query_id stands for every query.
+    """
+    got = passages.groupBy("query_id").agg(F.count("*").alias("n_passages"), F.floor(F.sum(F.length("text")) / 4).cast("long").alias("tokens"))
+    seen = triaged.groupBy("query_id").agg(F.count("reason").alias("n_failures"), F.count_if(F.col("reason").isNull()).alias("sources_consulted"))
+    everyone = triaged.where("query_id is null").agg(F.count("reason").alias("_failures"), F.count_if(F.col("reason").isNull()).alias("_sources"))  # one row
+    joined = queries.select("query_id").distinct().join(got, "query_id", "left").join(seen, "query_id", "left").fillna(0).crossJoin(F.broadcast(everyone))
+    return joined.withColumns({"n_failures": F.col("n_failures") + F.col("_failures"), "sources_consulted": F.col("sources_consulted") + F.col("_sources")}).drop("_failures", "_sources")
+
+
+RESULT = ["url", "title", "citation", "score", "text"]
+
+
+def results(queries: DataFrame, passages: DataFrame, sources: DataFrame) -> DataFrame:
+    """A row for each query: query_id, passages (array of structs in order), failures (array of url and reason, every
+    source that was tried and could not be used), sources_consulted, tokens, and no_sources, whether no source was usable,
+    so that the failures are all there is to tell.
+
+    passages: query_id, passage and the fields of RESULT; sources: query_id, url, reason (null for usable ones) of each
+    candidate, as search gives them. Queries without candidates have neither.
+    """
+    told = F.transform(F.array_sort(F.collect_list(F.struct("passage", *RESULT))), lambda p: F.struct(*(p[c].alias(c) for c in RESULT)))
+    got = passages.groupBy("query_id").agg(told.alias("passages"), F.floor(F.sum(F.length("text")) / 4).cast("long").alias("tokens"))
+    failed = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("url", "reason"))))
+    tried = sources.where("query_id is not null").groupBy("query_id").agg(failed.alias("failures"), F.count_if(F.col("reason").isNull()).alias("sources_consulted"))
+    joined = queries.select("query_id").distinct().join(got, "query_id", "left").join(tried, "query_id", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "sources_consulted": F.coalesce("sources_consulted", F.lit(0))})
+    lists = {c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)) for c in ("passages", "failures")}
+    return joined.withColumns(lists | {"no_sources": F.col("sources_consulted") == 0}).select("query_id", "passages", "failures", "sources_consulted", "tokens", "no_sources")
 
 
 def summary(queries: DataFrame, passages: DataFrame, triaged: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelore.functions.stored import stored
+
 ATTEMPT = "struct<attempt:int,success:boolean,turns:int,aborted:string,wall_seconds:double,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,cost_usd:double,llm_calls:int>"
 TASKS = f"arm string, task_id string, attempts array<{ATTEMPT}>, success boolean, attempts_used int, total_tokens bigint, llm_calls int, total_cost_usd double, total_wall_seconds double, turns int"
 SEARCH_RESPONSE = "struct<web:struct<results:array<struct<url:string,title:string,description:string>>>>"
@@ -35,6 +39,16 @@ def read_results(spark: SparkSession, path: str, row: str) -> DataFrame:
     return found.select("generated_at", F.inline("rows"))
 
 
+def write_results(rows: DataFrame, path: str, generated_at: str, row: str = "row", rows_per_document: int = 10_000) -> None:
+    """Result documents {generated_at, rows: [...]} of several lines, a file each. row names a column with a row as
+    JSON; a document holds rows_per_document of them at most."""
+    own = stored(rows.select(row), "results")
+    document = F.expr(f"monotonically_increasing_id() div {rows_per_document}").alias("document")
+    lists = own.select(document, row).groupBy("document").agg(F.array_join(F.collect_list(row), ",\n    ").alias("_rows"))
+    head = F.concat(F.lit('{\n  "generated_at": '), F.lit(json.dumps(generated_at)), F.lit(',\n  "rows": [\n    '))
+    lists.select("document", F.concat(head, "_rows", F.lit("\n  ]\n}")).alias("value")).repartition("document").write.partitionBy("document").text(path)
+
+
 def read_tasks(spark: SparkSession, path: str, arm: str | None = None) -> DataFrame:
     """Task rows of JSON lines, of one arm if it is given; blank lines hold nothing."""
     rows = spark.read.schema(TASKS).json(path).where("task_id is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelore.functions.html_tree import parse
 from pagelore.functions.medians import middle, with_medians
+from pagelore.functions.stored import met
 from pagelore.functions.text import near_duplicate, quoted, trigrams
 from pagelore.operators import documents, evaluation, page_rows, retrieval, safety, snapshots, transcripts, triage
 from pagelore.sources import tables
@@ -98,6 +99,10 @@ def test_page_rows(spark):
 def test_flat_frames(spark):
     edges = spark.createDataFrame([(1, "a", None, "u1"), (1, "b", "a", "u2"), (1, "c", "b", "u3")], "page_id int, frame_id string, parent_id string, url string")
     assert sorted(rows(page_rows.flat_frames(edges), "url", "depth")) == [("u1", 0), ("u2", 1), ("u3", 2)]
+    deep = spark.createDataFrame([(p, i, i - 1 if i else None, f"u{i}") for p in (1, 2) for i in range(30)], "page_id int, frame_id int, parent_id int, url string")
+    assert sorted(rows(page_rows.flat_frames(deep), "page_id", "url", "depth")) == sorted((p, f"u{i}", i) for p in (1, 2) for i in range(30))
+    with pytest.raises(Exception):
+        page_rows.flat_frames(spark.createDataFrame([(1, 0, None, "a"), (1, 1, 0, "b"), (1, 2, 1, "c")], "page_id int, frame_id int, parent_id int, url string"), 1).collect()
 
 
 BLOCKS = [(1, 0, "heading", 1, "Guide", ["Guide"]), (1, 1, "text", 0, "The quick brown fox jumps over the lazy dog today", ["Guide"]), (2, 0, "text", 0, "The quick brown fox jumps over the lazy dog today.", []), (2, 1, "text", 0, "Bread needs flour and water and salt and time", []), (2, 2, "text", 0, "fox fox", [])]
@@ -155,15 +160,64 @@ def test_passages_of_whole_corpus(spark):
     assert all(r["score"] == pytest.approx(score(items[r["query_id"]], blocks[r["page_id"], r["block_id"]]), abs=1e-4) for r in got)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _near_copies(spark, n, exact=False):
+    """Scores and texts of two queries: n[i] texts near to the i-th, in order of rank. The second query lacks the first 15."""
+    told = [i for i, k in enumerate(n) for _ in range(k)]
+    text = lambda p, i: " ".join(LETTERS[(i * 3 + j) % 26] * 3 + LETTERS[(i + j * j) % 26] * 2 for j in range(40)) + f" {i}" + ("" if exact else f" copy {p}")
+    found = [(q, p, 0, str((i if exact else p)), 0, 1e6 - p) for q in (1, 2) for p, i in enumerate(told) if q == 1 or p > 14]
+    scored = spark.createDataFrame(found, "query_id int, page_id int, block_id int, same string, source_rank int, score double")
+    return scored, spark.createDataFrame([(p, 0, text(p, i), "u", "t") for p, i in enumerate(told)], "page_id int, block_id int, text string, url string, title string")
+
+
 def test_passages_in_rounds(spark):
     """A group holds few ranks, and what is chosen is as over all of them."""
-    n = [8, 1, 6, 2, 2, 1]  # copies of six texts, in order of rank
-    told = [i for i, k in enumerate(n) for _ in range(k)]
-    scored = spark.createDataFrame([(q, p, 0, 0, 100.0 - p) for q in (1, 2) for p in range(len(told)) if q == 1 or p > 14], "query_id int, page_id int, block_id int, source_rank int, score double")
-    texts = spark.createDataFrame([(p, 0, "abcdefghij"[i] * 5 + f" text number {i} " + "klmnopqrst"[i] * 9, "u", "t") for p, i in enumerate(told)], "page_id int, block_id int, text string, url string, title string")
     want = sorted([(1, 1, 0), (1, 2, 8), (1, 3, 9), (1, 4, 15), (1, 5, 17), (2, 1, 15), (2, 2, 17), (2, 3, 19)])
-    got = [sorted(rows(retrieval.top_passages(scored, texts, limit=5, **more), "query_id", "passage", "page_id")) for more in ({}, {"first": 3}, {"first": 1})]
-    assert got == [want, want, want]
+    for exact in (False, True):
+        scored, texts = _near_copies(spark, [8, 1, 6, 2, 2, 1], exact)
+        for first in (96, 3) if exact else (3, 1):
+            got = retrieval.top_passages(retrieval.table_ranks(scored), texts, limit=5, first=first)
+            assert sorted(rows(got, "query_id", "passage", "page_id")) == want
+
+
+def test_many_copies_take_few_rounds(spark):
+    """10,000 copies of one text are one rank; 2,000 near copies are read once and never in one group."""
+    for n, exact in ((10_000, True), (2_000, False)):
+        scored, texts = _near_copies(spark, [n, 3, 1], exact)
+        calls = []
+
+        def ranks(first, left, calls=calls, read=retrieval.table_ranks(scored)):
+            calls.append(first)
+            return read(first, left)
+
+        got = retrieval.top_passages(ranks, texts, limit=5, first=16)
+        assert sorted(rows(got.where("query_id = 1"), "passage", "page_id")) == [(1, 0), (2, n), (3, n + 3)]
+        assert calls == ([16] if exact else [16, 128, 1024, 8192])
+
+
+def test_texts_without_trigrams_are_near_nothing(spark):
+    scored = spark.createDataFrame([(1, p, 0, str(p), 0, 9.0 - p) for p in range(3)], "query_id int, page_id int, block_id int, same string, source_rank int, score double")
+    texts = spark.createDataFrame([(0, 0, "", "u", "t"), (1, 0, "some text", "u", "t"), (2, 0, "x", "u", "t")], "page_id int, block_id int, text string, url string, title string")
+    for first in (16, 1):
+        assert retrieval.top_passages(retrieval.table_ranks(scored), texts, limit=5, first=first).count() == 3
+
+
+def test_joins_by_size_agree(spark):
+    large = spark.createDataFrame([(i % 3, i) for i in range(50)] + [(None, 1), (0, 0)], "k int, v int")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
+    sent, dealt = (sorted(rows(met(large, small, ["k"], most), "k", "v", "name")) for most in (10, 0))
+    assert sent == dealt and len(sent) == 35
+
+
+def test_results_by_question(spark):
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    passages = spark.createDataFrame([(1, 2, "u2", "t", "[0]", 1.0, "four"), (1, 1, "u1", "t", "[1]", 2.0, "fourfour")], "query_id int, passage int, url string, title string, citation string, score double, text string")
+    sources = spark.createDataFrame([(1, "u1", None), (1, "x", "timeout"), (1, "b", "no_content"), (2, "y", "anti_bot_block"), (None, "z", None)], "query_id int, url string, reason string")
+    got = {r["query_id"]: r for r in retrieval.results(queries, passages, sources).collect()}
+    assert [p["url"] for p in got[1]["passages"]] == ["u1", "u2"] and got[1]["tokens"] == 3 and [tuple(f) for f in got[1]["failures"]] == [("b", "no_content"), ("x", "timeout")]
+    assert [(got[q]["sources_consulted"], got[q]["no_sources"], len(got[q]["failures"]), got[q]["passages"]) for q in (2, 3)] == [(0, True, 1, []), (0, True, 0, [])]
 
 
 def test_retrieval(spark):
@@ -178,7 +232,7 @@ def test_retrieval(spark):
     norm = lambda n: 1 + 1.5 * (0.25 + 0.75 * n / (29 / 3))
     assert score[1] == pytest.approx(3 * idf * 2.5 / norm(10)) and score[2] == pytest.approx(3 * idf * 2.5 / norm(10) / 1.1)
     texts = _blocks(spark).select("page_id", "block_id", "text", F.lit("u").alias("url"), F.lit("t").alias("title"))
-    top = retrieval.top_passages(scored, texts)
+    top = retrieval.top_passages(retrieval.table_ranks(scored), texts)
     assert rows(top, "query_id", "passage", "page_id") == [(7, 1, 1)]  # the other is its near duplicate
     reasons = spark.createDataFrame([(7, 1, "u", None), (9, 2, "u", "timeout")], "query_id int, page_id int, url string, reason string")
     assert sorted(rows(retrieval.summary(queries, top, reasons), "query_id", "n_passages", "n_failures", "sources_consulted")) == [(7, 1, 0, 1), (8, 0, 0, 0), (9, 0, 1, 0)]
@@ -316,6 +370,9 @@ def test_evaluation(spark):
     m = spark.createDataFrame([("a", 4), ("a", 1), ("a", 2), ("a", 3), ("b", 2), ("b", 2), ("b", 9), ("c", None), (None, 5), ("a", None)], "k string, v int")
     found = with_medians(m.groupBy("k").agg(F.count("v").alias("n")), m, ["k"], m=F.col("v")).select("k", "n", "m.upper", middle("m").alias("mid"))
     assert {r["k"]: (r["n"], r["upper"], r["mid"]) for r in found.collect()} == {"a": (4, 3, 2.5), "b": (3, 2, 2.0), "c": (0, None, None), None: (1, 5, 5.0)}
+    whole = spark.range(20_001).select(F.lit("all").alias("k"), F.pmod(F.col("id") * 7919, F.lit(20_001)).alias("v"))
+    got = with_medians(whole.groupBy("k").agg(F.count("*").alias("n")), whole, ["k"], m=F.col("v"), half=F.col("v") / 2)
+    assert got.select("m.lower", "m.upper", "half.upper").first() == (10_000, 10_000, 5_000.0)
     counts = spark.createDataFrame([("p", "a", 10), ("p", "b", 30), ("q", "a", 20), ("q", "b", 20), ("r", "a", None), ("r", "b", 5)], "page string, arm string, tokens int")
     assert rows(evaluation.ratio_stats(counts, "a"), "n", "median_of_ratios", "n_lost") == [(2, 2.0, 1)]
     attempts = spark.createDataFrame([("a", "1", [(False, 3, 10, 1, 1.0, None), (True, 5, 10, 1, 1.0, 0.5)]), ("a", "2", [(True, 2, 1, 1, 1.0, 0.1)]), ("b", "3", [])], "arm string, task_id string, attempts array<struct<success:boolean,turns:int,total_tokens:int,llm_calls:int,wall_seconds:double,cost_usd:double>>")
@@ -328,6 +385,13 @@ def test_evaluation(spark):
         assert evaluation.verdict(spark.createDataFrame(own, "arm string, success boolean, total_cost_usd double, llm_calls int"), "a", "b").first()["verdict"] == want
     low = [(k, i < 7, 1.0, 1) for k in "ab" for i in range(10)]
     assert evaluation.verdict(spark.createDataFrame(low, "arm string, success boolean, total_cost_usd double, llm_calls int"), "a", "b").first()["verdict"] == "INCONCLUSIVE"
+    tries = "array<struct<success:boolean,turns:int,aborted:string,total_tokens:int,llm_calls:int,wall_seconds:double,cost_usd:double>>"
+    won, stuck = (True, 2, None, 1, 4, 1.0, 1.0), (False, 0, "crash", 0, 0, 0.0, 0.0)
+    told = [("a", f"{i}", [won], None, False) for i in range(9)] + [("a", "9", [stuck], None, False)] + [("b", f"{i}", [(True, 2, None, 1, 1, 1.0, 1.6)], None, False) for i in range(8)] + [("b", "8", [], "no start", False), ("b", "9", [stuck[:1] + (1,) + stuck[2:]], None, True)]
+    report = lambda overhead: evaluation.verdict_report(evaluation.task_rows(spark.createDataFrame(told, f"arm string, task_id string, attempts {tries}, harness_error string, timeout boolean"), keep=("attempts", "harness_error", "timeout")), "a", "b", overhead).first()
+    one = report(0.2)
+    assert (one["n_a"], one["never_started_a"], one["never_started_b"], one["timed_out_b"], one["billed_clause"], one["headline"]) == (10, 1, 1, 1, "cost", "WEDGE")
+    assert one["content_a"] == pytest.approx(0.2) and one["content_b"] == pytest.approx(1.4) and report(None)["content_a"] is None and report(None)["headline"] == "WEDGE"
     sig = lambda name, v, c: spark.createDataFrame([(name, v, c)], "name string, value string, cls string")
     assert rows(evaluation.compare_signals(sig("WebDriver", "true", ""), sig("x", "Headless", "passed")).orderBy("name"), "name", "value_before", "failed_before", "failed_after") == [("WebDriver", "true", True, False), ("x", "MISSING", False, False)]
 
@@ -338,6 +402,10 @@ def test_sources(spark, tmp_path):
     assert rows(got, "source_rank", "url", "title") == [(0, "a", ""), (2, "c", "C")]
     (tmp_path / "r.json").write_text(json.dumps({"generated_at": "now", "rows": [{"url": "u", "n": 1}, {"url": "v", "n": None}]}))
     assert rows(tables.read_results(spark, str(tmp_path / "r.json"), "url: string, n: int"), "url", "n") == [("u", 1), ("v", None)]
+    told = spark.createDataFrame([(json.dumps({"url": f"u{i}", "status": "timeout" if i % 2 else 200}),) for i in range(25)], "row string")
+    tables.write_results(told, f"{tmp_path}/docs", 'a "day"', rows_per_document=10)
+    back = tables.read_results(spark, f"{tmp_path}/docs", "url: string, status: string")
+    assert sorted(rows(back, "url", "status", "generated_at")) == sorted((f"u{i}", "timeout" if i % 2 else "200", 'a "day"') for i in range(25))
     (tmp_path / "t.jsonl").write_text('{"arm":"a","task_id":"1"}\n\n{"arm":"b","task_id":"2"}\n')
     assert rows(tables.read_tasks(spark, str(tmp_path / "t.jsonl"), "a"), "task_id") == [("1",)]
 
@@ -351,3 +419,15 @@ def test_empty_tables(spark):
 
 def test_quoting(spark):
     assert spark.createDataFrame([("it's",), (None,)], "t string").select(quoted("t").alias("q")).collect() == [("\"it's\"",), (None,)]
+
+
+def test_sends_and_baselines(spark):
+    """A delta is told against what was sent last, not against the version before."""
+    snaps = spark.createDataFrame([(1, v) for v in range(1, 6)] + [(2, 1)], "session_id int, version int")
+    sends = spark.createDataFrame([(1, 1), (1, 3), (1, 4), (1, 4), (1, 9)], "session_id int, version int")
+    sent = snapshots.sent_before(snaps, sends)
+    assert sorted(rows(sent, "session_id", "version", "last_sent", "n_sends")) == [(1, 1, None, 1), (1, 2, 1, 0), (1, 3, 1, 1), (1, 4, 3, 2), (1, 5, 4, 0), (2, 1, None, 0)]
+    rendered = snaps.withColumn("rendered", F.lit("x" * 100))
+    found = snaps.where("version > 1").select("session_id", "version", (F.col("version") - 1).alias("previous"), F.lit("d").alias("rendered_delta"))
+    assert sorted(rows(snapshots.choose_payload(rendered, found, sent), "version", "kind")) == [(1, "snapshot"), (3, "snapshot"), (4, "delta"), (4, "snapshot")]
+    assert sorted(rows(snapshots.choose_payload(rendered, found), "version", "kind"))[:3] == [(1, "snapshot"), (1, "snapshot"), (2, "delta")]
