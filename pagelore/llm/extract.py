@@ -1,15 +1,14 @@
 """Main text of HTML pages: streamed parser events, text-to-tag ratios per line, smoothing and threshold clustering.
 
 A page has no lines of its own, so a block of text between block-level tags is a line. Its ratio is its characters to
-its tags. Lines of smoothed ratios above a threshold that are not mostly links are content lines. The least element that covers all of them and the page's
-article and main parts is the region of the text; what tags, roles and class words say is no article text goes from it.
-In the region the clusters decide about lines that are mostly links, such as menus and teasers: they stay in an article
-or main part that holds content lines, or within the content lines of a page without. All other lines of the region
-stay, because ratios alone would lose an article's title and short blocks, and on a page without article and main so do
-those outside, as ratios can't tell a title or a short section from them.
-
-Class and id words only suspect an element. It stays if it holds the article or main part, or if its content lines are
-much of the text: half of it, or all if a whole name says that it is something else ("sidebar", not "sidebar-page").
+its tags; Gaussian smoothing spreads ratios over neighbours. What tags, roles and class words say is weak evidence only: it
+lowers the smoothed ratio, as links in a line do. A threshold then parts the lines into two clusters. High lines are
+content: they are kept, and with the article and main parts that hold any of them they span the region of the text. Low
+lines are kept where the region's structure carries them: inside it, or as a heading, sentence or short section next to
+it; not if they are doubted, mostly links, a run of labels or a copyright line.
+
+A doubt never falls on an element that holds the article or main part, nor, on a page without one, on an element with much
+of the content: half of it, or all if a whole class name says that it is something else ("sidebar", not "sidebar-page").
 """
 
 from __future__ import annotations
@@ -27,20 +26,27 @@ from pyspark.sql import functions as F
 
 from pagelore.llm.shared import slices
 
-#: HTML's void, inline and raw elements, elements and roles that are never the article, class words that
-#: rarely are, words that make a class say how a page is laid out, and words of an article's own header.
+#: HTML's void and inline elements, those whose text is never read, elements and roles that are rarely the
+#: article, class words that rarely are, words that make a class say how a page is laid out, and words of an article's own
+#: header.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
-NEVER = set("nav footer aside form script style noscript template head title iframe object svg button select textarea dialog menu canvas audio video".split())
+RAW = set("script style noscript template head title iframe object svg button select textarea canvas audio video".split())
+RARELY = set("nav footer aside form dialog menu".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 WORDS = set(
     "ad ads advert advertisement adverts adsense sponsored sponsor promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar "
-    "side aside widget related recommended notice cookie cookies consent gdpr newsletter subscribe signup popup modal overlay alert comment comments disqus respond replies share sharing social".split()
+    "side aside widget related recommended notice cookie cookies consent gdpr newsletter subscribe signup popup modal overlay alert comment comments disqus respond replies share sharing social ft hd foot copyright legal".split()
 )
 LAYOUT = set("no has have with without".split())
 OWN = set("article post entry story content page section title".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARTS = {"article", "main"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: How much of its smoothed ratio a doubted line keeps.
+DOUBTED = 0.05
+_SENTENCE = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*$")
+_RIGHTS = re.compile(r"^(©|\(c\)|copyright\b)|all rights reserved", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 SIGMA, REACH = 1.0, 3
 
@@ -59,7 +65,8 @@ class _Lines(HTMLParser):
         self.parent = [0]
         self.part = [0]  # the outermost article or main around an element
         self.inner = [0]  # the innermost one
-        self.doubt = [0]  # what class words say of an element: 0 nothing, 1 a part of a name, 2 a whole name
+        self.doubt = [0]  # against an element: 0 nothing, 1 its tag, role or a part of a class name, 2 a whole name
+        self.heading = [False]  # whether an element is, or lies in, a heading
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0
@@ -79,9 +86,9 @@ class _Lines(HTMLParser):
         if tag in INLINE:
             if tag == "a":
                 self.link = len(self.open)
-            if tag not in VOID and ((out := self._outside(tag, attrs)) | (doubt := self._doubted(tag, attrs))):
+            if tag not in VOID and (doubt := self._doubted(tag, attrs)):
                 self.flush()
-                self._push(tag, out, doubt)
+                self._push(tag, False, doubt)
             return
         self.flush()
         if tag in VOID:
@@ -91,26 +98,22 @@ class _Lines(HTMLParser):
         for other in CLOSED_BY.get(tag, ()):
             if self.open and self.open[-1][0] == other:
                 self._pop(other)
-        self._push(tag, self._outside(tag, attrs), self._doubted(tag, attrs))
-
-    def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER:
-            return True
-        if tag == "header" and not (self.open and self.part[self.open[-1][2]]):
-            return True
-        own = dict(attrs)
-        if "hidden" in own or own.get("aria-hidden") == "true" or (own.get("role") or "").lower() in ROLES:
-            return True
-        return tag == "article" and bool({"comment", "comments"} & set(_SPLIT.split((own.get("class") or "").lower())))
+        self._push(tag, tag in RAW, self._doubted(tag, attrs))
 
     def _doubted(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        """What class words say of an element; an article's own header is no other part."""
-        found = 0
-        if not attrs or tag in ("html", "body", *PARTS):
+        """What tag, role and class words say against an element; an article's own header is no other part."""
+        inside = self.open and self.part[self.open[-1][2]]
+        found = int(tag in RARELY or (tag == "header" and not inside))
+        if not attrs or tag in ("html", "body"):
             return found
         own = dict(attrs)
-        inside = self.open and self.part[self.open[-1][2]]
-        for name in f"{own.get('class') or ''} {own.get('id') or ''}".lower().split():
+        names = f"{own.get('class') or ''} {own.get('id') or ''}".lower().split()
+        if tag in PARTS:
+            return 2 if tag == "article" and any(w in ("comment", "comments") for n in names for w in _SPLIT.split(n)) else found
+        if "hidden" in own or own.get("aria-hidden") == "true":
+            return 2
+        found = max(found, int((own.get("role") or "").lower() in ROLES))
+        for name in names:
             words = set(_SPLIT.split(name)) - {""}
             bad = words & WORDS
             if bad and not words & LAYOUT and not (bad == {"header"} and (inside or words & OWN)):
@@ -121,9 +124,11 @@ class _Lines(HTMLParser):
         _, above, parent = self.open[-1] if self.open else ("", False, 0)
         element = len(self.parent)
         self.parent.append(parent)
-        self.part.append(self.part[parent] or element * (tag in PARTS))
-        self.inner.append(element if tag in PARTS else self.inner[parent])
+        part = tag in PARTS and not doubt
+        self.part.append(self.part[parent] or element * part)
+        self.inner.append(element if part else self.inner[parent])
         self.doubt.append(doubt)
+        self.heading.append(tag in HEADINGS or self.heading[parent])
         self.open.append((tag, above or out, element))
         self.n_open[tag] += 1
 
@@ -181,9 +186,9 @@ def clustered(values: np.ndarray) -> np.ndarray:
 
 
 def outside(page: _Lines, lines: list[tuple[str, int, int, bool, int]], last: list[int]) -> list[bool]:
-    """True for each element that is in no part of the article by the class words of it or of one around it.
+    """True for each element that is in no part of the article by the doubts about it or about one around it.
 
-    lines: those that tags and roles keep. Of several articles and main parts those in the fewest doubted elements hold
+    Of several articles and main parts those in the fewest doubted elements hold
     the page's text, so that a wrapper of the article stays and a list of related articles goes.
     """
     size = np.zeros((2, len(last) + 1))
@@ -215,28 +220,40 @@ def main_text(html: str | None) -> str:
     page.close()
     page.flush()
     lines = [x for x in page.lines if x[3]]
-    last = page.ends()
-    if lines and any(page.doubt):
-        gone = outside(page, lines, last)
-        lines = [x for x in lines if not gone[x[2]]]
     if not lines:
         return ""
-    high = clustered(smoothed(np.array([len(text) / tags for text, tags, *_ in lines])))
-    parts = any(page.part[element] for _, _, element, *_ in lines)
-    # smoothing lifts a menu next to the text
-    marked = [element for (_, _, element, *_), is_high in zip(lines, high, strict=True) if is_high] or [x[2] for x in lines]
-    content = [element for (text, _, element, _, linked), is_high in zip(lines, high, strict=True) if is_high and 2 * linked < len(text)] or marked
-    region = covering(page, last, content + [x[2] for x in lines if page.part[x[2]]])
+    last = page.ends()
+    gone = outside(page, lines, last) if any(page.doubt) else [False] * len(last)
+    doubted = np.array([gone[element] for _, _, element, *_ in lines])
+    linked = np.array([min(1.0, n / len(text)) for text, _, _, _, n in lines])
+    values = smoothed(np.array([len(text) / tags for text, tags, *_ in lines]))
+    high = clustered(values * np.where(doubted, DOUBTED, 1.0) * (1 - linked))  # smoothing lifts a menu next to the text
+    content = [x[2] for x, is_high in zip(lines, high, strict=True) if is_high]
+    if not content:
+        return ""
+    parts = {page.part[x[2]] for x, out in zip(lines, doubted, strict=True) if not out} - {0}
+    region = covering(page, last, content + [x[2] for x, out in zip(lines, doubted, strict=True) if page.part[x[2]] and not out])
     region = page.part[region] or region
     core, strong = covering(page, last, content), {page.inner[element] for element in content} - {0}
-
-    def stays(element: int, mostly_links: bool) -> bool:
+    inside = [core <= x[2] <= last[core] for x in lines]
+    label = [not (h or page.heading[x[2]] or _SENTENCE.search(x[0])) for x, h in zip(lines, high, strict=True)]
+
+    def carried(i: int) -> bool:
+        """Whether a low line stays."""
+        text, _, element, *_ = lines[i]
+        if doubted[i]:
+            return False
         within = region <= element <= last[region]
-        if not mostly_links:
-            return within or not parts
-        return within and (page.inner[element] in strong if page.inner[element] else core <= element <= last[core])
-
-    return " ".join(text for text, _, element, _, linked in lines if stays(element, 2 * linked >= len(text)))
+        if linked[i] >= 0.5:
+            return within and (page.inner[element] in strong if page.inner[element] else inside[i])
+        if parts or inside[i]:
+            return within
+        if _RIGHTS.search(text):
+            return False
+        beside = any(0 <= k < len(lines) and label[k] and not inside[k] for k in (i - 1, i + 1))
+        return not label[i] or (" " in text and not beside)
+
+    return " ".join(x[0] for i, x in enumerate(lines) if high[i] or carried(i))
 
 
 def covering(page: _Lines, last: list[int], elements: list[int]) -> int:

@@ -356,6 +356,28 @@ def test_clusters_decide(html, text, monkeypatch):
     assert extract.main_text(html) != text.strip()
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        *((f"<nav>n</nav>{a}<h1>T</h1><p>{LONG}{b}", f"T {LONG}") for a, b in (("<form id=aspnetForm><div><article>", "</article></div></form>"), ("<form><main>", "</main></form>"), ("<form><div>", "</div></form>"), ("<body role=form><article>", "</article>"), ("<div role=dialog><div>", "</div></div>"), ("<aside><article>", "</article></aside>"))),
+        (f"<body><div><span>Home</span><span>News</span></div><div><p>{LONG}</p></div><div class=q><p>Copyright 2024 Us. All rights reserved.</p></div>", LONG),
+        (f"<body><div><div>Home</div><div>All news</div></div><div><h1>T</h1><p>{LONG}</p></div><div class=ft><p>Made by us.</p></div>", f"T {LONG}"),
+        (f"<article><p>{LONG}<form><p>Your name<input></form><p>Short end</article><article class=comment>{LONG}</article>", f"{LONG}Short end"),
+    ],
+)
+def test_nothing_that_holds_the_article_goes_by_tag_or_role(html, text):
+    assert extract.main_text(html) == text.strip()
+
+
+def test_clusters_decide_on_the_given_pages(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    want = [extract.main_text(x) for x in pages]
+    keep = extract.clustered
+    for other in (lambda v: np.zeros(len(v), bool), lambda v: np.ones(len(v), bool), lambda v: ~keep(v)):
+        monkeypatch.setattr(extract, "clustered", other)
+        assert not any(extract.main_text(x) == y for x, y in zip(pages, want, strict=True))
+
+
 def test_clusters_against_plain_counts():
     rng = random.Random(8)
     for _ in range(50):
