@@ -53,7 +53,7 @@ def bm25(queries: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFr
     each, so blocks are never exploded into tokens. One aggregation, summed up in the map tasks first, gives a query's
     number of blocks, their mean length and its terms' frequencies, however long its list is; scores need no shuffle.
     """
-    ev = evidence(blocks).select(*AT, F.md5("text").alias("same"), "tokens", F.size("tokens").alias("n_tokens"))
+    ev = evidence(blocks).select(*AT, F.unhex(F.md5("text")).alias("same"), "tokens", F.size("tokens").alias("n_tokens"))
     terms = query_terms(queries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms"))
     tfs = F.transform("terms", lambda t: F.size(F.filter("tokens", lambda x: x == t["term"])))
     counted = stored(candidates.join(terms, "query_id").join(ev, "page_id").select("query_id", *AT, "same", "source_rank", "n_tokens", "terms.times", tfs.alias("tfs")), "counted")
@@ -70,34 +70,41 @@ class CorpusScores:
     """R3, R4 with every block as a candidate of every query, all of source rank 0.
 
     The blocks are read twice: for their number and mean length, and for the occurrences of the queries' terms, which
-    are stored with their impact, what a term of weight 1 brings. Parts of a score are summed in billionths, so that
+    are stored as arrays by block, with their impact, what a term of weight 1 brings. Parts of a score are summed in billionths, so that
     their order can't change it.
     """
 
     def __init__(self, queries: DataFrame, blocks: DataFrame) -> None:
         terms = stored(query_terms(queries), "terms")
+        asked = stored(terms.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "asked")
         every = evidence(blocks)
         n, avg_len = every.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-        words = every.select(*AT, "text").repartition(*AT).withColumn("tokens", tokens(F.col("text"))).select(*AT, F.md5("text").alias("same"), F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
-        counted = met(words, terms.select("term").distinct(), ["term"]).groupBy(*AT, "same", "n_tokens", "term").agg(F.count("*").alias("tf"))
-        self.hits = stored(counted.select(*AT, "same", "term", _impact(F.col("tf"), F.col("n_tokens"), F.lit(avg_len or 1.0)).alias("impact")), "hits")
-        df = self.hits.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("highest"))
+        words = every.select(*AT, "text").repartition(*AT).withColumn("tokens", tokens(F.col("text"))).select(*AT, F.unhex(F.md5("text")).alias("same"), F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
+        counted = met(words, asked, ["term"]).groupBy(*AT, "same", "n_tokens", "term_id").agg(F.count("*").alias("tf"))
+        own = counted.select(*AT, "same", "term_id", _impact(F.col("tf"), F.col("n_tokens"), F.lit(avg_len or 1.0)).alias("impact"))
+        self.hits = stored(own.groupBy(*AT, "same").agg(F.collect_list(F.struct("term_id", "impact")).alias("h")).select(*AT, "same", F.col("h.term_id").alias("term_ids"), F.col("h.impact").alias("impacts")), "hits")
+        df = self.hits.select(F.explode(F.arrays_zip("term_ids", "impacts")).alias("h")).groupBy("h.term_ids").agg(F.count("*").alias("df"), F.max("h.impacts").alias("highest")).withColumnRenamed("term_ids", "term_id")
         weight = F.col("times") * _idf(F.lit(n), F.col("df")) * (K1 + 1)
-        self.weights = stored(terms.join(df, "term").select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("highest")).alias("bound")), "weights")
+        self.weights = stored(terms.join(asked, "term").join(df, "term_id").select("query_id", "term", "term_id", "df", weight.alias("weight"), (weight * F.col("highest")).alias("bound")), "weights")
 
     def _summed(self, found: DataFrame) -> DataFrame:
         score = (F.sum(F.round(F.col("weight") * F.col("impact") * 1e9).cast("long")) / 1e9).alias("score")
         return found.groupBy("query_id", *AT, "same").agg(score).select("query_id", *AT, "same", F.lit(0).alias("source_rank"), "score").where("score > 0")
 
+    def _weighed(self, rows: DataFrame, on: list[str]) -> DataFrame:
+        """Scores of rows with term_ids and impacts; they lie where a hash of the block's ids puts them."""
+        each = rows.withColumn("h", F.explode(F.arrays_zip("term_ids", "impacts"))).select(*(c for c in rows.columns if c not in ("term_ids", "impacts")), F.col("h.term_ids").alias("term_id"), F.col("h.impacts").alias("impact"))
+        return self._summed(met(each, self.weights.select("query_id", "term_id", "weight"), on))
+
     def every(self) -> DataFrame:
         """query_id, page_id, block_id, same, source_rank and score over 0 of each block."""
-        return self._summed(met(self.hits.repartition(*AT), self.weights.select("query_id", "term", "weight"), ["term"]))
+        return self._weighed(self.hits.repartition(*AT), ["term_id"])
 
     def _among(self, terms: DataFrame) -> DataFrame:
-        """The same of blocks that hold one of the terms (query_id, term) of their query."""
+        """The same of blocks that hold one of the terms (query_id, term_id) of their query."""
         hits = self.hits.repartition(*AT)
-        found = met(hits, terms.select("query_id", "term"), ["term"]).select("query_id", *AT).distinct()
-        return self._summed(met(found.join(hits, AT), self.weights.select("query_id", "term", "weight"), ["query_id", "term"]))
+        found = met(hits.select(*AT, F.explode("term_ids").alias("term_id")), terms.select("query_id", "term_id"), ["term_id"]).select("query_id", *AT).distinct()
+        return self._weighed(found.join(hits, AT), ["query_id", "term_id"])
 
     def best(self, first: int, left: DataFrame | None = None, texts: bool = False) -> DataFrame:
         """The same of each query's first ranks at least, by exact bounds; of the queries in left, if it is given.
