@@ -72,12 +72,14 @@ def write(docs: DataFrame, folder: str, encoder: Encoder, end_id: int | None = N
 
     encoder makes, in a task, a function from texts to arrays of ids. end_id is appended to each document. A null or
     empty text has no other ids. Ids are whole numbers or null; rows without one come first, and rows that repeat an id
-    lie together, by text.
+    lie together, by a hash of their text, so that they are dealt over tasks too. Other columns of docs are not read,
+    whatever their names.
     """
     if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
         raise TypeError("ids of token files are whole numbers")
     own_text = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
-    ordered = docs.select(F.col(doc_id).cast("bigint").alias("_id"), own_text).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    told = docs.select(F.col(doc_id).cast("bigint").alias("_id"), own_text).withColumn("_hash", F.xxhash64("_text"))
+    ordered = told.repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash", "_text").drop("_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
