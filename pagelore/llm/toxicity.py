@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm.shared import slices
 
-#: At most so many labelled rows of each class are learned from: those with the least hash of their id.
+#: At most so many labelled rows of each class are learned from: those with the least hash of their id, then of their text.
 SAMPLE = 2500
 SIZES = (3, 4, 5)
 BITS = 22
@@ -47,12 +47,13 @@ def log_count_ratios(found: list[np.ndarray], toxic: np.ndarray) -> tuple[np.nda
     return np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2)), counts[0] + counts[1]
 
 
-def fit(found: list[np.ndarray], toxic: np.ndarray, odds: float, steps: int = 200, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias). odds: toxic to other rows among all labelled ones, which the bias is moved to."""
+def fit(found: list[np.ndarray], toxic: np.ndarray, odds: float, steps: int = 200, penalty: float = 1.0, most: int | None = FEATURES, least: int = LEAST_TEXTS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, bias). odds: toxic to other rows among all labelled ones, which the bias is moved to. most: how
+    many features the model has, None for all that least texts hold."""
     ratio, held = log_count_ratios(found, toxic)
     n = [max(1, int((toxic == k).sum())) for k in (0, 1)]
-    often = np.flatnonzero(held >= LEAST_TEXTS)
-    chosen = np.sort(often[np.argsort(-np.abs(ratio[often]), kind="stable")[:FEATURES]])
+    often = np.flatnonzero(held >= least)
+    chosen = np.sort(often[np.argsort(-np.abs(ratio[often]), kind="stable")[:most]])
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     rows, columns = [], []
@@ -77,12 +78,12 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, odds: float, steps: int = 20
     return chosen, w * r, float(b + np.log(max(odds, 1e-9) * n[0] / n[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int | None = FEATURES, least: int = LEAST_TEXTS, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """The model of the labelled rows: (features, weights, bias).
 
     labels has doc_id and label (0 or 1); rows with nulls are left out, and ids that bear both labels. At most sample
-    ids of each class are used, with all rows that bear them. Without labelled rows of both classes the bias alone says
-    how likely label 1 is.
+    rows of each class are used, however often an id repeats; most and least bound the model as in fit. Without labelled
+    rows of both classes the bias alone says how likely label 1 is.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("toxic"))
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("_least")).where("toxic = _least").drop("_least")
@@ -99,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
             for part, texts in slices(batch, "_text"):
                 found = [np.unique(features(x)) for x in texts]
                 ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], ["toxic", "features"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("toxic", "_first", "_second")), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], ["toxic", "_first", "_second", "features"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, held = [], []
@@ -110,11 +111,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         if len(set(toxic)) < 2:
             found = np.zeros(0, np.int64), np.zeros(0), float(np.log(odds))
         else:
-            found = fit([held[i] for i in order], np.array([toxic[i] for i in order]), odds)
+            found = fit([held[i] for i in order], np.array([toxic[i] for i in order]), odds, most=most, least=least)
         yield pa.RecordBatch.from_pydict({"feature": [-1, *map(int, found[0])], "weight": [found[2], *map(float, found[1])]}, schema=pa.schema([("feature", pa.int32()), ("weight", pa.float64())]))
 
-    made = rows.select("_text", "toxic").mapInArrow(extract, "toxic int, features array<int>")
-    model = made.repartition(1).mapInArrow(run, "feature int, weight double").toPandas().sort_values("feature")
+    told = rows.select("_text", "toxic", F.xxhash64("_id").alias("_first"), F.xxhash64("_text").alias("_second"))
+    made = told.mapInArrow(extract, "toxic int, _first bigint, _second bigint, features array<int>")
+    own = [made.where(F.col("toxic") == k).orderBy("_first", "_second").limit(sample).select("toxic", "features") for k in (0, 1)]
+    model = own[0].unionByName(own[1]).repartition(1).mapInArrow(run, "feature int, weight double").toPandas().sort_values("feature")
     bias = float(model.loc[model.feature == -1, "weight"].iloc[0]) if len(model) else float(np.log(odds))
     own = model[model.feature >= 0]
     return own.feature.to_numpy(), own.weight.to_numpy(), bias
