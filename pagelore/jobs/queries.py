@@ -68,6 +68,19 @@ def s7_document_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("title").cast("long").alias("page_id"), F.size("blocks").cast("long").alias("n_blocks"), F.array_join("blocks", "|").alias("texts"))
 
 
+#: The given pages' simple markup in SQL: references decoded and white space single; the body without comments, inline tags
+#: joined and others parted; links; and blocks, which are the one article's heading and what follows each <p>.
+SHOWN = "trim(regexp_replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+STRIPPED = "regexp_replace(regexp_replace(regexp_replace({}, '(?s)<!--.*?-->', '', 'g'), '</?(?:a|b)(?: [^>]*)?>', '', 'g'), '<[^>]+>', ' ', 'g')"
+TITLE = SHOWN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+PAGE_TEXTS = f"SELECT page_id, url, {TITLE} AS title, substr({SHOWN.format(STRIPPED.format("regexp_extract(html, '(?s)<body>(.*)', 1)"))}, 1, 8000) AS page_text FROM pages"
+LINKS = rf"""SELECT page_id, i - 1 AS idx, {SHOWN.format("regexp_extract(raw[i], '>([^<]*)<', 1)")} AS text, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_extract(raw[i], '"([^"]*)"', 1) AS href, regexp_extract(raw[i], '"([^"]*)"', 1) AS raw_href,
+        len(regexp_extract_all(array_to_string(string_split(html, '<a href=')[1:i], ' '), '<[a-z]')) + i AS dom_pos FROM (SELECT page_id, url, html, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS raw FROM pages), unnest(range(1, len(raw) + 1)) AS u(i)"""
+READ_BLOCKS = rf"""SELECT page_id, url, title, CAST(i - 1 AS INT) AS block_id, CASE WHEN i = 1 AND h <> '' THEN 'heading' ELSE 'text' END AS kind, CASE WHEN i = 1 AND h <> '' THEN 1 ELSE 0 END AS level, told[i] AS text, h AS path
+    FROM (SELECT page_id, url, title, h, list_concat(CASE WHEN h <> '' THEN [h] ELSE [] END, list_filter(list_transform(list_transform(string_split(art, '<p>')[2:], lambda x: regexp_replace(x, '(?s)</p>.*', '')), lambda x: {SHOWN.format(STRIPPED.format("x"))}), lambda x: length(x) > 2)) AS told
+        FROM (SELECT page_id, url, {TITLE} AS title, art, {SHOWN.format(STRIPPED.format("regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1)"))} AS h FROM (SELECT *, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1) AS art FROM pages))), unnest(range(1, len(told) + 1)) AS u(i)"""
+
+
 # pages to rows
 
 
@@ -84,22 +97,23 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.read_pages(t.table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"SELECT page_id, url, title, block_id, kind, level, text, path, '[' || block_id || '] ' || CASE WHEN path = '' THEN '(top)' ELSE path END AS citation FROM ({READ_BLOCKS})")
 def p2_read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.blocks(_read(spark, sf_dir)).withColumn("citation", d.citation(F.col("block_id"), F.col("path")))
+    return p.blocks(_read(spark, sf_dir)).withColumn("citation", d.citation(F.col("block_id"), F.col("path"))).withColumn("path", F.array_join("path", " › "))
 
 
-@query()
+@query(f"SELECT page_id, title, page_text FROM ({PAGE_TEXTS})")
 def p3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir).select("page_id", "title", "page_text")
 
 
-@query()
+@query(f"""SELECT page_id, url, CAST(idx AS INT) AS index, CAST(dom_pos AS INT) AS dom_pos, 'a' AS tag, '' AS role, substr(l.text, 1, 120) AS text, '' AS placeholder, href, raw_href, CAST(dom_pos AS VARCHAR) AS handle, false AS disabled, false AS required, CAST(NULL AS BOOLEAN) AS checked, CAST(NULL AS BOOLEAN) AS selected,
+    CAST(NULL AS VARCHAR) AS value, false AS is_combobox, CAST(NULL AS BOOLEAN) AS combobox_expanded, '' AS combobox_options, CAST(NULL AS VARCHAR) AS expanded, false AS focusable, false AS onclick, false AS has_data, false AS has_class, CAST(NULL AS VARCHAR) AS frame_host FROM ({LINKS}) l JOIN pages USING (page_id)""")
 def p4_p5_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.elements(_read(spark, sf_dir))
+    return p.elements(_read(spark, sf_dir)).withColumn("combobox_options", F.array_join("combobox_options", "|"))
 
 
-@query()
+@query(f"SELECT page_id, text, href FROM ({LINKS})")
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.links(p.elements(_read(spark, sf_dir)))
 
@@ -116,7 +130,7 @@ def p7_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.frames(_with_controls(spark, sf_dir)).select("page_id", "frame_host")
 
 
-@query()
+@query(f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, dom_pos) AS INT) AS place, score, CAST(dom_pos AS INT) AS dom_pos, 'a' AS tag, text FROM (SELECT *, CASE WHEN length(text) BETWEEN 1 AND 60 THEN 1 ELSE 0 END AS score FROM ({LINKS})) QUALIFY place <= 40")
 def p8_click_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.click_candidates(p.elements(_read(spark, sf_dir))).select("page_id", "place", "score", "dom_pos", "tag", "text")
 
@@ -462,7 +476,10 @@ def v3_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.assign_refs(t.histories(spark, sf_dir)).select("session_id", "version", "handle", "ref")
 
 
-@query()
+@query(f"""SELECT page_id, rendered, length(html) // 4 AS html_tokens, length(rendered) // 4 AS snapshot_tokens, (length(html) // 4) / nullif(length(rendered) // 4, 0) AS ratio
+    FROM (SELECT t.page_id, 'PAGE: ' || title || chr(10) || 'URL: ' || url || coalesce(chr(10) || 'INTERACTIVE:' || chr(10) || lines, '') || CASE WHEN page_text <> '' THEN chr(10) || 'CONTENT:' || chr(10) || '  ' || substr(page_text, 1, 2000) ELSE '' END
+            || CASE WHEN length(page_text) > 2000 THEN chr(10) || '  ... [' || (length(page_text) - 2000) || ' more characters truncated — call read() for the full content]' ELSE '' END AS rendered
+        FROM ({PAGE_TEXTS}) t LEFT JOIN (SELECT page_id, string_agg('  [lnk:e' || (idx + 1) || '] ' || chr(39) || text || chr(39), chr(10) ORDER BY idx) AS lines FROM ({LINKS}) GROUP BY 1) USING (page_id)) JOIN pages USING (page_id)""")
 def v1_v2_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _read(spark, sf_dir)
     els = p.elements(read).select(F.col("page_id").alias("session_id"), F.lit(1).cast("long").alias("version"), F.concat(F.lit("e"), (F.col("index") + 1).cast("string")).alias("ref"), "index", "tag", "role", "text", "placeholder", "disabled", "required", "checked", "selected", "value", "is_combobox", "combobox_expanded", "combobox_options")
@@ -485,7 +502,11 @@ def v4_stale_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.stale_refs(snaps.select("session_id", "version", F.concat(F.lit("e"), (F.col("version") % 40).cast("string")).alias("ref")), els)
 
 
-@query()
+@query(REFS + """, q AS (SELECT DISTINCT session_id, version, CASE version % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'sign' WHEN 2 THEN 'e' || (version % 40) ELSE 'nothing here' END AS target FROM refs),
+    i AS (SELECT session_id, version, max(n) OVER (PARTITION BY session_id ORDER BY version) AS issued FROM (SELECT session_id, version, max(CAST(substr(ref, 2) AS BIGINT)) AS n FROM refs GROUP BY ALL)),
+    m AS (SELECT session_id, version, target, issued, count(*) FILTER (ref = target) AS live, count(*) FILTER (text = target) AS exact, min(ref) FILTER (text = target) AS by_text, count(*) FILTER (contains(text, target)) AS part, min(ref) FILTER (contains(text, target)) AS by_part FROM q JOIN i USING (session_id, version) JOIN refs USING (session_id, version) GROUP BY ALL),
+    o AS (SELECT *, CASE WHEN exact = 1 THEN 'text' WHEN exact > 1 THEN 'ambiguous' WHEN live > 0 THEN 'ref' WHEN part = 1 THEN 'part' WHEN part > 1 THEN 'ambiguous' WHEN try_cast(regexp_extract(target, '^e([0-9]+)$', 1) AS BIGINT) BETWEEN 1 AND issued THEN 'stale' ELSE 'not_found' END AS outcome FROM m)
+    SELECT session_id || '-' || version AS request_id, session_id, version, target, outcome, CASE outcome WHEN 'text' THEN by_text WHEN 'ref' THEN target WHEN 'part' THEN by_part END AS ref FROM o""")
 def v5_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps, els = _history(spark, sf_dir)
     k = F.col("version") % 4
@@ -624,12 +645,21 @@ def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.reach_rows(d.document_text(read).select("page_id", "text"), static, e.markers(read)).join(category, "page_id")
 
 
-@query()
+#: Static text as P1 has it, and blocks as P2 has them.
+REACH = f"""WITH b AS ({READ_BLOCKS}), r AS (SELECT page_id, sum(length(text)) + 2 * (count(*) - 1) AS browser_chars FROM b GROUP BY 1),
+    k AS (SELECT page_id, array_to_string(arg_max(w, (n, -block_id))[1:12], ' ') AS marker FROM (SELECT page_id, block_id, length(text) AS n, string_split(text, ' ') AS w FROM b WHERE kind <> 'heading') WHERE len(w) >= 15 GROUP BY 1),
+    x AS (SELECT page_id, regexp_extract(html, '<html lang="(..)"', 1) AS category, {{static}} AS text FROM pages),
+    e2 AS (SELECT page_id, CAST(coalesce(browser_chars, 0) AS BIGINT) AS browser_chars, length(text) AS static_chars, marker IS NOT NULL AS browser_ok, coalesce(regexp_replace(lower(marker), '[^a-z0-9]+', '', 'g') <> '' AND contains(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(marker), '[^a-z0-9]+', '', 'g')), false) AS static_ok, category
+        FROM x LEFT JOIN r USING (page_id) LEFT JOIN k USING (page_id))""".replace("{static}", SQL["p1_static_text"].removeprefix("SELECT page_id, ").removesuffix(" AS text FROM pages"))
+
+
+@query(REACH + " SELECT * FROM e2")
 def e2_reach_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reach(spark, sf_dir)
 
 
-@query()
+@query(REACH + """ SELECT category, count(*) AS n, count(*) FILTER (browser_ok) AS browser, count(*) FILTER (static_ok) AS static, min(ratio) AS min_ratio, max(ratio) AS max_ratio, (list(ratio ORDER BY ratio) FILTER (ratio IS NOT NULL))[count(ratio) // 2 + 1] AS median_ratio, count(*) FILTER (browser_ok) - count(*) FILTER (static_ok) AS gap
+    FROM (SELECT e2.* EXCLUDE (category), CASE WHEN browser_ok AND static_ok AND browser_chars > 0 THEN static_chars / browser_chars END AS ratio, unnest([category, 'TOTAL']) AS category FROM e2) GROUP BY 1""")
 def e3_reach_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.reach_report(_reach(spark, sf_dir))
 
