@@ -100,21 +100,21 @@ def page_text_of(root: Node) -> str:
     return (part or next((n for n in root.walk() if n.tag == "body"), root)).text()[:TEXT_CHARS]
 
 
-def _hidden(node: Node) -> bool:
-    for up in node.above():
-        style = up.attrs.get("style", "").replace(" ", "").lower()
-        if "hidden" in up.attrs or up.attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or re.search(r"opacity:0(\.0+)?(;|$)", style):
-            return True
-    return node.attrs.get("type", "").lower() == "hidden"
+def _hides(node: Node) -> bool:
+    if not node.attrs:
+        return False
+    style = node.attrs.get("style", "").replace(" ", "").lower()
+    return "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or bool(re.search(r"opacity:0(\.0+)?(;|$)", style))
 
 
-def _label(node: Node, ids: dict[str, Node], labels: dict[str, Node]) -> str:
+def _label(node: Node, ids: dict[str, Node], labels: dict[str, Node], labelled: bool) -> str:
     a = node.attrs
     named = " ".join(ids[i].text() for i in a.get("aria-labelledby", "").split() if i in ids)
-    wrap = next((up for up in node.above() if up.tag == "label"), None)
+    wrap = next((up for up in node.above() if up.tag == "label"), None) if labelled else None
     own = labels.get(a.get("id", "\0")) or wrap
-    image = next((n.attrs.get("alt", "") for n in node.walk() if n.tag == "img" and n.attrs.get("alt")), "")
-    title = next((n.text() for n in node.walk() if n.tag == "title"), "")
+    below = [n for n in node.walk() if n.tag in ("img", "title")] if any(isinstance(c, Node) for c in node.children) else [node] if node.tag in ("img", "title") else []
+    image = next((n.attrs["alt"] for n in below if n.tag == "img" and n.attrs.get("alt")), "")
+    title = next((n.text() for n in below if n.tag == "title"), "")
     typed = a.get("value", "") if node.tag == "input" and a.get("type", "") in ("submit", "button", "reset") else ""
     inner = "" if node.tag in ("select", "textarea") else node.text()
     return next((x for x in (a.get("aria-label", "").strip(), named, inner, own.text() if own else "", typed, image, title, a.get("title", "").strip()) if x), "")[:LABEL_CHARS]
@@ -122,15 +122,21 @@ def _label(node: Node, ids: dict[str, Node], labels: dict[str, Node]) -> str:
 
 def elements_of(root: Node, url: str) -> list[dict]:
     """Controls that aren't hidden, in page order, with label, state, options and absolute address."""
-    ids = {n.attrs["id"]: n for n in root.walk() if n.attrs.get("id")}
-    labels = {n.attrs["for"]: n for n in root.walk() if n.tag == "label" and n.attrs.get("for")}
+    nodes = list(root.walk())
+    ids = {n.attrs["id"]: n for n in nodes if n.attrs.get("id")}
+    labels = {n.attrs["for"]: n for n in nodes if n.tag == "label" and n.attrs.get("for")}
+    labelled = any(n.tag == "label" for n in nodes)
+    hidden: dict[int, bool] = {}  # by place: an element is hidden where one above it is
     out = []
-    for node in root.walk():
+    for node in nodes:
         a, tag = node.attrs, node.tag
+        hidden[node.order] = gone = _hides(node) or (node.parent is not None and hidden[node.parent.order])
+        if not a and tag not in CONTROL_TAGS and tag not in SVG_TAGS and tag != "iframe":
+            continue
         role = a.get("role") or a.get("aria-role", "")
         svg = tag in SVG_TAGS and ("aria-label" in a or any(isinstance(c, Node) and c.tag == "title" for c in node.children))
         frame = tag == "iframe"
-        if not (frame or tag in CONTROL_TAGS or role in CONTROL_ROLES or svg) or _hidden(node):
+        if not (frame or tag in CONTROL_TAGS or role in CONTROL_ROLES or svg) or gone or a.get("type", "").lower() == "hidden":
             continue
         kind, host, link = a.get("type", "").lower(), None, a.get("href")
         try:
@@ -140,7 +146,7 @@ def elements_of(root: Node, url: str) -> list[dict]:
                 host = found[1].lower() if found else ""
         except ValueError:
             link = None
-        choices = [n for n in node.walk() if n.tag == "option"]
+        choices = [n for n in node.walk() if n.tag == "option"] if any(isinstance(c, Node) for c in node.children) else []
         picked = next((n for n in choices if "selected" in n.attrs), None)
         value = None if kind == "password" else picked.text() if picked is not None else a.get("value") if tag in ("input", "textarea") else None
         combo = role == "combobox" or "list" in a or a.get("aria-haspopup") == "listbox"
@@ -148,7 +154,7 @@ def elements_of(root: Node, url: str) -> list[dict]:
         options = [n.text() or n.attrs.get("value", "") for n in listed.walk() if n.tag == "option" or n.attrs.get("role") == "option"][:OPTIONS] if combo and listed else []
         out.append(
             {
-                "index": len(out), "dom_pos": node.order, "tag": tag, "role": "iframe" if frame else role, "text": _label(node, ids, labels), "placeholder": a.get("placeholder", ""), "href": link, "raw_href": a.get("href"),
+                "index": len(out), "dom_pos": node.order, "tag": tag, "role": "iframe" if frame else role, "text": _label(node, ids, labels, labelled), "placeholder": a.get("placeholder", ""), "href": link, "raw_href": a.get("href"),
                 "handle": str(node.order), "disabled": "disabled" in a or a.get("aria-disabled") == "true", "required": "required" in a or a.get("aria-required") == "true",
                 "checked": ("checked" in a or a.get("aria-checked") == "true") if kind in ("checkbox", "radio") or role in ("checkbox", "radio", "switch") else None,
                 "selected": a["aria-selected"] == "true" if "aria-selected" in a else None, "value": value[:VALUE_CHARS] if value is not None else None,
