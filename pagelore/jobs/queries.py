@@ -376,6 +376,21 @@ def r5_near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.withColumn("h", after).where("h is not null").select("page_id", "block_id", near_duplicate(F.col("g"), F.col("h")).alias("near"))
 
 
+#: Passages out of sc (query_id, page_id, block_id, source_rank, score) and bl (page_id, block_id, text, url, title, citation):
+#: of the first 48 texts of a query (enough here) those are taken, one after another, that are near none taken before, up to 12.
+TAKEN = """, rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_rank, page_id, block_id) AS pos FROM (SELECT * FROM sc JOIN bl USING (page_id, block_id) QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY score DESC, source_rank, page_id, block_id) = 1) QUALIFY pos <= 48),
+    gr AS MATERIALIZED (SELECT query_id, pos, list_distinct(CASE WHEN length(x) < 3 THEN [] ELSE list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)) END) AS g FROM (SELECT query_id, pos, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM rk)),
+    nr AS MATERIALIZED (SELECT a.query_id, a.pos, coalesce(list(b.pos) FILTER (b.pos IS NOT NULL), []) AS near FROM gr a LEFT JOIN gr b ON b.query_id = a.query_id AND b.pos < a.pos AND least(len(a.g), len(b.g)) > 0 AND len(list_intersect(a.g, b.g)) >= 0.9 * least(len(a.g), len(b.g)) GROUP BY ALL),
+    steps AS (SELECT query_id, 0::BIGINT AS pos, []::BIGINT[] AS taken FROM rk GROUP BY 1
+        UNION ALL SELECT steps.query_id, nr.pos, CASE WHEN len(taken) < 12 AND NOT list_has_any(near, taken) THEN list_append(taken, nr.pos) ELSE taken END FROM steps JOIN nr ON nr.query_id = steps.query_id AND nr.pos = steps.pos + 1),
+    ps AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INT) AS passage, page_id, CAST(block_id AS INT) AS block_id, round(score, 4) AS score, url, title, text, citation FROM rk JOIN (SELECT query_id, unnest(arg_max(taken, pos)) AS pos FROM steps GROUP BY 1) USING (query_id, pos))"""
+#: The same for every block of all documents, and for the blocks of all usable pages.
+SCORED = """, sc AS (SELECT query_id, page_id, block_id, 0 AS source_rank, CAST(sum(CAST(round(times * part * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 AS score FROM parts JOIN qt USING (term) GROUP BY ALL HAVING sum(times * part) > 0)"""
+DOC_PASSAGES = BM25.replace("WITH qt", "WITH RECURSIVE qt", 1) + SCORED + f", bl AS (SELECT page_id, block_id, text, 'https://docs.test/' || page_id AS url, '' AS title, '' AS citation FROM ({LINES}))" + TAKEN
+PAGE_BLOCKS = f"SELECT page_id, block_id, kind, text, url, CASE WHEN shown = '' THEN url ELSE shown END AS title, '[' || block_id || '] ' || CASE WHEN path = '' THEN '(top)' ELSE path END AS citation FROM ({READ_BLOCKS}) JOIN (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS shown FROM pages) USING (page_id) WHERE page_id IN (SELECT page_id FROM ({REASONS}) WHERE reason IS NULL)"
+PAGE_PASSAGES = BM25.replace("WITH qt", f"WITH RECURSIVE bl AS ({PAGE_BLOCKS}), qt", 1).replace(f"({LINES})", "bl") + SCORED + TAKEN
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = t.corpus_questions(spark, sf_dir)
     own = t.blocks(spark, sf_dir)
@@ -383,24 +398,26 @@ def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return queries, r.top_passages(r.CorpusScores(queries, own).ranks, texts)
 
 
-@query()
+@query(DOC_PASSAGES + " SELECT query_id, passage, page_id, block_id, score, url, title, text FROM ps")
 def r6_top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passages(spark, sf_dir)[1]
 
 
-@query()
+@query(PAGE_PASSAGES + f""" SELECT item_id AS query_id, coalesce(n, 0) AS n_passages, coalesce(tokens, 0) AS tokens, (SELECT count(reason) FROM ({REASONS})) AS n_failures, (SELECT count(*) - count(reason) FROM ({REASONS})) AS sources_consulted
+    FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN (SELECT query_id AS item_id, count(*) AS n, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens FROM ps GROUP BY 1) USING (item_id)""")
 def r7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = t.corpus_questions(spark, sf_dir)
     return r.summary(queries, *search(queries, t.pages(spark, sf_dir)))
 
 
-@query()
+@query(DOC_PASSAGES + f""" SELECT query_id, '{r.INSTRUCTION}' || chr(10) || chr(10) || 'Question: ' || coalesce(any_value(b.text), '') || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[' || passage || '] ' || ps.text || chr(10) || '(source: ' || url || ')', chr(10) || chr(10) ORDER BY passage) || chr(10) || chr(10) || 'Answer:' AS prompt
+    FROM ps JOIN benchmark b ON b.item_id = query_id GROUP BY 1""")
 def r8_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, passages = _passages(spark, sf_dir)
     return r.prompts(queries, passages)
 
 
-@query()
+@query(PAGE_PASSAGES + " SELECT query_id, passage, page_id, block_id, score, url, title, text, citation FROM ps")
 def w1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item asked of all stored pages."""
     return search(t.corpus_questions(spark, sf_dir), t.pages(spark, sf_dir))[0]
