@@ -441,7 +441,15 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return t.corpus_questions(spark, sf_dir), own, s.response_candidates(responses)
 
 
-@query()
+CANDIDATES = f"""cand AS (SELECT item_id AS query_id, k AS source_rank, page_id, CASE WHEN k = 5 THEN url || '?gone' ELSE url END AS url FROM benchmark, range(0, 8) AS r(k), (SELECT max(page_id) + 1 AS n FROM pages) JOIN pages ON page_id = (item_id * 31 + k * 17) % n WHERE k <> 2)"""
+CANDIDATE_PASSAGES = f"""WITH RECURSIVE {CANDIDATES}, bl AS ({PAGE_BLOCKS.replace(REASONS, THIN_REASONS)}), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format("coalesce(text, '')")}) AS term FROM benchmark) GROUP BY ALL),
+    ev AS (SELECT page_id, block_id, {TOKENS.format("text")} AS tokens, len(tokens) AS n_tokens FROM bl WHERE kind <> 'heading' AND len(tokens) >= 8), own AS (SELECT query_id, source_rank, ev.* FROM cand JOIN ev USING (page_id) WHERE source_rank <> 5),
+    st AS (SELECT query_id, count(*) AS n, avg(n_tokens) AS avg_len FROM own GROUP BY 1), tf AS (SELECT query_id, page_id, block_id, source_rank, n_tokens, term, count(*) AS tf FROM (SELECT query_id, page_id, block_id, source_rank, n_tokens, unnest(tokens) AS term FROM own) JOIN qt USING (query_id, term) GROUP BY ALL),
+    df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
+    sc AS (SELECT query_id, page_id, block_id, source_rank, round(total / (1 + 0.1 * source_rank), 9) AS score FROM (SELECT query_id, page_id, block_id, source_rank, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * n_tokens / avg_len))) AS total FROM tf JOIN df USING (query_id, term) JOIN st USING (query_id) JOIN qt USING (query_id, term) GROUP BY ALL) WHERE total > 0)""" + TAKEN
+
+
+@query(CANDIDATE_PASSAGES + " SELECT query_id, passage, page_id, block_id, score, url, title, text, citation FROM ps")
 def w1_candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited passages of each item's own candidates, weighed by their source ranks."""
     return search(*_asked(spark, sf_dir))[0]
@@ -454,9 +462,6 @@ def r7_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.results(queries, *search(queries, pages, candidates))
 
 
-CANDIDATES = f"""cand AS (SELECT item_id AS query_id, k AS source_rank, page_id, CASE WHEN k = 5 THEN url || '?gone' ELSE url END AS url FROM benchmark, range(0, 8) AS r(k), (SELECT max(page_id) + 1 AS n FROM pages) JOIN pages ON page_id = (item_id * 31 + k * 17) % n WHERE k <> 2)"""
-
-
 @query(f"""WITH st AS ({THIN_REASONS}), {CANDIDATES}, f AS (SELECT query_id, cand.url, CASE WHEN source_rank = 5 THEN 'not_fetched' ELSE reason END AS reason FROM cand JOIN st USING (page_id))
     SELECT query_id, url, reason FROM f WHERE reason IS NOT NULL""")
 def r7_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
