@@ -32,8 +32,8 @@ from pagelore.llm.token_files import put
 from pagelore.llm.words import CHARACTERS, REMEMBERED, Numbers
 
 WINDOW = 10
-#: A block of test items has about so many bytes of text, one item's texts in one block, and takes about six times as much
-#: memory in a task that searches; texts are read in slices of so many bytes, larger ones if there are several blocks.
+#: A block of test items has about so many bytes of text, one item's texts in one block, and takes about nine times as much
+#: memory in a task that reads it; texts are read in slices of so many bytes, larger ones if there are several blocks.
 BLOCK_BYTES, SLICE, LARGE_SLICE = 32 << 20, 8 << 20, 32 << 20
 #: Queries that are searched at once within a task.
 AT_ONCE = 1 << 15
