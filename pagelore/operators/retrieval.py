@@ -96,13 +96,17 @@ class CorpusScores:
         each = rows.withColumn("h", F.explode(F.arrays_zip("term_ids", "impacts"))).select(*(c for c in rows.columns if c not in ("term_ids", "impacts")), F.col("h.term_ids").alias("term_id"), F.col("h.impacts").alias("impact"))
         return self._summed(met(each, self.weights.select("query_id", "term_id", "weight"), on))
 
+    def _placed(self) -> DataFrame:
+        """Occurrences by block in as many partitions as shuffles have: they are small, but what is made of them isn't."""
+        return self.hits.repartition(int(self.hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), *AT)
+
     def every(self) -> DataFrame:
         """query_id, page_id, block_id, same, source_rank and score over 0 of each block."""
-        return self._weighed(self.hits.repartition(*AT), ["term_id"])
+        return self._weighed(self._placed(), ["term_id"])
 
     def _among(self, terms: DataFrame) -> DataFrame:
         """The same of blocks that hold one of the terms (query_id, term_id) of their query."""
-        hits = self.hits.repartition(*AT)
+        hits = self._placed()
         found = met(hits.select(*AT, F.explode("term_ids").alias("term_id")), terms.select("query_id", "term_id"), ["term_id"]).select("query_id", *AT).distinct()
         return self._weighed(found.join(hits, AT), ["query_id", "term_id"])
 
@@ -112,7 +116,7 @@ class CorpusScores:
         Blocks with a query's heaviest terms, as many terms as have occurrences enough, are scored first: `first` of
         them reach some score. A part never passes its term's bound, the weight times the highest impact, so terms whose
         bounds, from the least on, sum up to less can't bring a block there alone: blocks without one of the other terms
-        are left out. With texts, blocks of one text have one rank together.
+        are left out, and of the others those below that score. With texts, blocks of one text have one rank together.
         """
         weights = self.weights if left is None else self.weights.join(left.select("query_id").distinct(), "query_id", "left_semi")
         query = Window.partitionBy("query_id")
@@ -121,8 +125,11 @@ class CorpusScores:
         place = F.row_number().over(query.orderBy(F.desc("score")))
         reached = self._among(heavy).groupBy("query_id", "same").agg(F.max("score").alias("score")) if texts else self._among(heavy)
         sure = reached.withColumn("_k", place).where(F.col("_k") <= first).where(F.col("_k") == first).select("query_id", F.col("score").alias("_sure"))
+        least = F.coalesce("_sure", F.lit(0.0)) - 1e-6
+        floors = stored(weights.select("query_id").distinct().join(sure, "query_id", "left").select("query_id", least.alias("_floor")), "floors")
         upto = F.sum("bound").over(query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
-        return self._among(stored(weights.withColumn("_upto", upto).join(sure, "query_id", "left").where(F.col("_upto") >= F.coalesce("_sure", F.lit(0.0)) - 1e-6), "needed"))
+        needed = stored(weights.withColumn("_upto", upto).join(floors, "query_id").where("_upto >= _floor"), "needed")
+        return met(self._among(needed), floors, ["query_id"]).where("score >= _floor").drop("_floor")
 
     def ranks(self, first: int, left: DataFrame | None = None) -> DataFrame:
         return ranked_texts(self.best(first, left, texts=True), first)
