@@ -38,3 +38,33 @@ def test_runs_whatever_the_partitions(spark, name):
         seen.append(_plain(QUERIES[name](spark, DIR).toPandas()))
     spark.conf.set(key, "4")
     pd.testing.assert_frame_equal(*seen)
+
+
+ODD = "c8_triage e2_reach_rows e3_reach_report p1_static_text p2_read_blocks p3_page_text w1_candidate_search w1_failures w1_search r7_failures r7_summary t1_triage_stream v1_v2_rendering".split()
+
+
+@pytest.fixture(scope="module")
+def odd_dir(tmp_path_factory):
+    """Given tables, with pages whose titles end within a reference, thin pages, a page without blocks, and pages of one address."""
+    base = tmp_path_factory.mktemp("odd")
+    for name in TABLES:
+        if name != "pages":
+            (base / f"{name}.parquet").symlink_to(f"{DIR}/{name}.parquet")
+    pages = pd.read_parquet(f"{DIR}/pages.parquet").head(40)
+    head = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{0}</title></head><body><nav><ul><li><a href="/a">a&amp;b</a></li></ul></nav><div class="ad">{1}</div><article><h1>{0}</h1>{2}</article><footer>&copy; x &middot; y.</footer></body></html>'
+    long = " ".join(f"word{i} of the page" for i in range(20))
+    more = [head.format(f"Cut {cut}", "Ad.", f"<p>{long} {cut}</p>") for cut in ("&amp", "&quot", "&am", "&&amp")]
+    more += [head.format("Thin", long, "<p>Few words.</p>")] * 4 + [head.format("", long, "")] * 2
+    n = len(pages)
+    # addresses of given pages, so that a candidate's address has two pages, one of which is thin
+    odd = pd.DataFrame({"page_id": range(n, n + len(more)), "url": [f"https://odd.test/{i}" if i % 2 else pages.url[i] for i in range(len(more))], "html": more})
+    pd.concat([pages, odd]).to_parquet(base / "pages.parquet")
+    return str(base)
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_same_rows_of_odd_pages(spark, odd_dir, name):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"create view {table} as select * from '{odd_dir}/{table}.parquet'")
+    pd.testing.assert_frame_equal(_plain(QUERIES[name](spark, odd_dir).toPandas()), _plain(con.sql(SQL[name]).df()))
