@@ -21,6 +21,12 @@ MIN_SHARED, MIN_AGREEMENT, WORTHWHILE = 4, 0.5, 0.9
 WARNING = "WARNING: this page attempted a prompt injection; the offending text was elided before this snapshot was built."
 
 
+def met(one: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the history, by a shuffle and never by sending one to all: numbers and
+    handles compress so well that Spark takes a table for small that fills the driver."""
+    return one.join(other.hint("merge"), on, how)
+
+
 def tag_name(tag: Column) -> Column:
     short = F.when(tag == "button", "btn").when(tag.isin("input", "textarea"), "inp").when(tag == "a", "lnk").when(tag == "select", "sel")
     return short.otherwise(F.substring(tag, 1, 3))
@@ -62,7 +68,7 @@ def render(snapshots: DataFrame, elements: DataFrame) -> DataFrame:
     scroll_top, scroll_left and scroll_height."""
     line = F.concat(F.lit("  ["), tag_name(F.col("tag")), F.lit(":"), F.coalesce("ref", F.col("index").cast("string")), F.lit("] "), quoted(_label()), state_suffix(elements))
     listed = elements.withColumn("line", line).groupBy("session_id", "version").agg(F.array_sort(F.collect_list(F.struct("index", "line"))).alias("_lines"))
-    rows = snapshots.join(listed, ["session_id", "version"], "left")
+    rows = met(snapshots, listed, ["session_id", "version"], "left")
     has = lambda c: c in snapshots.columns
     left = F.length("text_content") - CONTENT_SHOWN
     parts = []
@@ -108,7 +114,7 @@ def assign_refs(elements: DataFrame, snapshots: DataFrame | None = None) -> Data
     snapshots (session_id, version, url) has those without elements too, which end all refs; without it, only versions
     that have elements are known. A null handle is a handle like others.
     """
-    placed = elements.join(documents_of(elements if snapshots is None else snapshots), ["session_id", "version"])
+    placed = met(elements, documents_of(elements if snapshots is None else snapshots), ["session_id", "version"])
     line = Window.partitionBy("session_id", "document", "handle").orderBy("place", "index")
     begins = F.coalesce((F.col("place") - F.lag("place").over(line) > 1).cast("int"), F.lit(1))
     runs = placed.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(line))
@@ -116,7 +122,7 @@ def assign_refs(elements: DataFrame, snapshots: DataFrame | None = None) -> Data
     numbered = first.withColumn("ref", F.concat(F.lit("e"), F.row_number().over(Window.partitionBy("session_id").orderBy("_at", "handle")).cast("string"))).drop("_at")
     named = numbered.select("session_id", "document", F.col("handle").alias("_handle"), "_run", "ref")
     same = F.col("handle").eqNullSafe(F.col("_handle"))
-    found = runs.alias("x").join(named.alias("y"), (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.document") == F.col("y.document")) & (F.col("x._run") == F.col("y._run")) & same)
+    found = met(runs.alias("x"), named.alias("y"), (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.document") == F.col("y.document")) & (F.col("x._run") == F.col("y._run")) & same)
     return found.select("x.*", "y.ref").drop("_begins", "_run", "document", "place")
 
 
@@ -125,7 +131,7 @@ def stale_refs(requests: DataFrame, elements: DataFrame) -> DataFrame:
     number = F.regexp_extract("ref", r"^e(\d+)$", 1).try_cast("int")
     issued = elements.groupBy("session_id").agg(F.max(number).alias("_issued"))
     live = elements.select("session_id", "version", "ref", F.lit(True).alias("_live")).distinct()
-    joined = requests.join(issued, "session_id", "left").join(live, ["session_id", "version", "ref"], "left")
+    joined = met(met(requests, issued, "session_id", "left"), live, ["session_id", "version", "ref"], "left")
     return joined.withColumn("is_stale", F.coalesce((number >= 1) & (number <= F.col("_issued")), F.lit(False)) & F.col("_live").isNull()).drop("_issued", "_live")
 
 
@@ -144,7 +150,7 @@ def resolve_targets(requests: DataFrame, elements: DataFrame) -> DataFrame:
     number = F.regexp_extract("ref", r"^e(\d+)$", 1).try_cast("long")
     numbers = elements.select(*at, number.alias("_n")).unionByName(requests.select(*at, F.lit(None).cast("long").alias("_n"))).groupBy(at).agg(F.max("_n").alias("_n"))
     issued = numbers.select(*at, F.max("_n").over(Window.partitionBy("session_id").orderBy("version")).alias("_issued"))
-    found = asked.join(issued, at, "left").join(options, at, "left").join(told, at, "left")
+    found = met(met(met(asked, issued, at, "left"), options, at, "left"), told, at, "left")
     kind = F.when(F.col("kind") == "input", F.col("tag").isin("input", "textarea") | (F.col("role") == "textbox")).when(F.col("kind") == "select", F.col("tag") == "select").when(F.col("kind") == "combobox", F.col("is_combobox"))
     fits = F.coalesce(kind.when((F.col("kind") == "option") & F.col("_options"), F.col("role") == "option").otherwise(True), F.lit(False))
     target = F.lower(F.trim("target"))
@@ -176,7 +182,7 @@ def restamped(snapshots: DataFrame, elements: DataFrame) -> DataFrame:
     told = F.col("told")
     after = own.select("session_id", "version", "handle", told.alias("a"))
     before = own.select("session_id", F.col("version").alias("previous"), "handle", told.alias("b"))
-    shared = _pairs(snapshots).join(after, ["session_id", "version"]).join(before, ["session_id", "previous", "handle"])
+    shared = met(met(_pairs(snapshots), after, ["session_id", "version"]), before, ["session_id", "previous", "handle"])
     agree = F.avg(F.col("a").eqNullSafe(F.col("b")).cast("int"))
     return shared.groupBy("session_id", "version", "previous").agg(F.count("*").alias("n"), agree.alias("agreement")).where((F.col("n") >= MIN_SHARED) & (F.col("agreement") < MIN_AGREEMENT)).select("session_id", "version", "previous")
 
@@ -205,21 +211,21 @@ def deltas(snapshots: DataFrame, elements: DataFrame) -> DataFrame:
     session still splits over tasks.
     """
     keys = ["session_id", "version", "previous"]
-    pairs = _pairs(snapshots).join(restamped(snapshots, elements), keys, "left_anti")
+    pairs = met(_pairs(snapshots), restamped(snapshots, elements), keys, "left_anti")
     shown = F.struct("index", "ref", "tag", "role", "text", "placeholder")
-    after = pairs.join(elements, ["session_id", "version"]).select(*keys, "ref", shown.alias("a"))
-    before = pairs.join(elements.withColumnRenamed("version", "previous"), ["session_id", "previous"]).select(*keys, "ref", shown.alias("b"))
-    met = after.join(before, [*keys, "ref"], "full_outer")
+    after = met(pairs, elements, ["session_id", "version"]).select(*keys, "ref", shown.alias("a"))
+    before = met(pairs, elements.withColumnRenamed("version", "previous"), ["session_id", "previous"]).select(*keys, "ref", shown.alias("b"))
+    both_of = met(after, before, [*keys, "ref"], "full_outer")
     pick = lambda holds, value: F.array_sort(F.collect_list(F.when(holds, value)))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    diff = met.groupBy(keys).agg(
+    diff = both_of.groupBy(keys).agg(
         pick(F.col("b").isNull(), F.col("a")).alias("added"),
         pick(F.col("a").isNull(), F.struct(F.col("b.index").alias("index"), F.col("ref").alias("ref"))).alias("removed"),
         pick(both & ~F.col("a.text").eqNullSafe(F.col("b.text")), F.struct(F.col("a.index").alias("index"), F.col("ref").alias("ref"), F.col("b.text").alias("old"), F.col("a.text").alias("new"))).alias("changed"),
     )
     texts = snapshots.select("session_id", "version", F.coalesce("text_content", F.lit("")).alias("_new"))
     older = snapshots.select("session_id", F.col("version").alias("previous"), F.coalesce("text_content", F.lit("")).alias("_old"))
-    joined = pairs.join(diff, keys, "left").join(texts, ["session_id", "version"]).join(older, ["session_id", "previous"])
+    joined = met(met(met(pairs, diff, keys, "left"), texts, ["session_id", "version"]), older, ["session_id", "previous"])
     differ = F.col("_old") != F.col("_new")
     ops = F.coalesce(content_ops(F.when(differ, F.col("_old")), F.when(differ, F.col("_new"))), F.array().cast("array<string>"))
     empty = [F.coalesce(c, F.array().cast(diff.schema[c].dataType)).alias(c) for c in ("added", "removed", "changed")]
@@ -247,7 +253,7 @@ def render_deltas(found: DataFrame) -> DataFrame:
     content = F.when(F.size("content_ops") > 0, F.concat(F.lit("  CONTENT:\n    "), F.array_join("content_ops", "\n    ")))
     nothing = (F.size("added") + F.size("removed") + F.size("changed") + F.size("content_ops")) == 0
     text = F.when(nothing, F.concat(head, F.lit(": no change"))).otherwise(F.concat_ws("\n", head, "_lines", content))
-    return found.join(shown, ["session_id", "version"], "left").withColumns({"rendered_delta": text, "is_empty": nothing}).drop("_lines")
+    return met(found, shown, ["session_id", "version"], "left").withColumns({"rendered_delta": text, "is_empty": nothing}).drop("_lines")
 
 
 def sent_before(snapshots: DataFrame, sends: DataFrame) -> DataFrame:
@@ -276,7 +282,7 @@ def choose_payload(rendered: DataFrame, rendered_deltas: DataFrame, sent: DataFr
     if sent is None:
         joined = told.withColumns({"last_sent": F.lag("version").over(Window.partitionBy("session_id").orderBy("version")), "_turn": F.lit(1)})
     else:
-        joined = told.join(sent.where("n_sends > 0").select(*keys, "last_sent", F.explode(F.sequence(F.lit(1), F.col("n_sends").cast("int"))).alias("_turn")), keys)
-    joined = joined.join(rendered_deltas.select(*keys, "previous", "rendered_delta"), keys, "left")
+        joined = met(told, sent.where("n_sends > 0").select(*keys, "last_sent", F.explode(F.sequence(F.lit(1), F.col("n_sends").cast("int"))).alias("_turn")), keys)
+    joined = met(joined, rendered_deltas.select(*keys, "previous", "rendered_delta"), keys, "left")
     delta = F.coalesce((F.col("_turn") == 1) & (F.col("previous") == F.col("last_sent")) & (F.length("rendered_delta") <= WORTHWHILE * F.length("rendered")), F.lit(False))
     return joined.select(*keys, F.when(delta, "delta").otherwise("snapshot").alias("kind"), F.when(delta, F.col("rendered_delta")).otherwise(F.col("rendered")).alias("payload"))

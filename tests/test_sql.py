@@ -68,3 +68,9 @@ def test_same_rows_of_odd_pages(spark, odd_dir, name):
     for table in TABLES:
         con.execute(f"create view {table} as select * from '{odd_dir}/{table}.parquet'")
     pd.testing.assert_frame_equal(_plain(QUERIES[name](spark, odd_dir).toPandas()), _plain(con.sql(SQL[name]).df()))
+
+
+@pytest.mark.parametrize("name", ["v3_refs", "v4_stale_refs", "v5_targets", "v6_restamped", "v7_v9_deltas", "v10_sent_payloads"])
+def test_histories_are_never_sent_to_all(spark, name):
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
