@@ -74,3 +74,22 @@ def test_same_rows_of_odd_pages(spark, odd_dir, name):
 def test_histories_are_never_sent_to_all(spark, name):
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_texts_meet_before_their_trigrams_are_taken(spark):
+    plan = QUERIES["r5_near_duplicate"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(text" in plan
+
+
+def test_trigrams_count_characters(spark):
+    from pagelore.functions.text import trigrams
+
+    texts = ["a😀b😀bc", "ab", "", "  A\n B  c", "xyxyxyx" * 3000]
+    for row in spark.createDataFrame([(x,) for x in texts], "text string").select("text", trigrams("text").alias("g")).collect():
+        flat = " ".join(row.text.lower().split())
+        assert set(row.g) == {flat[i : i + 3] for i in range(len(flat) - 2)} and len(row.g) == len(set(row.g))
+
+
+def test_pages_are_parsed_once_for_reach(spark):
+    plan = QUERIES["e2_reach_rows"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
