@@ -33,6 +33,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 AT = ["page_id", "block_id"]
 #: So many times as many occurrences as ranks asked for are scored to find a bound.
 ENOUGH = 8
+#: So many blocks' occurrences at most, on average, are scored in a task.
+BLOCKS_A_TASK = 50_000
 #: By so much a query reads on in its ranks when those it has read hold too few passages.
 FURTHER = 8
 
@@ -83,6 +85,7 @@ class CorpusScores:
         counted = met(words, asked, ["term"]).groupBy(*AT, "same", "n_tokens", "term_id").agg(F.count("*").alias("tf"))
         own = counted.select(*AT, "same", "term_id", _impact(F.col("tf"), F.col("n_tokens"), F.lit(avg_len or 1.0)).alias("impact"))
         self.hits = stored(own.groupBy(*AT, "same").agg(F.collect_list(F.struct("term_id", "impact")).alias("h")).select(*AT, "same", F.col("h.term_id").alias("term_ids"), F.col("h.impact").alias("impacts")), "hits")
+        self.n_hits = self.hits.count()
         df = self.hits.select(F.explode(F.arrays_zip("term_ids", "impacts")).alias("h")).groupBy("h.term_ids").agg(F.count("*").alias("df"), F.max("h.impacts").alias("highest")).withColumnRenamed("term_ids", "term_id")
         weight = F.col("times") * _idf(F.lit(n), F.col("df")) * (K1 + 1)
         self.weights = stored(terms.join(asked, "term").join(df, "term_id").select("query_id", "term", "term_id", "df", weight.alias("weight"), (weight * F.col("highest")).alias("bound")), "weights")
@@ -97,8 +100,10 @@ class CorpusScores:
         return self._summed(met(each, self.weights.select("query_id", "term_id", "weight"), on))
 
     def _placed(self) -> DataFrame:
-        """Occurrences by block in as many partitions as shuffles have: they are small, but what is made of them isn't."""
-        return self.hits.repartition(int(self.hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), *AT)
+        """Occurrences by block in as many partitions as shuffles have, and more of many blocks, so that a task's share doesn't
+        grow with them: they are small, but what is made of them isn't."""
+        least = int(self.hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self.hits.repartition(max(least, -(-self.n_hits // BLOCKS_A_TASK)), *AT)
 
     def every(self) -> DataFrame:
         """query_id, page_id, block_id, same, source_rank and score over 0 of each block."""

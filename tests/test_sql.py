@@ -93,3 +93,18 @@ def test_trigrams_count_characters(spark):
 def test_pages_are_parsed_once_for_reach(spark):
     plan = QUERIES["e2_reach_rows"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+def test_a_task_scores_no_more_blocks_of_more(spark, monkeypatch):
+    from pagelore.jobs import tables
+    from pagelore.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCKS_A_TASK", 100)
+    scores = retrieval.CorpusScores(tables.corpus_questions(spark, DIR), tables.blocks(spark, DIR))
+    placed = scores._placed()
+    assert placed.count() == scores.n_hits and placed.rdd.getNumPartitions() == -(-scores.n_hits // 100) > 4
+
+
+def test_pages_are_parsed_once_for_flags(spark):
+    plan = QUERIES["i3_i4_elision_and_flags"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
