@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelore.functions.stored import met, stored
 from pagelore.functions.text import tokens
+from pagelore.operators.safety import once
 
 MIN_WORDS, LIMIT, CONTAINMENT = 8, 12, 0.9
 K1, B, RANK_WEIGHT = 1.5, 0.75, 0.1
@@ -31,10 +35,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 AT = ["page_id", "block_id"]
-#: So many times as many occurrences as ranks asked for are scored to find a bound.
-ENOUGH = 8
-#: So many blocks' occurrences at most, on average, are scored in a task.
-BLOCKS_A_TASK = 50_000
+#: So many blocks' occurrences at most, on average, are scored in a task, for so many weights of queries; so many of their
+#: meetings are in memory at once.
+BLOCKS_A_TASK, WEIGHTS_A_TASK, CELLS = 50_000, 500_000, 1 << 20
 #: By so much a query reads on in its ranks when those it has read hold too few passages.
 FURTHER = 8
 
@@ -71,75 +74,118 @@ def bm25(queries: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFr
 class CorpusScores:
     """R3, R4 with every block as a candidate of every query, all of source rank 0.
 
-    The blocks are read twice: for their number and mean length, and for the occurrences of the queries' terms, which
-    are stored as arrays by block, with their impact, what a term of weight 1 brings. Parts of a score are summed in billionths, so that
-    their order can't change it.
+    The blocks are read once, for the occurrences of the queries' terms, which are stored as arrays by block, with their
+    impact, what a term of weight 1 brings. Groups of blocks meet the weights of groups of queries in tasks that sum up
+    a block's occurrences for all those queries at once, so pairs of blocks and queries are never rows unless they rank.
+    Parts of a score are summed in billionths, so that their order can't change it.
     """
 
     def __init__(self, queries: DataFrame, blocks: DataFrame) -> None:
         terms = stored(query_terms(queries), "terms")
         asked = stored(terms.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "asked")
-        every = evidence(blocks)
-        n, avg_len = every.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-        words = every.select(*AT, "text").repartition(*AT).withColumn("tokens", tokens(F.col("text"))).select(*AT, F.unhex(F.md5("text")).alias("same"), F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
-        counted = met(words, asked, ["term"]).groupBy(*AT, "same", "n_tokens", "term_id").agg(F.count("*").alias("tf"))
-        own = counted.select(*AT, "same", "term_id", _impact(F.col("tf"), F.col("n_tokens"), F.lit(avg_len or 1.0)).alias("impact"))
-        self.hits = stored(own.groupBy(*AT, "same").agg(F.collect_list(F.struct("term_id", "impact")).alias("h")).select(*AT, "same", F.col("h.term_id").alias("term_ids"), F.col("h.impact").alias("impacts")), "hits")
+        # no token is empty, so the empty term, which every block gets, keeps blocks that hold no other
+        asked = asked.unionByName(asked.sparkSession.createDataFrame([("", -1)], "term string, term_id bigint"))
+        every = blocks.where("kind <> 'heading'").select(*AT, "text").repartition(*AT).withColumn("tokens", once(tokens(F.col("text")))).where(F.size("tokens") >= MIN_WORDS)
+        words = every.select(*AT, F.unhex(F.md5("text")).alias("same"), F.size("tokens").alias("n_tokens"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+        found = met(words, asked, ["term"]).groupBy(*AT, "same", "n_tokens", "term_id").agg(F.count("*").alias("tf"))
+        held = F.filter(F.collect_list(F.struct("term_id", "tf")), lambda h: h["term_id"] >= 0)
+        counted = stored(found.groupBy(*AT, "same", "n_tokens").agg(held.alias("h")).select(*AT, "same", "n_tokens", F.col("h.term_id").alias("term_ids"), F.col("h.tf").alias("tfs")), "hits")
+        n, avg_len = counted.agg(F.count("*"), F.avg("n_tokens")).first()
+        impacts = F.transform("tfs", lambda tf: _impact(tf, F.col("n_tokens"), F.lit(avg_len or 1.0)))
+        self.hits = counted.where(F.size("term_ids") > 0).select(*AT, "same", "term_ids", impacts.alias("impacts"))
         self.n_hits = self.hits.count()
-        df = self.hits.select(F.explode(F.arrays_zip("term_ids", "impacts")).alias("h")).groupBy("h.term_ids").agg(F.count("*").alias("df"), F.max("h.impacts").alias("highest")).withColumnRenamed("term_ids", "term_id")
+        df = counted.select(F.explode("term_ids").alias("term_id")).groupBy("term_id").agg(F.count("*").alias("df"))
         weight = F.col("times") * _idf(F.lit(n), F.col("df")) * (K1 + 1)
-        self.weights = stored(terms.join(asked, "term").join(df, "term_id").select("query_id", "term", "term_id", "df", weight.alias("weight"), (weight * F.col("highest")).alias("bound")), "weights")
-
-    def _summed(self, found: DataFrame) -> DataFrame:
-        score = (F.sum(F.round(F.col("weight") * F.col("impact") * 1e9).cast("long")) / 1e9).alias("score")
-        return found.groupBy("query_id", *AT, "same").agg(score).select("query_id", *AT, "same", F.lit(0).alias("source_rank"), "score").where("score > 0")
-
-    def _weighed(self, rows: DataFrame, on: list[str]) -> DataFrame:
-        """Scores of rows with term_ids and impacts; they lie where a hash of the block's ids puts them."""
-        each = rows.withColumn("h", F.explode(F.arrays_zip("term_ids", "impacts"))).select(*(c for c in rows.columns if c not in ("term_ids", "impacts")), F.col("h.term_ids").alias("term_id"), F.col("h.impacts").alias("impact"))
-        return self._summed(met(each, self.weights.select("query_id", "term_id", "weight"), on))
-
-    def _placed(self) -> DataFrame:
-        """Occurrences by block in as many partitions as shuffles have, and more of many blocks, so that a task's share doesn't
-        grow with them: they are small, but what is made of them isn't."""
-        least = int(self.hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return self.hits.repartition(max(least, -(-self.n_hits // BLOCKS_A_TASK)), *AT)
+        self.weights = stored(terms.join(asked, "term").join(df, "term_id").select("query_id", "term_id", weight.alias("weight")), "weights")
+
+    def _placed(self, shards: int = 1) -> DataFrame:
+        """Occurrences by block, once for each group of queries, in as many parts as shuffles have, and more of many blocks,
+        so that a part's share doesn't grow with them."""
+        parts = max(int(self.hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.n_hits // BLOCKS_A_TASK))
+        part = F.pmod(F.xxhash64(*AT), F.lit(parts)).cast("int")
+        dealt = self.hits.withColumn("part", part).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        return dealt.repartition(parts * shards, "part", "shard")
+
+    def _scored(self, weights: DataFrame, first: int | None, texts: bool) -> DataFrame:
+        shards = max(1, -(-weights.count() // WEIGHTS_A_TASK))
+        hits = self._placed(shards)
+        n = hits.rdd.getNumPartitions()
+        parts = F.explode(F.sequence(F.lit(0), F.lit(n // shards - 1))).alias("part")
+        dealt = weights.withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")).select("*", parts).repartition(n, "part", "shard")
+        kinds = dict(weights.select("query_id").dtypes + hits.select(*AT, "same").dtypes)
+        out = ", ".join([*(f"{c} {kinds[c]}" for c in ("query_id", *AT, "same")), "source_rank int, score double"])
+        return hits.groupBy("part", "shard").cogroup(dealt.groupBy("part", "shard")).applyInArrow(_ranker(first, texts, CELLS), out)
 
     def every(self) -> DataFrame:
         """query_id, page_id, block_id, same, source_rank and score over 0 of each block."""
-        return self._weighed(self._placed(), ["term_id"])
-
-    def _among(self, terms: DataFrame) -> DataFrame:
-        """The same of blocks that hold one of the terms (query_id, term_id) of their query."""
-        hits = self._placed()
-        found = met(hits.select(*AT, F.explode("term_ids").alias("term_id")), terms.select("query_id", "term_id"), ["term_id"]).select("query_id", *AT).distinct()
-        return self._weighed(found.join(hits, AT), ["query_id", "term_id"])
+        return self._scored(self.weights, None, False)
 
     def best(self, first: int, left: DataFrame | None = None, texts: bool = False) -> DataFrame:
-        """The same of each query's first ranks at least, by exact bounds; of the queries in left, if it is given.
+        """The same of each query's first ranks at least; of the queries in left, if it is given.
 
-        Blocks with a query's heaviest terms, as many terms as have occurrences enough, are scored first: `first` of
-        them reach some score. A part never passes its term's bound, the weight times the highest impact, so terms whose
-        bounds, from the least on, sum up to less can't bring a block there alone: blocks without one of the other terms
-        are left out, and of the others those below that score. With texts, blocks of one text have one rank together.
+        Each task keeps the first ranks of its own blocks, by score, page and block: what is among the first of all
+        blocks is among the first of its task's. With texts, blocks of one text have one rank together, that of the first.
         """
-        weights = self.weights if left is None else self.weights.join(left.select("query_id").distinct(), "query_id", "left_semi")
-        query = Window.partitionBy("query_id")
-        earlier = F.coalesce(F.sum("df").over(query.orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        heavy = stored(weights.withColumn("_earlier", earlier).where(F.col("_earlier") < ENOUGH * first), "heavy")
-        place = F.row_number().over(query.orderBy(F.desc("score")))
-        reached = self._among(heavy).groupBy("query_id", "same").agg(F.max("score").alias("score")) if texts else self._among(heavy)
-        sure = reached.withColumn("_k", place).where(F.col("_k") <= first).where(F.col("_k") == first).select("query_id", F.col("score").alias("_sure"))
-        least = F.coalesce("_sure", F.lit(0.0)) - 1e-6
-        floors = stored(weights.select("query_id").distinct().join(sure, "query_id", "left").select("query_id", least.alias("_floor")), "floors")
-        upto = F.sum("bound").over(query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
-        needed = stored(weights.withColumn("_upto", upto).join(floors, "query_id").where("_upto >= _floor"), "needed")
-        return met(self._among(needed), floors, ["query_id"]).where("score >= _floor").drop("_floor")
+        return self._scored(self.weights if left is None else self.weights.join(left.select("query_id").distinct(), "query_id", "left_semi"), first, texts)
 
     def ranks(self, first: int, left: DataFrame | None = None) -> DataFrame:
         return ranked_texts(self.best(first, left, texts=True), first)
 
 
+def _ranker(first: int | None, texts: bool, cells: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of a group of blocks (with term_ids and impacts) and a group of weights (query_id, term_id, weight) that
+    gives each query's first ranks among those blocks, or all of them. cells: so many meetings are in memory at once."""
+
+    def rank(hits: pa.Table, weights: pa.Table) -> pa.Table:
+        hits = hits.take(pc.sort_indices(hits, sort_keys=[(c, "ascending") for c in AT], null_placement="at_start"))
+        same = hits["same"].combine_chunks()
+        if texts:
+            hits = hits.take(np.sort(np.unique(same.dictionary_encode().indices.to_numpy(zero_copy_only=False), return_index=True)[1]))
+            same = hits["same"].combine_chunks()
+        asked = weights["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        n_queries = len(asked.dictionary)
+        by_term = np.argsort(weights["term_id"].to_numpy(), kind="stable")
+        term, query, weight = weights["term_id"].to_numpy()[by_term], asked.indices.to_numpy(zero_copy_only=False)[by_term], weights["weight"].to_numpy()[by_term]
+        held = hits["term_ids"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        held, impact = held.flatten().to_numpy(), hits["impacts"].combine_chunks().flatten().to_numpy()
+        start = np.searchsorted(term, held, "left")
+        times = np.searchsorted(term, held, "right") - start
+        upto = np.concatenate([[0], np.cumsum(times)])[ends]
+        floor, none = np.zeros(n_queries), np.zeros(0, np.int64)
+        blocks, queries, scores = none, none, np.zeros(0)
+        told, at = [], 0
+        while at < len(hits) and n_queries:
+            to = min(at + max(1, cells // n_queries), max(at + 1, int(np.searchsorted(upto, upto[at] + cells, "right")) - 1))
+            of = slice(ends[at], ends[to])
+            k = times[of]
+            pos = np.repeat(start[of] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            value = weight[pos] * np.repeat(impact[of], k) * 1e9
+            whole = np.floor(value)
+            whole += value - whole >= 0.5  # halves away from zero, as SQL rounds
+            own = np.repeat(np.repeat(np.arange(to - at), np.diff(ends[at : to + 1])), k)
+            total = np.bincount(own * n_queries + query[pos], whole, (to - at) * n_queries).reshape(to - at, n_queries)
+            b, q = np.nonzero(total > floor)
+            blocks, queries, scores = np.concatenate([blocks, b + at]), np.concatenate([queries, q]), np.concatenate([scores, total[b, q]])
+            if first is None:
+                told.append((blocks, queries, scores))
+                blocks, queries, scores = none, none, np.zeros(0)
+            else:  # later blocks must pass the score of a query's last rank
+                order = np.lexsort((blocks, -scores, queries))
+                place = np.arange(len(order)) - np.searchsorted(queries[order], queries[order], "left")
+                kept = order[place < first]
+                last = order[place == first - 1]
+                floor[queries[last]] = scores[last]
+                blocks, queries, scores = blocks[kept], queries[kept], scores[kept]
+            at = to
+        told.append((blocks, queries, scores))
+        blocks, queries, scores = (np.concatenate(x) for x in zip(*told, strict=True))
+        columns = {"query_id": asked.dictionary.take(pa.array(queries)), **{c: hits[c].combine_chunks().take(pa.array(blocks)) for c in AT}, "same": same.take(pa.array(blocks))}
+        return pa.table(columns | {"source_rank": pa.array(np.zeros(len(blocks), np.int32)), "score": pa.array(scores / 1e9)})
+
+    return rank
+
+
 def bm25_corpus(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     return CorpusScores(queries, blocks).every()
 

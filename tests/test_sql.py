@@ -108,3 +108,19 @@ def test_a_task_scores_no_more_blocks_of_more(spark, monkeypatch):
 def test_pages_are_parsed_once_for_flags(spark):
     plan = QUERIES["i3_i4_elision_and_flags"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+def test_blocks_meet_queries_as_arrays(spark, monkeypatch):
+    """No row is made of a block and a question before ranks are known, and parts of any size give the same ranks."""
+    from pagelore.jobs import tables
+    from pagelore.operators import retrieval
+
+    scores = retrieval.CorpusScores(tables.corpus_questions(spark, DIR), tables.blocks(spark, DIR))
+    plan = scores.best(3, texts=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "FlatMapCoGroupsInArrow" in plan
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "position", "page_id", "block_id", "score").collect()))
+    want = plain(scores.ranks(7))
+    assert want == plain(retrieval.ranked_texts(scores.every(), 7))
+    for name, few in (("CELLS", 50), ("WEIGHTS_A_TASK", 200), ("BLOCKS_A_TASK", 150)):
+        monkeypatch.setattr(retrieval, name, few)
+    assert plain(scores.ranks(7)) == want and len(want) > 100
