@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from pagelore.functions.stored import met, stored
 from pagelore.functions.text import tokens
-from pagelore.operators.safety import once
+from pagelore.operators.safety import bound, once
 
 MIN_WORDS, LIMIT, CONTAINMENT = 8, 12, 0.9
 K1, B, RANK_WEIGHT = 1.5, 0.75, 0.1
@@ -26,7 +26,7 @@ SOURCE = "\n(source: "
 
 def evidence(blocks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Blocks that are no headings and have min_words tokens or more, with their tokens."""
-    return blocks.where("kind <> 'heading'").withColumn("tokens", tokens(F.col("text"))).where(F.size("tokens") >= min_words)
+    return blocks.where("kind <> 'heading'").withColumn("tokens", once(tokens(F.col("text")))).where(F.size("tokens") >= min_words)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -59,8 +59,10 @@ def bm25(queries: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFr
     number of blocks, their mean length and its terms' frequencies, however long its list is; scores need no shuffle.
     """
     ev = evidence(blocks).select(*AT, F.unhex(F.md5("text")).alias("same"), "tokens", F.size("tokens").alias("n_tokens"))
-    terms = query_terms(queries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms"))
-    tfs = F.transform("terms", lambda t: F.size(F.filter("tokens", lambda x: x == t["term"])))
+    terms = query_terms(queries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms")).withColumn("asked", F.col("terms.term"))
+    # a block's tokens are first cut to those that are asked, in one pass; only these few are compared term by term
+    own = F.filter("tokens", lambda x: F.array_contains("asked", x))
+    tfs = bound(own, lambda found: F.transform("asked", lambda t: F.size(F.filter(found, lambda x: x == t))))
     counted = stored(candidates.join(terms, "query_id").join(ev, "page_id").select("query_id", *AT, "same", "source_rank", "n_tokens", "terms.times", tfs.alias("tfs")), "counted")
     each = counted.select("query_id", "n_tokens", F.posexplode(F.arrays_zip("times", "tfs")).alias("at", "t"))
     stats = each.groupBy("query_id", "at").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("length"), F.count_if(F.col("t.tfs") > 0).alias("df"), F.first("t.times").alias("times"))

@@ -124,3 +124,8 @@ def test_blocks_meet_queries_as_arrays(spark, monkeypatch):
     for name, few in (("CELLS", 50), ("WEIGHTS_A_TASK", 200), ("BLOCKS_A_TASK", 150)):
         monkeypatch.setattr(retrieval, name, few)
     assert plain(scores.ranks(7)) == want and len(want) > 100
+
+
+def test_tokens_of_a_block_are_taken_once(spark):
+    plan = QUERIES["r1_r2_evidence"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
