@@ -100,20 +100,22 @@ class CorpusScores:
         weight = F.col("times") * _idf(F.lit(n), F.col("df")) * (K1 + 1)
         self.weights = stored(terms.join(asked, "term").join(df, "term_id").select("query_id", "term_id", weight.alias("weight")), "weights")
 
+    def _parts(self) -> int:
+        return max(int(self.hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.n_hits // BLOCKS_A_TASK))
+
     def _placed(self, shards: int = 1) -> DataFrame:
         """Occurrences by block, once for each group of queries, in as many parts as shuffles have, and more of many blocks,
         so that a part's share doesn't grow with them."""
-        parts = max(int(self.hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.n_hits // BLOCKS_A_TASK))
+        parts = self._parts()
         part = F.pmod(F.xxhash64(*AT), F.lit(parts)).cast("int")
         dealt = self.hits.withColumn("part", part).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         return dealt.repartition(parts * shards, "part", "shard")
 
     def _scored(self, weights: DataFrame, first: int | None, texts: bool) -> DataFrame:
         shards = max(1, -(-weights.count() // WEIGHTS_A_TASK))
-        hits = self._placed(shards)
-        n = hits.rdd.getNumPartitions()
-        parts = F.explode(F.sequence(F.lit(0), F.lit(n // shards - 1))).alias("part")
-        dealt = weights.withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")).select("*", parts).repartition(n, "part", "shard")
+        hits, n = self._placed(shards), self._parts()
+        parts = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part")
+        dealt = weights.withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")).select("*", parts).repartition(n * shards, "part", "shard")
         kinds = dict(weights.select("query_id").dtypes + hits.select(*AT, "same").dtypes)
         out = ", ".join([*(f"{c} {kinds[c]}" for c in ("query_id", *AT, "same")), "source_rank int, score double"])
         return hits.groupBy("part", "shard").cogroup(dealt.groupBy("part", "shard")).applyInArrow(_ranker(first, texts, CELLS), out)
