@@ -71,7 +71,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined_ids("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("span_ends", -1), F.lit(0)).cast("long").alias("covered_bytes"),
+        F.coalesce(F.try_element_at("span_ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"),
     )
 
 
